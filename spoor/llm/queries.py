@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from spoor.llm.decontam import ORACLE_OP8, op8_decontaminate
 from spoor.llm.langid import op9_language_id
+from spoor.llm.ordering import op10_training_order
+from spoor.llm.packing import op1_packing
 from spoor.llm.quality import op6_quality
 from spoor.llm.secrets import op3_secrets
 from spoor.llm.transport import op7_transport_stream
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_secrets": op3_secrets,
     "op6_quality": op6_quality,
     "op7_transport_stream": op7_transport_stream,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
+    "op10_training_order": op10_training_order,
 }
 ORACLES = {
     "op8_decontaminate": ORACLE_OP8,
