@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from spoor.llm.decontam import ORACLE_OP8, op8_decontaminate
+from spoor.llm.html import op4_main_text
 from spoor.llm.langid import op9_language_id
+from spoor.llm.near import op5_near_join
 from spoor.llm.ordering import op10_training_order
 from spoor.llm.packing import op1_packing
 from spoor.llm.quality import op6_quality
@@ -13,6 +15,8 @@ from spoor.llm.transport import op7_transport_stream
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_secrets": op3_secrets,
+    "op4_main_text": op4_main_text,
+    "op5_near_join": op5_near_join,
     "op6_quality": op6_quality,
     "op7_transport_stream": op7_transport_stream,
     "op8_decontaminate": op8_decontaminate,
