@@ -76,3 +76,27 @@ def replace_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch])
 def set_column(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
     i = batch.schema.get_field_index(name)
     return batch.set_column(i, batch.schema.field(i), pa.array(values, batch.schema.field(i).type))
+
+
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """Write ``df`` and number its rows 0, 1, ... in file order, which is sort order for a sorted ``df``.
+
+    The number is the file's first number plus the row's place in the file; one count for each
+    file is all that reaches the driver, and a task that runs again cannot change a number.
+    """
+    written = staged(df, label)
+    rows = written.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    firsts, at = [], 0
+    for file, n in sorted((r["_file"], r["count"]) for r in rows.groupBy("_file").count().collect()):
+        firsts.append((file, at))
+        at += n
+    base = df.sparkSession.createDataFrame(firsts, "_file string, _first bigint")
+    return rows.join(base, "_file").withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, rather than when the driver next collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -10,10 +10,12 @@ from spoor.llm.ordering import op10_training_order
 from spoor.llm.packing import op1_packing
 from spoor.llm.quality import op6_quality
 from spoor.llm.secrets import op3_secrets
+from spoor.llm.substring import ORACLE_OP2, op2_substring_dedup
 from spoor.llm.transport import op7_transport_stream
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secrets": op3_secrets,
     "op4_main_text": op4_main_text,
     "op5_near_join": op5_near_join,
@@ -24,5 +26,6 @@ QUERIES = {
     "op10_training_order": op10_training_order,
 }
 ORACLES = {
+    "op2_substring_dedup": ORACLE_OP2,
     "op8_decontaminate": ORACLE_OP8,
 }
