@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm.common import load, staged, texts
-from spoor.llm.tokens import END_ID, Encoder, chunks
+from spoor.llm.tokens import END_ID, chunks, shared_encoder
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 256, 20240607, 6
 PART_BYTES = 32 << 20
@@ -68,7 +68,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         held, members, room, rows = [], [], length, []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm.common import load, texts
-from spoor.llm.tokens import END_ID, Encoder, chunks
+from spoor.llm.tokens import END_ID, chunks, shared_encoder
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), Packer(limits, pool)
+        encoder, packer = shared_encoder(tokenizer), Packer(limits, pool)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         rows: list[tuple] = []

@@ -9,6 +9,7 @@ build, go to the ``tokenizers`` library.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -158,5 +159,11 @@ class Encoder:
             self.words.update(zip(hard, self._encode([w.decode("utf-8") for w in hard])))
 
 
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str | None = None) -> Encoder:
+    """The encoder of this process: tasks of one Python worker share its tables and words."""
+    return Encoder(path)
+
+
 def chunks(items: list, size: int = 128) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
