@@ -78,8 +78,12 @@ def set_column(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch
     return batch.set_column(i, batch.schema.field(i), pa.array(values, batch.schema.field(i).type))
 
 
-def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
-    """Write ``df`` and number its rows 0, 1, ... in file order, which is sort order for a sorted ``df``.
+#: Files of a staged table up to which their first numbers are sent to every executor.
+MOST_FILES = 50_000
+
+
+def numbered(df: DataFrame, name: str, label: str) -> tuple[DataFrame, int]:
+    """Write ``df`` and number its rows 0, 1, ... in file order, which is sort order for a sorted ``df``; also how many.
 
     The number is the file's first number plus the row's place in the file; one count for each
     file is all that reaches the driver, and a task that runs again cannot change a number.
@@ -91,7 +95,8 @@ def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
         firsts.append((file, at))
         at += n
     base = df.sparkSession.createDataFrame(firsts, "_file string, _first bigint")
-    return rows.join(base, "_file").withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
+    base = F.broadcast(base) if len(firsts) <= MOST_FILES else base
+    return rows.join(base, "_file").withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first"), at
 
 
 def release(spark: SparkSession) -> None:

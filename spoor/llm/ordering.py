@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import load, staged, texts
+from spoor.llm.common import load, numbered, staged, texts
 from spoor.llm.tokens import END_ID, chunks, shared_encoder
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 256, 20240607, 6
@@ -112,20 +112,13 @@ def materialise(seqs: DataFrame, key: int = KEY, per_shard: int = PER_SHARD, len
 
     A payload is ``per_shard`` records of ``2 * length`` bytes (fewer in the last shard).
     """
-    written = staged(seqs, "sequences")
-    place = written.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    # one row for each file of the table
-    sizes = sorted((r["file"], r["count"]) for r in place.groupBy("file").count().collect())
-    n = sum(c for _, c in sizes)
-    firsts = np.concatenate(([0], np.cumsum([c for _, c in sizes]))).astype(int).tolist()
-    spark = seqs.sparkSession
-    base = spark.createDataFrame([(f, b) for (f, _), b in zip(sizes, firsts)], "file string, first bigint")
+    rows, n = numbered(seqs, "number", "sequences")
 
     @F.pandas_udf("bigint")
     def slot_of(number: pd.Series) -> pd.Series:
         return pd.Series(permute(number.to_numpy(), n, key))
 
-    slotted = place.join(base, "file").select(slot_of(F.col("first") + F.col("row")).alias("slot"), "doc_ids", "n_tokens", "ids")
+    slotted = rows.select(slot_of("number").alias("slot"), "doc_ids", "n_tokens", "ids")
     shards = max(1, -(-n // per_shard))
     parts = max(1, min(shards, -(-n * length * 2 // part_bytes)))
     each = -(-shards // parts)

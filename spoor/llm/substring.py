@@ -104,7 +104,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """(t1, t2, first_id, places, firsts) of every text: candidate half windows and starts of first full windows."""
     own = _keyed(docs, id_col, text_col)
     half = window // 2
-    texts_seen = numbered(own.groupBy("t1", "t2").agg(F.min("id").alias("first_id")).orderBy(F.asc_nulls_first("first_id"), "t1", "t2"), "o", "texts")
+    texts_seen, _ = numbered(own.groupBy("t1", "t2").agg(F.min("id").alias("first_id")).orderBy(F.asc_nulls_first("first_id"), "t1", "t2"), "o", "texts")
 
     def halves(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = Words()
