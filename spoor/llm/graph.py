@@ -24,9 +24,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written before it is joined: a join of two plain exchanges is one that Spark can split where a vertex is hot
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = staged(small.filter("u <> v").distinct(), "edges")
         mark = _mark(e)

@@ -239,8 +239,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = staged(dealt.mapInArrow(verify, "r bigint, links bigint, root bigint"), "links")
     classes = components(found.select(F.col("r").alias("u"), F.col("root").alias("v"))).withColumnsRenamed({"v": "r", "root": "class"})
     counted = found.groupBy("r").agg(F.sum("links").alias("links"))
-    full = reps.join(classes, "r", "left").join(counted, "r", "left").withColumn("class", F.coalesce("class", "r"))
+    full = staged(reps.join(classes, "r", "left").join(counted, "r", "left").withColumn("class", F.coalesce("class", "r")), "classes")
     heads = full.groupBy("class").agg(F.min("first_id").alias("class_id"), F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "r"))).alias("head"), F.min("r").alias("any_r"))
+    heads = staged(heads, "heads")  # as in components(): then a hot class can be split
     named = full.join(heads, "class").select(
         "t1", "t2", "r", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id", (F.col("r") == F.coalesce("head.r", "any_r")).alias("is_head")
     )
@@ -258,11 +259,12 @@ def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the one with the least id."""
-    kept = staged(near_classes(docs).filter("keep").select("id", "t1", "t2"), "kept")
+    names = ["__near_id", "__near_t1", "__near_t2"]
+    kept = staged(near_classes(docs).filter("keep").select("id", "t1", "t2").toDF(*names), "kept")
     text = F.col("text")
-    keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("2"), text)})
-    same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2"))
+    keyed = docs.withColumns({"__near_a": F.xxhash64(text), "__near_b": F.xxhash64(F.lit("2"), text)})
+    same = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_a") == F.col("__near_t1")) & (F.col("__near_b") == F.col("__near_t2"))
     out = keyed.join(kept.distinct(), same, "left_semi")
-    if kept.groupBy("id", "t1", "t2").count().filter("count > 1").limit(1).count():  # repeated rows
-        out = out.dropDuplicates(["doc_id", "_t1", "_t2"])
-    return out.drop("_t1", "_t2")
+    if kept.groupBy(*names).count().filter("count > 1").limit(1).count():  # repeated rows
+        out = out.dropDuplicates(["doc_id", "__near_a", "__near_b"])
+    return out.drop("__near_a", "__near_b")
