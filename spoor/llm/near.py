@@ -248,7 +248,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = signed.select("id", "t1", "t2").join(named, same, "left")
     return rows.select(
         "id", "t1", "t2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce(F.col("is_head") & F.col("id").eqNullSafe(F.col("first_id")), F.col("r").isNull()).alias("keep"),
+        F.when(F.col("r").isNull(), True).otherwise(F.col("is_head") & F.col("id").eqNullSafe(F.col("first_id"))).alias("keep"),
     )
 
 
