@@ -51,6 +51,10 @@ class Words:
         return words, np.array([known[w] for w in words], np.uint64)
 
 
+#: Of this process: tasks of one Python worker share it.
+_words = Words()
+
+
 def windows(codes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """A hash of each run of ``size`` words, built by doubling."""
     if len(codes) < size:
@@ -107,10 +111,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     texts_seen, _ = numbered(own.groupBy("t1", "t2").agg(F.min("id").alias("first_id")).orderBy(F.asc_nulls_first("first_id"), "t1", "t2"), "o", "texts")
 
     def halves(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = Words()
         hs, ts, ps = [], [], []
         for text, t in zip(texts(batch), batch.column(batch.schema.get_field_index("t1")).to_pylist()):
-            h = windows(words(text)[1], half)
+            h = windows(_words(text)[1], half)
             at = np.unique(chosen(h, window))
             hs.append(h[at])
             ps.append(at)
@@ -119,7 +122,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return join(hs, np.uint64).view(np.int64), join(ts, np.int64), join(ps, np.int32)
 
     alone = map_batches(own.select("t1", "text"), "h bigint", lambda b: {"h": halves(b)[0]})
-    repeated = alone.groupBy("h").count().filter("count > 1").select("h")
+    # written before it is joined: a join of two plain exchanges is one that Spark can split where a window is hot
+    repeated = staged(alone.groupBy("h").count().filter("count > 1").select("h"), "repeated")
 
     def placed(batch: pa.RecordBatch) -> dict:
         h, t, p = halves(batch)
@@ -133,11 +137,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     todo = own.join(known.filter("places is not null"), ["t1", "t2"]).filter("id <=> first_id").select("o", "places", "text")
 
     def extend(batch: pa.RecordBatch) -> dict:
-        words = Words()
         hs, gs, cs = [], [], []
         at = batch.column(1)
         for k, (o, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch))):
-            codes = words(text)[1]
+            codes = _words(text)[1]
             starts = _starts(codes, at[k].values.to_numpy(), window)
             if len(codes) >> START_BITS:
                 raise ValueError("a document has too many words")
@@ -170,11 +173,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = own.join(told, ["t1", "t2"], "left").select("id", "text", F.col("id").eqNullSafe(F.col("first_id")).alias("first"), "places", "firsts")
 
     def columns(batch: pa.RecordBatch) -> dict:
-        words = Words()
         out: dict = {"id": batch.column(0), "n_words": [], "n_removed": [], "removed": [], "kept": []}
         first, places, firsts = (batch.column(i) for i in (2, 3, 4))
         for k, text in enumerate(texts(batch)):
-            ws, codes = words(text)
+            ws, codes = _words(text)
             n = len(ws)
             gone = np.zeros(n, bool)
             if n >= window:
