@@ -206,14 +206,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_OP2 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT row_id, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j, len(w) AS n FROM d),
 x AS (
-  SELECT row_id, i, rank() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS place
-  FROM (SELECT row_id, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
-c AS (SELECT DISTINCT row_id, unnest(range(i, i + 20)) AS j FROM x WHERE place > 1),
-k AS (
-  SELECT row_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n
-  FROM (SELECT row_id, w[j] AS word, j FROM (SELECT row_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)) ANTI JOIN c USING (row_id, j)
-  GROUP BY row_id)
+  SELECT row_id, doc_id, j, n, string_agg(word, ' ') OVER (PARTITION BY row_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM v),
+p AS (SELECT row_id, j, rank() OVER (PARTITION BY win ORDER BY doc_id, j) AS place FROM x WHERE j <= n - 19),
+c AS (SELECT DISTINCT row_id, unnest(range(j, j + 20)) AS j FROM p WHERE place > 1),
+k AS (SELECT row_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM v ANTI JOIN c USING (row_id, j) GROUP BY row_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (row_id)
 """
