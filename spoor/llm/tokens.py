@@ -18,7 +18,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-_LIMIT, _LONG = 400_000, 48
+_LIMIT, _LONG = 600_000, 48
 _NONE = np.iinfo(np.int32).max
 #: Latin letters, then ASCII signs other than the apostrophe: the splitter parts them there.
 _LETTERS_SIGNS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
@@ -127,7 +127,7 @@ class Encoder:
         """Ids of many texts: their new words are learnt together."""
         if self.merger is None:
             return self._encode([t or "" for t in items])
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in items]
+        split = [self._split(t) if t else [] for t in items]
         fresh = set().union(*split).difference(self.words)
         if len(self.words) + len(fresh) > _LIMIT and self.words:
             self.words = {}
@@ -140,6 +140,12 @@ class Encoder:
                 del known[w]
         return out
 
+    @staticmethod
+    def _split(text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
+        # the normaliser folds case anyway; only names of special tokens must keep theirs
+        return (raw if b"<|" in raw else raw.lower()).split()
+
     def _learn(self, fresh: set[bytes]) -> None:
         pieces, hard = {}, []
         for w in fresh:
@@ -152,6 +158,7 @@ class Encoder:
         if len(self.parts) + len(needed) > _LIMIT:
             self.parts = {}
         todo = list(needed.difference(self.parts))
+        todo.sort(key=len)  # words of one length together: little padding
         for i in range(0, len(todo), 4096):
             self.parts.update(zip(todo[i : i + 4096], self.merger.ids(todo[i : i + 4096])))
         self.words.update((w, b"".join([self.parts[p] for p in ps])) for w, ps in pieces.items())
