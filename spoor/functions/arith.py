@@ -46,3 +46,44 @@ def shifts(a: Column, n: int) -> tuple[Column, Column, Column]:
 def compare(a: Column, b: Column) -> Column:
     """FN-7/8: the sign of a - b as doubles."""
     return F.signum(a.cast("double") - b.cast("double")).cast("int")
+
+
+def logic(a: Column, b: Column) -> dict[str, Column]:
+    """FN-9: boolean operators; each is recorded under its own name."""
+    return {"NOT": ~a, "AND": a & b, "OR": a | b, "XOR": a != b}
+
+
+def stringified(value: Column) -> Column:
+    """FN-11: a value as text."""
+    return value.cast("string")
+
+
+def concat(a: Column, b: Column) -> Column:
+    """FN-10, FN-11: string concatenation of any two operands."""
+    return F.concat(stringified(a), stringified(b))
+
+
+#: FN-15: default values of primitive types (fixed values).
+DEFAULTS = {"Z": "false", "B": "0", "C": "0", "S": "0", "I": "0", "J": "0", "F": "0.0", "D": "0.0"}
+
+
+def default_value(type_code: Column) -> Column:
+    """FN-15: the default of a primitive type as text; references have none."""
+    out = None
+    for code, text in DEFAULTS.items():
+        out = F.when(type_code == code, text) if out is None else out.when(type_code == code, text)
+    return out
+
+
+def literal(text: Column, type_code: Column) -> Column:
+    """FN-12: the number that a literal stands for: an L suffix goes, booleans count as 0 and 1."""
+    bare = F.regexp_replace(text, "[lL]$", "")
+    return F.when(type_code == "Z", F.when(text == "true", 1.0).otherwise(0.0)).otherwise(bare.try_cast("double"))
+
+
+def java_cast(value: Column, type_code: str) -> Column:
+    """FN-13: a number narrowed as Java does: integers wrap, fractions are cut."""
+    if type_code in ("F", "D"):
+        return value.cast("float" if type_code == "F" else "double")
+    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
+    return _wrap(whole, {"I": 32, "J": 64}[type_code])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -126,17 +127,17 @@ def base_lookup(variants: DataFrame, bases: DataFrame, key: str) -> DataFrame:
     return checked.filter(F.coalesce(F.assert_true(F.col("_n") == 1, "a base is not single").cast("boolean"), F.lit(True))).drop("_n")
 
 
-def size_band(sizes: DataFrame, least: float = 0.9, key: str = "id", size: str = "n") -> DataFrame:
-    """JN-8: pairs a < b whose sizes are within the ratio: an equi-join on logarithmic bands, then the exact test.
+def size_band(sizes: DataFrame, least: float = 0.9, key: str = "id", size: str = "n", group: Sequence[str] = ()) -> DataFrame:
+    """JN-8: pairs a < b of a group whose sizes are within the ratio: an equi-join on logarithmic bands, then the exact test.
 
     A band's width is the ratio, so a partner is in the same band or a neighbouring one.
     """
-    band = F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) / float(-__import__("math").log(least))).cast("bigint")
-    rows = sizes.select(F.col(key).alias("k"), F.col(size).alias("s"), band.alias("band"))
-    left = rows.select(F.col("k").alias("a"), F.col("s").alias("sa"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = rows.select(F.col("k").alias("b"), F.col("s").alias("sb"), "band")
-    near = left.join(right, "band").filter("a < b")
-    return near.filter(F.least("sa", "sb") >= least * F.greatest("sa", "sb")).select("a", "b", (F.least("sa", "sb") / F.greatest("sa", "sb")).alias("ratio"))
+    band = F.floor(F.log(F.greatest(F.col(size), F.lit(1)).cast("double")) / -math.log(least)).cast("bigint")
+    rows = sizes.select(*group, F.col(key).alias("k"), F.col(size).alias("s"), band.alias("band"))
+    left = rows.select(*group, F.col("k").alias("a"), F.col("s").alias("sa"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = rows.select(*group, F.col("k").alias("b"), F.col("s").alias("sb"), "band")
+    near = left.join(right, [*group, "band"]).filter("a < b")
+    return near.filter(F.least("sa", "sb") >= least * F.greatest("sa", "sb")).select(*group, "a", "b", (F.least("sa", "sb") / F.greatest("sa", "sb")).alias("ratio"))
 
 
 def error_rollup(rows: DataFrame, *dims: str, value: str = "errors") -> DataFrame:
@@ -147,3 +148,30 @@ def error_rollup(rows: DataFrame, *dims: str, value: str = "errors") -> DataFram
 def top_usable(scores: DataFrame, *group: str) -> DataFrame:
     """SRT-4: the best score of each group that is not NaN."""
     return scores.filter(~F.isnan("score")).groupBy(*group).agg(F.max("score").alias("score"))
+
+
+def by_prefix(variants: DataFrame, roots: DataFrame, variant: str, root: str, separator: str = "-") -> DataFrame:
+    """JN-12: variants of each root, matched on the part before the separator.
+
+    The original tests for any prefix, which also gives P10 to P1; an equi-join on the whole
+    part does not, and needs no nested loop.
+    """
+    return variants.withColumn("_root", F.split(F.col(variant), separator)[0]).join(roots, F.col("_root") == F.col(root)).drop("_root")
+
+
+def expansion(pairs: DataFrame, left: DataFrame, right: DataFrame, lmapped: DataFrame, rmapped: DataFrame) -> DataFrame:
+    """JN-4: neighbours of mapped pairs that are not mapped yet, over edges of equal way and matching kind.
+
+    pairs (l, r); edges (node, other, kind, way); mapped sets (node).
+    """
+    from spoor.functions.codes import edge_match
+
+    a = pairs.join(left.toDF("l", "lo", "lk", "way"), "l").join(lmapped.toDF("lo"), "lo", "left_anti")
+    b = a.join(right.toDF("r", "ro", "rk", "way"), ["r", "way"]).join(rmapped.toDF("ro"), "ro", "left_anti")
+    return b.filter(edge_match(F.col("lk"), F.col("rk")) == 1).select("lo", "ro").distinct()
+
+
+def residual(left: DataFrame, right: DataFrame) -> DataFrame:
+    """JN-5: unmapped nodes of both sides that match by kind and label: an equi-join in place of all pairs."""
+    l = left.select(F.col("node_id").alias("l"), "kind", "label")
+    return l.join(right.select(F.col("node_id").alias("r"), "kind", "label"), ["kind", "label"]).select("l", "r")

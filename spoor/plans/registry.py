@@ -110,11 +110,11 @@ def trace_feature_stats(spark, d):
 
 
 @query(f"""
-WITH {_SHARES} SELECT f.user_id AS trace, name, round(value * coalesce(w, 1), 6) AS value FROM f LEFT JOIN (SELECT DISTINCT user_id, 3 AS w FROM events WHERE user_id % 4 = 0) g USING (user_id)""")
+WITH {_SHARES} SELECT f.user_id AS trace, name, round(value * coalesce(w, 1), 6) AS value FROM f LEFT JOIN (SELECT DISTINCT user_id, 3 AS w FROM events WHERE value > 150) g USING (user_id)""")
 def weighted_features(spark, d):
-    """JN-15 on B1: every fourth trace weighs 3, the others 1."""
-    f, m = _kind_features(spark, d)
-    weights = m.filter("trace % 4 = 0").select("trace", F.lit(3).alias("weight"))
+    """JN-15 on B1: traces with a very large value weigh 3, the others 1."""
+    f, _ = _kind_features(spark, d)
+    weights = b.traces(spark, d).filter("value > 150").select("trace", F.lit(3).alias("weight")).distinct()
     return features.weighted_features(f, weights, "trace").select("trace", "name", F.round("value", 6).alias("value"))
 
 
@@ -279,7 +279,7 @@ def connected_nodes(spark, d):
     return graph.connected(b.graph_nodes(spark, d), b.graph_edges(spark, d)).groupBy("kind").agg(F.count("*").alias("cnt"))
 
 
-@query(f"""WITH {_NODES}, {_EDGES}, seeds AS (SELECT id, kind FROM nodes WHERE kind IN ('ENTRYPOINT', 'METHODCALL', 'OPERATOR') AND label <> 'MACHINERY'),
+@query(f"""WITH {_NODES}, {_EDGES}, seeds AS (SELECT id, kind FROM nodes WHERE kind IN ('ENTRYPOINT', 'METHODCALL', 'OPERATOR')),
 w AS (SELECT src AS id, dst AS o, kind FROM edges UNION ALL SELECT dst, src, kind FROM edges),
 s AS (SELECT seeds.id, seeds.kind || '_' || coalesce(string_agg(n.kind || ':' || w.kind, ',' ORDER BY n.kind || ':' || w.kind), '') AS signature
       FROM seeds LEFT JOIN w ON w.id = seeds.id LEFT JOIN nodes n ON n.id = w.o GROUP BY seeds.id, seeds.kind),
@@ -288,35 +288,35 @@ SELECT 'g' AS graph_id, signature, cnt, round(cnt / sum(cnt) OVER (), 6) AS perc
 def neighbourhood_signature_share(spark, d):
     """AGG-10, GR-7, SRT-5 on B2."""
     n = b.graph_nodes(spark, d)
-    seeds = n.filter("kind in ('ENTRYPOINT', 'METHODCALL', 'OPERATOR') and label <> 'MACHINERY'")
+    seeds = n.filter("kind in ('ENTRYPOINT', 'METHODCALL', 'OPERATOR')")
     return graph.signatures(n, b.graph_edges(spark, d), seeds).withColumns(_r("perc"))
 
 
 def _few_edges(spark, d) -> DataFrame:
-    """B2's edges without the order-part ones of two thirds of the parts: leaves something untainted."""
-    return b.graph_edges(spark, d).filter("kind <> 'PARAMETER' or cast(substr(dst, 2) as bigint) % 3 = 0")
+    """B2's edges with parameters of returned lines alone: leaves something untainted."""
+    return b.graph_edges(spark, d, returned=True)
 
 
 _TAINT = f"""{_NODES}, {_EDGES},
-few AS (SELECT * FROM edges WHERE kind <> 'PARAMETER' OR CAST(substr(dst, 2) AS BIGINT) % 3 = 0),
+few AS (SELECT * FROM edges WHERE kind <> 'PARAMETER' UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'PARAMETER' FROM lineitem WHERE l_returnflag = 'R'),
 cls AS (SELECT id, CASE WHEN kind IN ('VALUE', 'OBJECT') THEN 'DATA' ELSE kind END AS cls FROM nodes),
 moves AS (SELECT e.src, e.dst, e.kind, 'out' AS way FROM few e JOIN cls ON cls.id = e.src
             WHERE (cls = 'DATA') OR (cls = 'OPERATOR' AND kind = 'TRANSFORMATION') OR (cls = 'METHODCALL' AND kind IN ('SUPPLIES', 'SCOPE'))
           UNION ALL SELECT e.dst, e.src, e.kind, 'in' FROM few e JOIN cls ON cls.id = e.dst WHERE cls = 'DATA' AND kind IN ('AGGREGATION', 'SCOPE')),
-seen AS (SELECT id FROM nodes WHERE kind = 'OBJECT' AND CAST(substr(id, 2) AS BIGINT) < 2 UNION SELECT m.dst FROM moves m JOIN seen ON m.src = seen.id)"""
+seen AS (SELECT id FROM nodes WHERE kind = 'OBJECT' AND label IN ('NATION_0', 'NATION_1') UNION SELECT m.dst FROM moves m JOIN seen ON m.src = seen.id)"""
 
 
 def _tainted(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     n, e = b.graph_nodes(spark, d), _few_edges(spark, d)
     moves = graph.steps(spark, n, e)
-    seeds = n.filter("kind = 'OBJECT' and cast(substr(node_id, 2) as bigint) < 2")
+    seeds = n.filter("kind = 'OBJECT' and label in ('NATION_0', 'NATION_1')")
     return n, e, moves, graph.reach(moves, seeds)
 
 
-@query("SELECT 'g' AS graph_id, 'n' || n_nationkey AS node_id FROM nation WHERE n_nationkey < 2")
+@query("SELECT 'g' AS graph_id, 'n' || n_nationkey AS node_id FROM nation WHERE n_name IN ('NATION_0', 'NATION_1')")
 def input_nodes(spark, d):
     """GR-2, PRJ-10 on B2: two nations are the inputs."""
-    return b.graph_nodes(spark, d).filter("kind = 'OBJECT' and cast(substr(node_id, 2) as bigint) < 2").select("graph_id", "node_id")
+    return b.graph_nodes(spark, d).filter("kind = 'OBJECT' and label in ('NATION_0', 'NATION_1')").select("graph_id", "node_id")
 
 
 @query(f"WITH RECURSIVE {_TAINT} SELECT 'g' AS graph_id, id AS node_id FROM seen")
@@ -332,13 +332,6 @@ def taint_transitions(spark, d):
     return graph.transitions(moves, seen)
 
 
-_LEFT = f"""{_TAINT},
-rest AS (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM seen)),
-inner_e AS (SELECT src, dst FROM few WHERE src IN (SELECT id FROM rest) AND dst IN (SELECT id FROM rest) AND kind = 'TRANSFORMATION'),
-und AS (SELECT src AS a, dst AS b FROM inner_e UNION SELECT dst, src FROM inner_e),
-lab AS (SELECT id, id AS c FROM rest UNION SELECT und.b, lab.c FROM lab JOIN und ON und.a = lab.id AND lab.c < und.b)"""
-
-
 def _concerns(spark, d) -> tuple[DataFrame, DataFrame]:
     n, e, _, seen = _tainted(spark, d)
     rest, inner = graph.untainted(n, e, seen)
@@ -359,13 +352,15 @@ def concern_boundary_restore(spark, d):
 
 
 @query("""
-WITH l AS (SELECT c_custkey AS l, c_mktsegment AS key, count(o_orderkey) AS ld FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 50 = 0 GROUP BY ALL),
-     r AS (SELECT c_custkey AS r, c_mktsegment AS key, count(o_orderkey) AS rd FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 50 = 1 GROUP BY ALL)
+WITH l AS (SELECT c_custkey AS l, c_nationkey AS key, count(o_orderkey) AS ld FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+     r AS (SELECT s_suppkey AS r, s_nationkey AS key, count(l_orderkey) AS rd FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL)
 SELECT l, r, key, round(CASE WHEN ld = 0 OR rd = 0 THEN 1 ELSE 1 - ld / greatest(ld, rd) END, 6) AS cost FROM l JOIN r USING (key)""")
 def initial_candidate_cost(spark, d):
-    """JN-2, Q-1, Q-2: two graphs of calls (customers of two residues) with degrees from their orders."""
-    deg = b.load(spark, d, "customer").join(b.load(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("key")).agg(F.count("o_orderkey").alias("degree"))
-    return graph.initial_candidates(deg.filter("node_id % 50 = 0"), deg.filter("node_id % 50 = 1")).withColumns(_r("cost"))
+    """JN-2, Q-1, Q-2: two graphs of calls (customers and suppliers, keyed by nation), degrees from their orders and lines."""
+    t = lambda n: b.load(spark, d, n)
+    l = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("key")).agg(F.count("o_orderkey").alias("degree"))
+    r = t("supplier").join(t("lineitem"), F.col("s_suppkey") == F.col("l_suppkey"), "left").groupBy(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("key")).agg(F.count("l_orderkey").alias("degree"))
+    return graph.initial_candidates(l, r).withColumns(_r("cost"))
 
 
 # scores (B4, B5) --------------------------------------------------------------------------
@@ -435,10 +430,10 @@ def best_match_lr(spark, d):
     return scores.best_matches(_pairs(spark, d), "lhs", "rhs").withColumns(_r("score"))
 
 
-@query(f"WITH {_PAIRS}, x AS (SELECT *, row_number() OVER (PARTITION BY rhs ORDER BY score DESC, lhs) AS rn FROM p WHERE lhs % 2 = 0) SELECT rhs, lhs, round(score, 6) AS score FROM x WHERE rn = 1")
+@query(f"WITH {_PAIRS}, x AS (SELECT *, row_number() OVER (PARTITION BY rhs ORDER BY score DESC, lhs) AS rn FROM p WHERE score <= 0.9) SELECT rhs, lhs, round(score, 6) AS score FROM x WHERE rn = 1")
 def best_match_rl(spark, d):
-    """WIN-6, SIM-6 on B4, right to left, with a validator: even left sides only."""
-    return scores.best_matches(_pairs(spark, d), "rhs", "lhs", F.col("lhs") % 2 == 0).withColumns(_r("score"))
+    """WIN-6, SIM-6 on B4, right to left, with a validator: near-identical pairs do not count."""
+    return scores.best_matches(_pairs(spark, d), "rhs", "lhs", F.col("score") <= 0.9).withColumns(_r("score"))
 
 
 _TOPK = """
@@ -511,11 +506,13 @@ def score_drop_clamped(spark, d):
     return scores.base_lookup(rows, bases, "base").select("base", "l_orderkey", "l_linenumber", F.round(scores.score_drop(F.col("base_score"), F.col("l_discount") * 10), 6).alias("drop_perc"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey < 400 GROUP BY 1) SELECT a.id AS a, b.id AS b, round(least(a.n, b.n) / greatest(a.n, b.n), 6) AS ratio FROM s a JOIN s b ON a.id < b.id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)""")
+@query("""WITH s AS (SELECT s_nationkey AS g, l_suppkey AS id, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
+SELECT a.id AS a, b.id AS b, round(least(a.n, b.n) / greatest(a.n, b.n), 6) AS ratio FROM s a JOIN s b ON a.g = b.g AND a.id < b.id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)""")
 def size_band_prefilter(spark, d):
-    """JN-8: the orders of an entry point (the first 400 keys are one) by their number of records."""
-    sizes = b.load(spark, d, "lineitem").filter("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
-    return scores.size_band(sizes).withColumns(_r("ratio"))
+    """JN-8: nations are entry points, suppliers their traces, lines their records."""
+    lines = b.load(spark, d, "lineitem").join(b.load(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    sizes = lines.groupBy(F.col("s_nationkey").alias("g"), F.col("l_suppkey").alias("id")).agg(F.count("*").alias("n"))
+    return scores.size_band(sizes, group=["g"]).select("a", "b", "ratio").withColumns(_r("ratio"))
 
 
 @query("""SELECT l_returnflag AS grp, round(max(CASE WHEN l_tax = 0 THEN NULL ELSE l_discount / l_tax END), 6) AS score FROM lineitem GROUP BY 1""")
@@ -583,13 +580,13 @@ def number_matches(spark, d):
     return b.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codes.number_match(x, y).alias("matches"))
 
 
-@query("""SELECT a.p_partkey AS l, b.p_partkey AS r, CAST(starts_with(a.n, b.n) OR starts_with(b.n, a.n) OR a.p_type = b.p_type AS INT) AS matched
-FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS n, p_type, p_size FROM part WHERE p_partkey % 40 = 0) a JOIN (SELECT p_partkey, split_part(p_name, ' ', 2) AS n, p_type, p_size FROM part WHERE p_partkey % 40 = 1) b ON a.p_size % 10 = b.p_size % 10""")
+@query("""WITH x AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS n, split_part(p_name, ' ', 2) AS m, p_retailprice > 1000 AS ret, p_type, p_size, p_brand FROM part)
+SELECT a.p_partkey AS l, b.p_partkey AS r, CAST(starts_with(a.n, b.m) OR starts_with(b.m, a.n) OR a.ret = b.ret AS INT) AS matched FROM x a JOIN x b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_type = 'PROMO' AND b.p_type = 'STANDARD'""")
 def call_matches(spark, d):
-    """FN-21 on parts: names by prefix or equal return types, within candidate blocks."""
-    p = b.load(spark, d, "part").withColumn("block", F.col("p_size") % 10)
-    side = lambda i, word, out: p.filter(F.col("p_partkey") % 40 == i).select(F.col("p_partkey").alias(out), "block", F.struct(F.split("p_name", " ")[word].alias("name"), F.col("p_type").alias("ret")).alias(f"{out}_s"))
-    return side(0, 0, "l").join(side(1, 1, "r"), "block").select("l", "r", codes.call_match(F.col("l_s"), F.col("r_s")).alias("matched"))
+    """FN-21: promotional and standard parts are the calls of two graphs; names by prefix or equal return types, within candidate blocks."""
+    p = b.load(spark, d, "part")
+    side = lambda kind, word, out: p.filter(F.col("p_type") == kind).select(F.col("p_partkey").alias(out), "p_size", "p_brand", F.struct(F.split("p_name", " ")[word].alias("name"), (F.col("p_retailprice") > 1000).alias("ret")).alias(f"{out}_s"))
+    return side("PROMO", 0, "l").join(side("STANDARD", 1, "r"), ["p_size", "p_brand"]).select("l", "r", codes.call_match(F.col("l_s"), F.col("r_s")).alias("matched"))
 
 
 @query("""SELECT DISTINCT name FROM (SELECT event_type AS name FROM events UNION ALL SELECT o_orderstatus FROM orders UNION ALL SELECT p_type FROM part)""")

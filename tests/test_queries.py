@@ -1,6 +1,6 @@
 import pytest
 
-from spoor.plans import registry
+from spoor.plans import more, registry  # noqa: F401
 from tests.oracle import assert_same
 
 
