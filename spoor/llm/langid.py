@@ -29,7 +29,7 @@ UND = "und"
 SAMPLE_PER_LANG = 800
 MAX_LANGS = 200
 #: The pipeline keeps documents whose language is at least this sure.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 
 class ByteConvNet:
