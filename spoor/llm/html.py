@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spoor.llm.common import load, map_batches, texts
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^\"'>])*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+(?:>|\Z)|</?[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|aria-label|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _RAW = {"script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "object", "math", "canvas", "select", "button", "xmp", "noframes", "audio", "video"}
