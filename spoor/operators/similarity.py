@@ -6,7 +6,7 @@ grouped pandas functions, in parallel over pairs and entry points.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -218,12 +218,11 @@ def condense_traces(sets: DataFrame, entry: str, trace: str, codes: str, thresho
     """
 
     def similar(a, b) -> float:
-        ca, cb = pd.Series(a[1]).value_counts(), pd.Series(b[1]).value_counts()
-        return 2 * float(np.minimum(ca, cb.reindex(ca.index, fill_value=0)).sum()) / max(1, len(a[1]) + len(b[1]))
+        return 2 * sum((a[1] & b[1]).values()) / max(1, a[2] + b[2])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf[trace], pdf[codes]), key=lambda r: r[0])
-        found = condense(rows, similar, lambda x: len(x[1]), threshold)
+        rows = sorted(((t, Counter(c), len(c)) for t, c in zip(pdf[trace], pdf[codes])), key=lambda r: r[0])
+        found = condense(rows, similar, lambda x: x[2], threshold)
         return pd.DataFrame({entry: pdf[entry].iloc[0], "leader": [x[0] for x, _ in found], "weight": [n for _, n in found]})
 
     t = {f.name: f.dataType.simpleString() for f in sets.schema}

@@ -105,3 +105,9 @@ def test_pairs_dedupe_and_exclusion(spark):
     assert d == {("a", "b"): 0.7, ("a", "c"): 0.1}
     bad = spark.createDataFrame([("b", "a")], "lhs string, rhs string")
     assert scores.without_pairs(s, bad).count() == 1
+
+
+def test_condense_traces(spark):
+    rows = [(0, 1, ["a", "b", "c"]), (0, 2, ["a", "b", "c"]), (0, 3, ["x", "y", "z"]), (1, 4, ["a"])]
+    out = similarity.condense_traces(spark.createDataFrame(rows, "entry long, trace long, codes array<string>"), "entry", "trace", "codes")
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 1, 2), (0, 3, 1), (1, 4, 1)]
