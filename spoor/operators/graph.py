@@ -83,9 +83,9 @@ def reach(moves: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFr
 
     Each round shuffles the frontier alone; what has been seen is an anti-join away, so cycles end.
     """
-    seen = _spill(seeds.select("graph_id", "node_id").distinct(), "seen")
-    frontier = seen
-    for _ in range(most_rounds):
+    moves = _spill(moves.select("graph_id", "src", "dst").distinct(), "moves")  # read in every round, made once
+    seen = frontier = _spill(seeds.select("graph_id", "node_id").distinct(), "seen")
+    for n in range(1, most_rounds + 1):
         nxt = (
             moves.join(frontier.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id")).distinct()
             .join(seen, ["graph_id", "node_id"], "left_anti")
@@ -93,7 +93,9 @@ def reach(moves: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFr
         frontier = _spill(nxt, "frontier")
         if frontier.isEmpty():
             break
-        seen = _spill(seen.unionByName(frontier), "seen")
+        seen = seen.unionByName(frontier)  # the written rounds side by side
+        if n % 16 == 0:
+            seen = _spill(seen, "seen")
     return seen
 
 
