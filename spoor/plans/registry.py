@@ -201,10 +201,14 @@ px AS (SELECT entry, depth, array_to_string(chain[1:depth], '>') AS prefix, max(
        FROM (SELECT entry, chain, unnest(range(0, len(chain) + 1)) AS depth FROM ch) GROUP BY 1, 2, 3)"""
 
 
-def _chains(spark, d) -> DataFrame:
-    """Errors are assertions, the n-th one tests condition n, large values are true; six at most."""
+#: The same without a bound: every assertion of every trace.
+_WHOLE_CHAINS = _CHAINS.replace(" WHERE i <= 6", "")
+
+
+def _chains(spark, d, cap: int | None = 6) -> DataFrame:
+    """Errors are assertions, the n-th one tests condition n, large values are true; six at most, or all without a cap."""
     a = trace.of_kinds(b.traces(spark, d), "error")
-    raw = branch.chains(a, "entry", "trace", ["ts", "seq"], F.when(F.col("value") > 20, "T").otherwise("F"), cap=6)
+    raw = branch.chains(a, "entry", "trace", ["ts", "seq"], F.when(F.col("value") > 20, "T").otherwise("F"), cap=cap)
     return raw.withColumn("chain", F.transform("chain", lambda x, i: F.concat(F.lit("c"), (i + 1).cast("string"), F.lit("="), x)))
 
 
@@ -227,6 +231,25 @@ def path_conditions(spark, d):
     return branch.path_conditions(_chains(spark, d), "entry")
 
 
+@query(f"WITH {_WHOLE_CHAINS} SELECT entry, CAST(depth AS INT) AS depth, prefix, split FROM px")
+def branch_prefixes_whole(spark, d):
+    """BR-1 on whole chains of B3."""
+    return branch.prefixes(_chains(spark, d, cap=None), "entry")
+
+
+@query(f"""WITH {_WHOLE_CHAINS}, i AS (SELECT entry, count(split) AS internals FROM px GROUP BY 1), dd AS (SELECT entry, max(len(chain)) AS d FROM ch GROUP BY 1)
+SELECT entry, CAST(d + 2 AS BIGINT) AS height, 2 * internals + 2 AS size, internals + 1 AS terminals, internals FROM i JOIN dd USING (entry)""")
+def branch_metrics_whole(spark, d):
+    """BR-2, AGG-21 on whole chains of B3."""
+    return branch.metrics(_chains(spark, d, cap=None), "entry")
+
+
+@query(f"WITH {_WHOLE_CHAINS} SELECT entry, count(DISTINCT array_to_string(list_sort(chain), '|')) AS conditions FROM ch GROUP BY 1")
+def path_conditions_whole(spark, d):
+    """BR-2: distinct sets of conditions on whole chains of B3."""
+    return branch.path_conditions(_chains(spark, d, cap=None), "entry")
+
+
 # graphs (B2) ------------------------------------------------------------------------------
 
 _NODES = """

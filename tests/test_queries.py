@@ -33,3 +33,10 @@ def test_components_against_union_find(spark, sf):
         parent[max(a, b)] = min(a, b)
     found = {r["node_id"]: r["component_id"] for r in graph.weak_components(rest, inner).collect()}
     assert found == {x: root(x) for x in parent}
+
+
+def test_whole_branch_chains_drop_no_assertion(spark, sf):
+    longest = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").groupBy("user_id").count().agg({"count": "max"}).first()[0]
+    assert longest > 6
+    assert max(r["height"] for r in registry.QUERIES["branch_metrics_whole"](spark, sf).collect()) == longest + 2
+    assert max(r["depth"] for r in registry.QUERIES["branch_prefixes_whole"](spark, sf).collect()) == longest
