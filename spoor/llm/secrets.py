@@ -4,7 +4,8 @@ The guess cost of a value is the least number of bits over all ways to cut it in
 dates, repeats, keyboard walks and brute-force spans, found by dynamic programming.  Values
 that stand in a credential context (a key such as ``pwd`` with a sign, a bearer header, the
 password of a URL) and cost at least ``MIN_BITS`` are added as spans of kind ``guess``;
-spans of the base patterns always stay, and an added span never overlaps one of them.
+spans of the base patterns always stay, and an added span is never covered by them: where a
+base pattern takes only part of a value, the whole value is added beside it.
 
 Defined cases: a null or empty text has no spans; spans are whole matches (for ``assign``
 key, sign and value) in code points with exclusive end; letters of keys match in either
@@ -30,13 +31,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 44.0
 
-#: Contexts beside the base patterns; the last group is the value.
+#: Contexts of values: keys with a sign, bearer headers, passwords of URLs; the group that matched is the value.
+#: A quoted value of a key goes to its quote, any other one to white space, a quote or a separator.
 CONTEXT = re.compile(
-    r"""(?:(?<![A-Za-z0-9])(?:pwd|pass|passphrase|pin|credentials?|auth|authorization|private_?key|access_?key|secret_?key|client_?id|passcode|login)["']?\x20*(?:=>|[:=])\x20*["']?"""
-    r"""(?:(?:bearer|basic)\x20+)?|(?<![A-Za-z0-9])bearer\x20+|://[^\s:/@"']+:)([^\s"'<>,;@]{6,})""",
+    r"""(?:password|passwd|secret|token|api_?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|pin|credentials?|auth|authorization|private_?key|access_?key|secret_?key|client_?id|passcode|login))"""
+    r"""["']?\x20*(?:=>|[:=])\x20*(?:"(?:(?:bearer|basic)\x20+)?([^\s"]{6,})(?=")|'(?:(?:bearer|basic)\x20+)?([^\s']{6,})(?=')|["']?(?:(?:bearer|basic)\x20+)?([^\s"'<>,;]{6,}))"""
+    r"""|(?:(?<![A-Za-z0-9])bearer\x20+|://[^\s:/@"']+:)([^\s"'<>,;@]{6,})""",
     re.I | re.A,
 )
-_HINTS = ("pwd", "pass", "pin", "credential", "auth", "key", "client", "login", "bearer", "://")
+_HINTS = ("pwd", "pass", "pin", "credential", "auth", "key", "client", "login", "bearer", "://", "secret", "token")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Common words of passwords, the commonest first (fixed values).
@@ -140,20 +143,29 @@ def _place(span: tuple[str, int, int]) -> tuple[int, int]:
 
 
 def all_spans(text: str, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
-    """Base spans and, where they leave room, values of credential contexts that are hard to guess."""
+    """Base spans and values of credential contexts that are hard to guess and that base spans do not cover."""
     found = base_spans(text)
     low = text.lower()
     if not any(k in low for k in _HINTS):
         return found
     base = list(found)
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        b = a + len(m[1].rstrip(".:!?)]}"))
-        if b - a >= 6 and not any(s < b and a < e for _, s, e in base) and guess_bits(text[a:b]) >= min_bits:
+        a, b = m.span(m.lastindex)
+        if m.lastindex > 2:  # no closing quote says where the value ends
+            b = a + len(text[a:b].rstrip(".:!?)]}"))
+        if b - a >= 6 and not _covered(a, b, base) and guess_bits(text[a:b]) >= min_bits:
             found.append(("guess", a, b))
     return sorted(found, key=_place)
 
 
+def _covered(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether spans, in order of their starts, leave nothing of a to b."""
+    for _, s, e in spans:
+        if s <= a < e:
+            a = e
+    return a >= b
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = MIN_BITS) -> DataFrame:
     """id and spans [(kind, start, stop, bits)] of every row; bits is the guess cost of the value. One narrow pass."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

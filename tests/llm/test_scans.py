@@ -47,6 +47,25 @@ def test_secret_spans(spark, odd, none):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("password: X$9k#Lq!v2ZpW end", "password: [REDACTED] end"), ("'password' => 'X$9k#Lq,v2;Zp@W' end", "'password' => '[REDACTED]' end"),
+        ("client_secret=aB$kX9#vQ2!mZ7pL", "client_secret=[REDACTED]"), ("password=abcdef$Gh!9kQ2 end", "[REDACTED] end"),
+        ("pwd=p@X9kQ2!vLm#7 end", "pwd=[REDACTED] end"), ('api_key: "q;X9,kQ2@vLm7!"', 'api_key: "[REDACTED]"'), ("token: Bearer kX9#vQ2$mZ7pL, x", "[REDACTED] [REDACTED], x"),
+        ("mysql://joe:kX9#vQ2!mZ7pL@host/db", "mysql://joe:[REDACTED]@host/db"), ("pwd=kX9#vQ2!mZ7pL;Server=db", "pwd=[REDACTED];Server=db"),
+        ("passwd: 'hello' and so on, secret = 'no'", "passwd: 'hello' and so on, secret = 'no'"),
+    ],
+)
+def test_whole_values_are_redacted(text, clean):
+    assert secrets.redact(text, secrets.all_spans(text)) == clean
+
+
+def test_base_spans_stay_beside_the_whole_value():
+    text = "password=abcdef$Gh!9kQ2 token=abcdefgh"
+    assert [(k, text[a:b]) for k, a, b in secrets.all_spans(text)] == [("assign", "password=abcdef"), ("guess", "abcdef$Gh!9kQ2"), ("assign", "token=abcdefgh")]
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 4608, 4609, 80_000])
 def test_transport_round_trip(n):
     p = transport.pad(os.urandom(n))
