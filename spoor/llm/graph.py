@@ -9,7 +9,8 @@ from spoor.llm.common import staged
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    """Equal for equal sets of edges; exclusive or cannot overflow, whatever their number."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from spoor.llm import near, substring
-from spoor.llm.graph import components
+from spoor.llm.graph import _mark, components
 
 
 def shingles(text):
@@ -137,3 +137,9 @@ def test_window_hashes_tell_windows_apart(size):
     for i in range(len(codes) - size + 1):
         assert seen.setdefault(tuple(codes[i : i + size]), h[i]) == h[i]
     assert len(set(h.tolist())) == len(seen)
+
+
+def test_mark_of_more_edges_than_a_long_can_sum(spark):
+    edges = spark.range(18_000_000).selectExpr("id + 1 as u", "0L as v")
+    n, mark = _mark(edges)
+    assert n == 18_000_000 and mark != _mark(edges.filter("u <> 7"))[1]
