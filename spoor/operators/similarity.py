@@ -13,9 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Above so many cells the assignment is greedy (our choice: the original's switch is unknown).
-HUNGARIAN_CELLS = 40_000
-
 
 def hungarian(costs: np.ndarray) -> np.ndarray:
     """SIM-1: least-cost assignment of rows to columns by shortest augmenting paths; -1 where a row gets none.
@@ -68,16 +65,11 @@ def greedy(costs: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(costs: np.ndarray, cells: int = HUNGARIAN_CELLS) -> np.ndarray:
-    c = np.asarray(costs, float)
-    return hungarian(c) if c.size <= cells else greedy(c)
-
-
 def matches(costs: np.ndarray, threshold: float = 0.0) -> list[tuple[int, int, float]]:
     """SIM-3: (row, column, similarity) of assigned pairs at or above the threshold."""
     if not np.size(costs):
         return []
-    return [(i, int(j), 1 - float(costs[i][j])) for i, j in enumerate(assign(costs)) if j >= 0 and 1 - costs[i][j] >= threshold]
+    return [(i, int(j), 1 - float(costs[i][j])) for i, j in enumerate(hungarian(costs)) if j >= 0 and 1 - costs[i][j] >= threshold]
 
 
 class Graph:
@@ -108,6 +100,33 @@ def node_match(a: dict, b: dict) -> bool:
     return x == y
 
 
+def _blocks(cost: dict[tuple[str, str], float]) -> list[tuple[list[str], list[str]]]:
+    """Rows and columns joined by costs below 1, the cost of unlike pairs: blocks can be solved each by itself without loss."""
+    rows, columns = defaultdict(list), defaultdict(list)
+    for (l, r), v in cost.items():
+        if v < 1:
+            rows[l].append(r)
+            columns[r].append(l)
+    seen: set[str] = set()
+    out = []
+    for first in sorted(rows):
+        if first in seen:
+            continue
+        seen.add(first)
+        todo, ls, rs = [first], [], set()
+        while todo:
+            l = todo.pop()
+            ls.append(l)
+            for r in rows[l]:
+                if r not in rs:
+                    rs.add(r)
+                    new = [x for x in columns[r] if x not in seen]
+                    seen.update(new)
+                    todo += new
+        out.append((sorted(ls), sorted(rs)))
+    return out
+
+
 def compare(left: Graph, right: Graph, match: Callable[[dict, dict], bool] = node_match, residual: float = 0.7) -> dict:
     """SIM-4: initial candidates, assignment, propagation over matching edges, residual assignment, propagation.
 
@@ -121,11 +140,11 @@ def compare(left: Graph, right: Graph, match: Callable[[dict, dict], bool] = nod
     def best(ls: list[str], rs: list[str], cost: dict[tuple[str, str], float], threshold: float = 0.0) -> list[tuple[str, str]]:
         if not ls or not rs:
             return []
-        c = np.ones((len(ls), len(rs)))
-        li, ri = {x: i for i, x in enumerate(ls)}, {x: i for i, x in enumerate(rs)}
-        for (l, r), v in cost.items():
-            c[li[l], ri[r]] = v
-        return [(ls[i], rs[j]) for i, j, s in matches(c, threshold) if s > 0]
+        out = []
+        for bl, br in _blocks(cost):
+            c = np.array([[cost.get((l, r), 1.0) for r in br] for l in bl])
+            out += [(bl[i], br[j]) for i, j, s in matches(c, threshold) if s > 0]
+        return sorted(out)
 
     def take(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
         for l, r in pairs:

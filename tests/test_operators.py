@@ -45,6 +45,28 @@ def test_compare_graphs():
     assert similarity.edge_match("PARAMETER", "SCOPE") and not similarity.edge_match("SCOPE", "SUPPLIES")
 
 
+def test_large_graphs_are_assigned_optimally():
+    def wide(degrees, label):
+        nodes = {f"o{i:03}": {"kind": "OPERATOR", "label": label(i)} for i in range(len(degrees))}
+        return similarity.Graph(nodes, [(f"o{i:03}", f"o{i:03}", "SUPPLIES") for i, n in enumerate(degrees) for _ in range(n)])
+
+    n = 206
+    label = lambda i: str(i // 2)  # noqa: E731  pairs of alike nodes, more than 200 in all
+    left, right = wide([3, 1] * (n // 2), label), wide([1, 3] * (n // 2), label)
+    found = dict(similarity.compare(left, right)["mapping"])
+    assert found == {f"o{i:03}": f"o{i ^ 1:03}" for i in range(n)}
+
+
+def test_blocks_lose_nothing():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        full = np.where(rng.random((9, 7)) < 0.2, rng.random((9, 7)).round(2), 1.0)
+        cost = {(i, j): full[i, j] for i in range(9) for j in range(7)}
+        parts = [full[np.ix_(a, b)] for a, b in similarity._blocks(cost)]
+        total = lambda c: sum(s for *_, s in similarity.matches(c))
+        assert sum(map(total, parts)) == pytest.approx(total(full))
+
+
 def test_condense():
     close = lambda a, b: 1.0 if abs(a - b) <= 1 else 0.0
     assert similarity.condense([10, 10, 30, 11, 31], close, lambda x: x) == [(10, 3), (30, 2)]
