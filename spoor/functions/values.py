@@ -6,6 +6,8 @@ hashes bottom-up, so that two trees match when their hashes are equal.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +34,25 @@ def stack_match(a: Column, b: Column) -> Column:
     )
 
 
-def canonical(exprs: DataFrame, most_rounds: int = 64) -> DataFrame:
+def canonical(exprs: DataFrame) -> DataFrame:
     """FN-26: (expr_id, canon): hashes of expression trees; both operands of every operator commute, not and cast unwrap.
 
     exprs is (expr_id, op, lhs, rhs, leaf); a leaf has text, the others operands.  Rounds are
     as many as the deepest tree has levels.
     """
+    from spoor.operators.graph import _spill
+
     done = exprs.filter("leaf is not null").select("expr_id", F.xxhash64("leaf").alias("canon"))
     rest = exprs.filter("leaf is null")
-    for _ in range(most_rounds):
+    for n in count(1):
         l, r = done.select(F.col("expr_id").alias("lhs"), F.col("canon").alias("lc")), done.select(F.col("expr_id").alias("rhs"), F.col("canon").alias("rc"))
         ready = rest.join(l, "lhs").join(r, "rhs", "left").filter("rhs is null or rc is not null")
         value = F.when(F.col("op").isin("NOT", "CAST"), F.col("lc")).otherwise(F.xxhash64("op", F.least("lc", "rc"), F.greatest("lc", "rc")))
-        new = ready.select("expr_id", value.alias("canon")).join(done, "expr_id", "left_anti").cache()
+        new = _spill(ready.select("expr_id", value.alias("canon")).join(done, "expr_id", "left_anti"), "new")
         if new.isEmpty():
             break
         done = done.unionByName(new)
         rest = rest.join(new.select("expr_id"), "expr_id", "left_anti")
+        if n % 4 == 0:  # plans stay short however deep the trees are
+            done, rest = _spill(done, "done"), _spill(rest, "rest")
     return done

@@ -6,7 +6,7 @@ nodes(graph_id, node_id, kind, label) and edges(graph_id, src, dst, kind).
 from __future__ import annotations
 
 import uuid
-from itertools import permutations
+from itertools import count, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,14 +78,14 @@ def steps(spark: SparkSession, nodes: DataFrame, edges: DataFrame, rules: tuple
     return moves.join(cls, ["graph_id", "src"]).join(F.broadcast(table), ["cls", "kind", "way"]).select("graph_id", "src", "dst", "kind", "way")
 
 
-def reach(moves: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def reach(moves: DataFrame, seeds: DataFrame) -> DataFrame:
     """GR-3: (graph_id, node_id) reachable from the seeds: frontier joins until nothing is new.
 
     Each round shuffles the frontier alone; what has been seen is an anti-join away, so cycles end.
     """
     moves = _spill(moves.select("graph_id", "src", "dst").distinct(), "moves")  # read in every round, made once
     seen = frontier = _spill(seeds.select("graph_id", "node_id").distinct(), "seen")
-    for n in range(1, most_rounds + 1):
+    for n in count(1):
         nxt = (
             moves.join(frontier.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node_id")).distinct()
             .join(seen, ["graph_id", "node_id"], "left_anti")
@@ -112,7 +112,7 @@ def untainted(nodes: DataFrame, edges: DataFrame, tainted: DataFrame) -> tuple[D
     return left, inner
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR-5: (graph_id, node_id, component_id): least node of the weakly connected component; isolated nodes are their own.
 
     Labels take the least of their neighbours', then jump to their label's label: rounds
@@ -122,7 +122,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200)
         edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("graph_id", F.col("dst").alias("a"), F.col("src").alias("b"))).filter("a <> b").distinct(), "links"
     )
     labels = _spill(nodes.select("graph_id", "node_id", F.col("node_id").alias("c")), "labels")
-    for _ in range(most_rounds):
+    while True:
         best = links.join(labels.select("graph_id", F.col("node_id").alias("b"), "c"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node_id")).agg(F.min("c").alias("m"))
         lower = labels.join(best, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
         lower = _spill(lower, "lower")

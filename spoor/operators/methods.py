@@ -20,11 +20,11 @@ ANNOTATIONS = (
 )
 
 
-def subtypes(types: DataFrame, ancestor: str, most_rounds: int = 64) -> DataFrame:
+def subtypes(types: DataFrame, ancestor: str) -> DataFrame:
     """PRJ-9: every type that extends or implements ``ancestor``, itself included; rounds are as many as the hierarchy is deep."""
     seen = types.sparkSession.createDataFrame([(ancestor,)], "type string")
     frontier = seen
-    for _ in range(most_rounds):
+    while True:
         nxt = types.join(frontier.withColumnRenamed("type", "parent"), "parent").select("type").distinct().join(seen, "type", "left_anti").cache()
         if nxt.isEmpty():
             break

@@ -329,8 +329,14 @@ moves AS (SELECT e.src, e.dst, e.kind, 'out' AS way FROM few e JOIN cls ON cls.i
 seen AS (SELECT id FROM nodes WHERE kind = 'OBJECT' AND label IN ('NATION_0', 'NATION_1') UNION SELECT m.dst FROM moves m JOIN seen ON m.src = seen.id)"""
 
 
-def _tainted(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    n, e = b.graph_nodes(spark, d), _few_edges(spark, d)
+#: The same over all edges.
+_WHOLE_TAINT = _TAINT.replace(
+    " WHERE kind <> 'PARAMETER' UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'PARAMETER' FROM lineitem WHERE l_returnflag = 'R')", ")"
+)
+
+
+def _tainted(spark, d, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    n, e = b.graph_nodes(spark, d), b.graph_edges(spark, d) if whole else _few_edges(spark, d)
     moves = graph.steps(spark, n, e)
     seeds = n.filter("kind = 'OBJECT' and label in ('NATION_0', 'NATION_1')")
     return n, e, moves, graph.reach(moves, seeds)
@@ -355,6 +361,19 @@ def taint_transitions(spark, d):
     return graph.transitions(moves, seen)
 
 
+@query(f"WITH RECURSIVE {_WHOLE_TAINT} SELECT 'g' AS graph_id, id AS node_id FROM seen")
+def taint_reachability_whole(spark, d):
+    """GR-3 on all edges of B2."""
+    return _tainted(spark, d, whole=True)[3]
+
+
+@query(f"WITH RECURSIVE {_WHOLE_TAINT} SELECT DISTINCT 'g' AS graph_id, src, dst, kind FROM moves WHERE src IN (SELECT id FROM seen)")
+def taint_transitions_whole(spark, d):
+    """GR-3, GR-4 on all edges of B2."""
+    _, _, moves, seen = _tainted(spark, d, whole=True)
+    return graph.transitions(moves, seen)
+
+
 def _concerns(spark, d) -> tuple[DataFrame, DataFrame]:
     n, e, _, seen = _tainted(spark, d)
     rest, inner = graph.untainted(n, e, seen)

@@ -102,3 +102,9 @@ def test_streaming_counts(spark, tmp_path):
     q.stop()
     assert {(r["trace"], r["kind"]): r["cnt"] for r in spark.table("counts").collect()} == {("t", "a"): 2, ("t", "Halt"): 1, ("u", "a"): 1}
     assert kinds.finished(src, "ts").filter("halted").first()["n"] == 3
+
+
+def test_deep_trees_get_their_hash(spark):
+    rows = [(0, None, None, None, "x"), *[(i, "NOT", i - 1, None, None) for i in range(1, 68)]]
+    h = {r["expr_id"]: r["canon"] for r in values.canonical(spark.createDataFrame(rows, "expr_id long, op string, lhs long, rhs long, leaf string")).collect()}
+    assert len(h) == 68 and len(set(h.values())) == 1
