@@ -29,7 +29,9 @@ from spoor.llm.common import load, map_batches, texts
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+(?:>|\Z)|</?[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|aria-label|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_RAW = {"script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "object", "math", "canvas", "select", "button", "xmp", "noframes", "audio", "video"}
+_RAW = {"script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "canvas", "select", "button", "xmp", "noframes", "audio", "video"}
+#: Raw elements that hold elements: where one is never closed, what follows is read on.
+_HOLDS = {"template", "svg", "canvas", "select", "button", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt",
@@ -121,10 +123,14 @@ def blocks(page: str) -> list[Block]:
                 close()
             lower = lower or page.lower()
             end = lower.find("</" + name, at) if len(lower) == len(page) else (e.start() if (e := re.compile("</" + name, re.I).search(page, at)) else -1)
-            if end < 0:  # never closed: nothing after it is text
+            if name in ("button", "select") and end >= 0 and re.compile("<" + name + r"[\s>]", re.I).search(page, at, end):
+                end = -1  # these do not nest: the end tag belongs to a later one
+            if end >= 0:
+                at = page.find(">", end)
+                at = at + 1 if at >= 0 else len(page) + 1
+                continue
+            if name not in _HOLDS:  # never closed: nothing after it is text
                 break
-            at = page.find(">", end)
-            at = at + 1 if at >= 0 else len(page) + 1
             continue
         if name == "a":
             link_depth = max(0, link_depth + (-1 if closing else 1))

@@ -117,6 +117,17 @@ def test_main_text(page, text):
     assert html.main_text(page, html.trained()) == text
 
 
+@pytest.mark.parametrize("name", sorted(html._HOLDS))
+def test_text_goes_on_after_an_unclosed_element(name):
+    assert html.main_text(f"<article><p>x</p><{name} id=a><p>y</p></article>", html.trained()) == "x y"
+    assert html.main_text(f"<article><p>x</p><{name}>No</{name}><p>y</p></article>", html.trained()) == "x y"
+
+
+def test_content_of_math_and_objects_and_text_before_a_later_button():
+    assert html.main_text("<article><p>x</p><math><mi>a</mi></math><object data=b>c</object><p>y</p></article>", html.trained()) == "x a c y"
+    assert html.main_text("<article><p>x</p><button>a<p>y</p><button>No</button><p>z</p></article>", html.trained()) == "x a y z"
+
+
 def test_pages(spark, sf):
     import re
     from html import unescape
