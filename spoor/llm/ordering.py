@@ -3,33 +3,43 @@
 Documents become fixed-length sequences of token ids.  A keyed Feistel network permutes
 [0, 2^b), and cycle-walking (apply it again until the result is below n) makes it a
 permutation of [0, n): every sequence's number gives its global slot with no sort and no
-coordination.  Rows are then dealt by slot range and written as shards of equal stride, so
-slot s is record s % per_shard of shard s // per_shard, at byte (s % per_shard) * stride.
+coordination.  Rows are then dealt by slot range, and each range is one file of records of
+equal stride: slot s is record s % per_file of file s // per_file, at byte
+(s % per_file) * stride.  A reader that knows the slot seeks there and reads on, which is all
+that resuming takes.  (The line break that Spark's text writer adds ends a file, behind its
+last record.)  An index table holds the documents and the length of each slot.
 
 The sequences are written once, and a sequence's number is its file's first number plus
 its row in the file: a task that runs again cannot change it.
 
-Defined cases: a null text is empty and gives its end id alone; the last sequence of an
-input partition may be short and is padded with id 0 (``n_tokens`` tells); an empty table
-gives no rows; repeated rows stay; columns other than id and text are not read.
+Defined cases: a null text is empty and gives its end id alone; a very long text is cut into
+as many sequences as it fills; the last sequence of an input partition may be short and is
+padded with id 0 (``n_tokens`` tells); an empty table gives no rows and no files; repeated
+rows stay; ids of 16 bits or more raise; columns other than id and text are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from spoor.llm.common import load, numbered, staged, texts
-from spoor.llm.tokens import END_ID, chunks, shared_encoder
+from spoor.llm.common import load, numbered, shared_dir
+from spoor.llm.tokens import shared_encoder
 
-LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 256, 20240607, 6
-PART_BYTES = 32 << 20
+LENGTH, KEY, ROUNDS = 1024, 20240607, 6
+#: A file has about so many bytes.
+FILE_BYTES = 16 << 20
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -58,118 +68,104 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
-    """(doc_ids, n_tokens, ids): the id streams of each input partition, cut every ``length`` ids (unsigned 16 bits)."""
+    """(doc_ids, n_tokens, ids): the id streams of each input partition, cut every ``length`` ids (unsigned 16 bits, zstd)."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = f"doc_ids array<{kind}>, n_tokens int, ids binary"
+    schema = f"doc_ids array<{own.schema['id'].dataType.simpleString()}>, n_tokens int, ids binary"
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer)
+        encoder, squeeze = shared_encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
-        held, members, room, rows = [], [], length, []
-
-        def close() -> None:
-            nonlocal room
-            ids = np.concatenate(held)
-            rows.append((list(members), len(ids), ids.tobytes() + b"\0\0" * (length - len(ids))))
-            held.clear()
-            members.clear()
-            room = length
+        held, members, rows = np.zeros(0, "<u2"), [], []
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
             rows.clear()
             return batch
 
-        end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for part in chunks(list(zip(batch.column(0).to_pylist(), texts(batch)))):
-                for (key, _), raw in zip(part, encoder.batch([t for _, t in part])):
-                    ids = np.frombuffer(raw + end, "<u4").astype("<u2")
-                    while len(ids):
-                        held.append(ids[:room])
-                        members.append(key)
-                        ids, room = ids[room:], room - len(held[-1])
-                        if not room:
-                            close()
-                    if len(rows) >= 1024:
-                        yield out()
-        if held:
-            close()
+            keys = batch.column(0)
+            for a, b, ids, offsets in encoder.column(batch.column(1)):
+                stream = np.concatenate([held, ids.astype("<u2")])
+                stops = offsets[1:] + len(held)  # of the documents in the stream
+                names = keys[a:b].to_pylist()
+                for at in range(0, len(stream) - length + 1, length):
+                    lo, hi = np.searchsorted(stops, [at, at + length - 1], "right").tolist()
+                    rows.append(((members if at == 0 else []) + names[lo : hi + 1], length, squeeze(stream[at : at + length].tobytes())))
+                whole = len(stream) // length * length
+                members = (members if not whole else []) + names[int(np.searchsorted(stops, whole, "right")) :]
+                held = stream[whole:].copy()
+                if len(rows) >= 1024:
+                    yield out()
+        if len(held):
+            rows.append((members, len(held), squeeze(held.tobytes() + b"\0\0" * (length - len(held)))))
         if rows:
             yield out()
 
     return own.mapInArrow(run, schema)
 
 
-def materialise(seqs: DataFrame, key: int = KEY, per_shard: int = PER_SHARD, length: int = LENGTH, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Write the shards and return them: (shard, first_slot, doc_ids, n_tokens, payload), one row for each shard.
+@dataclass(frozen=True)
+class Shards:
+    """A folder of shard files and the index of their slots."""
+
+    folder: str
+    slots: int
+    per_file: int
+    stride: int
+    index: DataFrame  # (slot, doc_ids, n_tokens)
 
-    A payload is ``per_shard`` records of ``2 * length`` bytes (fewer in the last shard).
-    """
+
+def materialise(seqs: DataFrame, key: int = KEY, length: int = LENGTH, file_bytes: int = FILE_BYTES) -> Shards:
+    """Write the shard files, one for each range of slots."""
+    spark = seqs.sparkSession
     rows, n = numbered(seqs, "number", "sequences")
 
     @F.pandas_udf("bigint")
     def slot_of(number: pd.Series) -> pd.Series:
         return pd.Series(permute(number.to_numpy(), n, key))
 
-    slotted = rows.select(slot_of("number").alias("slot"), "doc_ids", "n_tokens", "ids")
-    shards = max(1, -(-n // per_shard))
-    parts = max(1, min(shards, -(-n * length * 2 // part_bytes)))
-    each = -(-shards // parts)
-    dealt = slotted.repartitionById(parts, F.floor(F.col("slot") / (per_shard * each)).cast("int")).sortWithinPartitions("slot")
-    kind = seqs.schema["doc_ids"].dataType.simpleString()
-    schema = f"shard bigint, first_slot bigint, doc_ids array<{kind}>, n_tokens array<int>, payload binary"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    slotted = rows.withColumn("slot", slot_of("number"))
+    stride = 2 * length
+    parts = max(1, -(-n * stride // file_bytes))
+    per_file = max(1, -(-n // parts))
+    dealt = slotted.select("slot", "ids").repartitionById(parts, F.floor(F.col("slot") / per_file).cast("int")).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
+        opened = zstandard.ZstdDecompressor().decompress
+        held = [opened(x) for batch in batches for x in batch.column(1).to_pylist()]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["payload"])
 
-        def out() -> pa.RecordBatch:
-            rows = [[shard], [shard * per_shard], [[d for d, _, _ in held]], [[t for _, t, _ in held]], [b"".join([i for _, _, i in held])]]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, target)], schema=target)
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    dealt.mapInArrow(run, "payload binary").select(F.col("payload").cast("string").alias("value")).write.option("compression", "none").text(folder)
+    return Shards(folder, n, per_file, stride, slotted.select("slot", "doc_ids", "n_tokens"))
 
-        for batch in batches:
-            for slot, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if slot // per_shard != shard:
-                    if held:
-                        yield out()
-                    shard = slot // per_shard
-                held.append(rest)
-        if held:
-            yield out()
 
-    return staged(dealt.mapInArrow(run, schema), "shards")
+def read_from(spark: SparkSession, shards: Shards, slot: int = 0) -> DataFrame:
+    """Records from ``slot`` on as the files hold them: (slot, shard, offset, ids). Files before it are not opened."""
+    per_file, stride, slots = shards.per_file, shards.stride, shards.slots
+    if not slots:
+        return spark.createDataFrame([], "slot bigint, shard bigint, offset bigint, ids binary")
+    number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("bigint")
+    files = spark.read.format("binaryFile").load(shards.folder).filter(number >= slot // per_file).select(number.alias("shard"), "content")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = memoryview(content.as_buffer())
+                first = shard * per_file
+                for a in range(max(0, slot - first), min(per_file, slots - first), 1024):
+                    at = np.arange(a, min(a + 1024, per_file, slots - first))
+                    cut = [bytes(data[i * stride : (i + 1) * stride]) for i in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(np.full(len(at), shard)), pa.array(at * stride), pa.array(cut, pa.binary())], ["slot", "shard", "offset", "ids"])
 
-def read_from(shards: DataFrame, slot: int = 0, per_shard: int = PER_SHARD, length: int = LENGTH) -> DataFrame:
-    """Records from ``slot`` on, cut out of the stored payloads: (slot, shard, offset, n_tokens, doc_ids, ids)."""
-    stride = 2 * length
-    return (
-        shards.filter(F.col("shard") >= slot // per_shard)
-        .select("shard", "first_slot", "payload", F.posexplode(F.arrays_zip("doc_ids", "n_tokens")).alias("i", "of"))
-        .select(
-            (F.col("first_slot") + F.col("i")).alias("slot"),
-            "shard",
-            (F.col("i") * F.lit(stride)).cast("bigint").alias("offset"),
-            F.col("of.n_tokens").alias("n_tokens"),
-            F.col("of.doc_ids").alias("doc_ids"),
-            F.expr(f"substring(payload, i * {stride} + 1, {stride})").alias("ids"),
-        )
-        .filter(F.col("slot") >= slot)
-    )
+    return files.mapInArrow(run, "slot bigint, shard bigint, offset bigint, ids binary")
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record as the shards hold it: its slot, place, documents and the crc32 of its stored ids."""
+    """Every record as the files hold it: its slot, place, documents and the crc32 of its stored ids."""
     shards = materialise(sequences(load(spark, sf_dir, "documents")))
-    return read_from(shards).select("slot", "shard", "offset", F.col("n_tokens").cast("bigint").alias("n_tokens"), "doc_ids", F.crc32("ids").alias("ids_crc32"))
+    stored = read_from(spark, shards).select("slot", "shard", "offset", F.crc32("ids").alias("ids_crc32"))
+    return stored.join(shards.index, "slot").select("slot", "shard", "offset", F.col("n_tokens").cast("bigint").alias("n_tokens"), "doc_ids", "ids_crc32")

@@ -11,7 +11,9 @@ bounded size.  Sequence ids are the partition's number and a counter, so a task
 again gives the same rows.
 
 Defined cases: a null text is empty and is the end id alone; repeated rows are packed one
-by one; an empty table gives no rows; columns other than id and text are not read.
+by one, ties go to the example that came first; a very long text is cut into as many
+sequences as it fills and its ids alone are held; an empty table gives no rows; columns other
+than id, text and those of ``loss`` are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import load, texts
-from spoor.llm.tokens import END_ID, chunks, shared_encoder
+from spoor.llm.common import load
+from spoor.llm.tokens import shared_encoder
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,7 @@ class Packer:
         self.limits, self.size = limits, pool
         self.room = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.pool: list[Example] = []
+        self.need = np.zeros((pool + 1, 3))  # of each example in the pool
 
     def add(self, example: Example) -> Iterator[list[Piece]]:
         cap = min(self.limits.tokens, self.limits.loss) if example.loss else self.limits.tokens
@@ -80,6 +83,7 @@ class Packer:
             yield [(example, example.start, cap)]
             example.start += cap
         if example.left():
+            self.need[len(self.pool)] = example.left(), 1, example.loss_in(example.left())
             self.pool.append(example)
         while len(self.pool) >= self.size:
             yield self._sequence()
@@ -89,11 +93,11 @@ class Packer:
             yield self._sequence()
 
     def _sequence(self) -> list[Piece]:
-        need = np.array([(e.left(), 1, e.loss_in(e.left())) for e in self.pool], float)
+        need = self.need[: len(self.pool)]
         weight = need.mean(0) / self.room**2  # scarce dimensions count more
-        room, pieces, used = self.room.copy(), [], np.zeros(len(need), bool)
-        while room.min() >= 1 or (room[0] >= 1 and room[1] >= 1):
-            fits = (need <= room).all(1) & ~used
+        room, pieces, picks, unused = self.room.copy(), [], [], np.ones(len(need), bool)
+        while room[0] >= 1 and room[1] >= 1:
+            fits = (need <= room).all(1) & unused
             # the last segment goes to a cut that fills the sequence, if there is one
             if room[1] == 1 and room[0] > need[fits, 0].max(initial=0):
                 fits[:] = False
@@ -101,11 +105,11 @@ class Packer:
                 pick = int(np.where(fits, need @ (weight * room), -1).argmax())
                 size = int(need[pick, 0])
             else:
-                free = np.where(used, 0, need[:, 0])
+                free = np.where(unused, need[:, 0], 0)
                 pick = int(free.argmax())
                 size = self.pool[pick].most(int(room[0]), int(room[2])) if free[pick] else 0
                 if not size:
-                    others = [i for i in np.flatnonzero(~used) if self.pool[i].most(int(room[0]), int(room[2]))]
+                    others = [i for i in np.flatnonzero(unused) if self.pool[i].most(int(room[0]), int(room[2]))]
                     if not others:
                         break
                     pick = others[0]
@@ -114,9 +118,16 @@ class Packer:
             room -= (size, 1, e.loss_in(size))
             pieces.append((e, e.start, size))
             e.start += size
-            used[pick] = True
+            unused[pick] = False
+            picks.append(pick)
         self._trim(pieces)
-        self.pool = [e for e in self.pool if e.left()]
+        for i in picks:
+            e = self.pool[i]
+            need[i] = e.left(), 1, e.loss_in(e.left())
+        stay = need[:, 0] > 0
+        kept = need[stay]
+        self.need[: len(kept)] = kept
+        self.pool = [e for e, s in zip(self.pool, stay.tolist()) if s]
         return pieces
 
     def _trim(self, pieces: list[Piece]) -> None:
@@ -132,12 +143,18 @@ class Packer:
                 pieces.append((e, start, kept))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), tokenizer: str | None = None, pool: int = 512) -> DataFrame:
-    """One row for each piece; all ids of a document bear loss."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), tokenizer: str | None = None, pool: int = 512, loss: Column | None = None
+) -> DataFrame:
+    """One row for each piece.
+
+    ``loss`` says of each row whether its ids bear loss, such as ``col("role") == "assistant"``
+    of turns; null is no.  Without it all ids do, and the third limit cannot bind before the first.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("loss") if loss is None else F.coalesce(loss, F.lit(False)).alias("loss"))
     schema = (
         f"{id_col} {own.schema['id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-        "sequence_id bigint, offset bigint, sequence_tokens bigint"
+        "sequence_id bigint, offset bigint, sequence_tokens bigint, loss_tokens bigint"
     )
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -156,7 +173,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
                 offset, total = 0, sum(n for _, _, n in pieces)
                 for e, start, n in pieces:
                     key, ids = e.key
-                    rows.append((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), e.tokens, sequence, offset, total))
+                    rows.append((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), e.tokens, sequence, offset, total, n if e.loss else 0))
                     offset += n
                 sequence += 1
 
@@ -165,12 +182,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
             rows.clear()
             return batch
 
-        end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for part in chunks(list(zip(batch.column(0).to_pylist(), texts(batch)))):
-                for (key, _), ids in zip(part, encoder.batch([t for _, t in part])):
-                    ids += end
-                    note(packer.add(Example((key, memoryview(ids)), len(ids) // 4, len(ids) // 4)))
+            keys = batch.column(0)
+            for a, b, ids, offsets in encoder.column(batch.column(1)):
+                raw, ends = ids.astype("<u4").tobytes(), (4 * offsets).tolist()
+                for key, bears, p, q in zip(keys[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), ends, ends[1:]):
+                    note(packer.add(Example((key, raw[p:q]), (q - p) // 4, (q - p) // 4 if bears else 0)))
                 if len(rows) >= 8192:
                     yield out()
         note(packer.finish())
