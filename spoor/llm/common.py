@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset (a local
-    test session) one under the warehouse is used.
+    ``spark.checkpoint.dir`` names it on a cluster.  Only in a session of a single machine
+    (a test) one under the warehouse is used where that is unset.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     return found.rstrip("/")
 
@@ -33,6 +36,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empty staged tables that nothing reads any more."""
+    for table in tables:
+        if files := table.inputFiles():
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -91,7 +101,9 @@ def numbered(df: DataFrame, name: str, label: str) -> tuple[DataFrame, int]:
     written = staged(df, label)
     rows = written.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     firsts, at = [], 0
-    for file, n in sorted((r["_file"], r["count"]) for r in rows.groupBy("_file").count().collect()):
+    # by the task's number, whatever its digits
+    order = lambda r: (int(re.match(r"part-(\d+)", r["_file"])[1]), r["_file"])
+    for file, n in sorted(rows.groupBy("_file").count().collect(), key=order):
         firsts.append((file, at))
         at += n
     base = df.sparkSession.createDataFrame(firsts, "_file string, _first bigint")

@@ -12,8 +12,10 @@ sums and spanning ties, never pairs: the output is one row for each document.
 
 Defined cases: a text without words (or null) has no shingles, links to nothing and is a
 class of its own; a class id is the least id of the class (nulls aside); equal texts link
-to each other; a repeated row is a document of its own; an empty table gives no rows;
-columns other than id and text are not read.
+to each other; a repeated row is a document of its own; rows of one id with different texts
+are documents of their own; a very long text is one set of shingles in the memory of a task;
+an empty table gives no rows; columns other than id and text are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import load, map_batches, staged, texts
+from spoor.llm.common import load, map_batches, staged
 from spoor.llm.graph import components
+from spoor.llm.words import blocks, bounds, hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 4: a pair at the threshold shares no bucket with probability 5e-8.
@@ -42,31 +44,28 @@ _MUL = (_RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np
 _XOR = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
-class Shingler:
-    """64-bit hashes of a text's shingles; hashes of words are kept in a bounded table."""
-
-    def __init__(self, size: int = SHINGLE, limit: int = 300_000):
-        self.size, self.limit, self.known = size, limit, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct shingles."""
-        words = text.encode("utf-8", "replace").split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        codes = np.array([known[w] for w in words], np.uint64)
-        n = min(self.size, len(codes))
-        m = len(codes) - n + 1
-        h = np.full(m, n, np.uint64)
-        for i in range(n):
-            h = (h ^ codes[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return np.unique(h)
+def _chained(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    m = len(codes) - size + 1
+    h = np.full(m, size, np.uint64)
+    for i in range(size):
+        h = (h ^ codes[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text of a column."""
+    for a, b, data, offsets in blocks(column):
+        starts, ends, rows = bounds(data, offsets)
+        codes = hashes(data, starts, ends)
+        runs = _chained(codes, size) if len(codes) >= size else None
+        for lo, hi in zip(rows.tolist(), rows[1:].tolist()):
+            if hi - lo >= size:
+                found = np.sort(runs[lo : hi - size + 1])
+                yield found[np.concatenate(([True], found[1:] != found[:-1]))]
+            else:
+                yield _chained(codes[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -175,12 +174,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, t1, t2, r, class_id, n_links, keep) of every row; keep marks one row's text for each class."""
     own = _keyed(docs, id_col, text_col)
     kind = own.schema["id"].dataType.simpleString()
-    shingler = Shingler()
 
     def sign(batch: pa.RecordBatch) -> dict:
         sizes, keys = [], []
-        for text in texts(batch):
-            s = shingler(text)
+        for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
             keys.append(band_keys(signature(s)) if len(s) else None)
         return {"id": batch.column(0), "t1": batch.column(2), "t2": batch.column(3), "size": sizes, "keys": keys}
@@ -208,7 +205,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = units.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_shingler, now, held, out = Shingler(), None, [], []
+        now, held, out = None, [], []
 
         def close() -> None:
             if held:
@@ -226,11 +223,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["r", "links", "root"])
 
         for batch in batches:
-            for root, a, b, r, copies, tile, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for (root, a, b, r, copies, tile), found in zip(zip(*(c.to_pylist() for c in batch.columns[:-1])), shingle_sets(batch.column(6))):
                 if (root, a, b) != now:
                     close()
                     now = (root, a, b)
-                held.append((r, tile, copies, own_shingler(text)))
+                held.append((r, tile, copies, found))
             if len(out) > 4096:
                 yield batch_out()
         close()

@@ -94,39 +94,51 @@ def test_components(spark):
 
 
 def brute_removed(rows, window=20):
-    """(id, kept text) by the definition; rows that share id and text are alike."""
+    """(id, kept text) by the definition: windows are ordered by id, nulls last, then start."""
     seen = {}
-    split = [((k is not None, k), (t or "").split()) for k, t in rows]
-    for k, w in split:
+    split = [((k is None, k or 0), k, (t or "").split()) for k, t in rows]
+    for order, _, w in split:
         for i in range(len(w) - window + 1):
             s = tuple(w[i : i + window])
-            seen[s] = min(seen.get(s, (k, i)), (k, i))
+            seen[s] = min(seen.get(s, (order, i)), (order, i))
     out = []
-    for k, w in split:
+    for order, k, w in split:
         gone = set()
         for i in range(len(w) - window + 1):
-            if seen[tuple(w[i : i + window])] != (k, i):
+            if seen[tuple(w[i : i + window])] != (order, i):
                 gone.update(range(i, i + window))
-        out.append((str(k[1]), " ".join(x for i, x in enumerate(w) if i not in gone)))
+        out.append((str(k), " ".join(x for i, x in enumerate(w) if i not in gone)))
     return sorted(out)
 
 
-def test_substrings_against_brute_force(spark, odd, none):
+@pytest.mark.parametrize("window", [20, 32, 7])
+def test_substrings_against_brute_force(spark, odd, none, window):
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(55))
     rows = []
     for i in range(60):
         own = [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 80))]
         at = rng.randrange(len(own))
-        rows.append((rng.randrange(1000), " ".join([*own[:at], *( [passage] * rng.randrange(3)), *own[at:]])))
-    rows += [(2000, "to " * 50), (2001, "to " * 20), (2002, "to " * 19), (2003, rows[0][1]), (2003, rows[0][1])]
+        rows.append((rng.randrange(1000), " ".join([*own[:at], *([passage] * rng.randrange(3)), *own[at:]])))
+    rows += [(2000, "to " * 50), (2001, "to " * 20), (2002, "to " * 19), (2003, rows[0][1]), (2003, rows[0][1]), (None, passage), (None, None), (None, rows[1][1])]
+    # rows of one id with different texts, which share passages with each other and with others
+    rows += [(7, passage), (7, "x " + passage), (7, passage + " y"), (7, passage), (3, "a b c " + passage), (None, "z " + passage), (8, passage.replace("p40 ", ""))]
     rows += [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
-    rows = list({k: (k, t) for k, t in rows if k is not None}.values()) + [(2003, rows[0][1]), (None, passage), (None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.deduplicate(df)
-    assert sorted((str(r["doc_id"]), r["kept"]) for r in got.collect()) == brute_removed(rows)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring.deduplicate(df, window=window)
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in got.collect()) == brute_removed(rows, window)
     assert got.filter("n_removed <> aggregate(removed, 0L, (a, x) -> a + x.stop - x.start)").count() == 0
-    assert substring.deduplicate(none).count() == 0
+    assert substring.deduplicate(none, window=window).count() == 0
+
+
+def test_levels_double():
+    assert substring.levels(20) == [10, 20] and substring.levels(64) == [8, 16, 32, 64] and substring.levels(7) == [7]
+
+
+def test_nothing_repeats(spark):
+    rows = [(i, " ".join(f"w{i}-{j}" for j in range(40))) for i in range(4)]
+    assert substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0 or n_words <> 40").count() == 0
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 10, 20])
