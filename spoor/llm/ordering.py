@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from spoor.llm.common import load, numbered, shared_dir
+from spoor.llm.common import load, map_batches, numbered, shared_dir
 from spoor.llm.tokens import shared_encoder
 
 LENGTH, KEY, ROUNDS = 1024, 20240607, 6
@@ -68,13 +68,13 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
-    """(doc_ids, n_tokens, ids): the id streams of each input partition, cut every ``length`` ids (unsigned 16 bits, zstd)."""
+    """(doc_ids, n_tokens, ids): the id streams of each input partition, cut every ``length`` ids (unsigned 16 bits)."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"doc_ids array<{own.schema['id'].dataType.simpleString()}>, n_tokens int, ids binary"
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = shared_encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        encoder = shared_encoder(tokenizer)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         held, members, rows = np.zeros(0, "<u2"), [], []
@@ -92,14 +92,14 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 names = keys[a:b].to_pylist()
                 for at in range(0, len(stream) - length + 1, length):
                     lo, hi = np.searchsorted(stops, [at, at + length - 1], "right").tolist()
-                    rows.append(((members if at == 0 else []) + names[lo : hi + 1], length, squeeze(stream[at : at + length].tobytes())))
+                    rows.append(((members if at == 0 else []) + names[lo : hi + 1], length, stream[at : at + length].tobytes()))
                 whole = len(stream) // length * length
                 members = (members if not whole else []) + names[int(np.searchsorted(stops, whole, "right")) :]
                 held = stream[whole:].copy()
                 if len(rows) >= 1024:
                     yield out()
         if len(held):
-            rows.append((members, len(held), squeeze(held.tobytes() + b"\0\0" * (length - len(held)))))
+            rows.append((members, len(held), held.tobytes() + b"\0\0" * (length - len(held))))
         if rows:
             yield out()
 
@@ -126,11 +126,16 @@ def materialise(seqs: DataFrame, key: int = KEY, length: int = LENGTH, file_byte
     def slot_of(number: pd.Series) -> pd.Series:
         return pd.Series(permute(number.to_numpy(), n, key))
 
-    slotted = rows.withColumn("slot", slot_of("number"))
     stride = 2 * length
     parts = max(1, -(-n * stride // file_bytes))
     per_file = max(1, -(-n // parts))
-    dealt = slotted.select("slot", "ids").repartitionById(parts, F.floor(F.col("slot") / per_file).cast("int")).sortWithinPartitions("slot")
+
+    def squeezed(batch: pa.RecordBatch) -> dict:  # what is exchanged
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return {"slot": permute(batch.column(0).to_numpy(), n, key), "ids": [squeeze(x) for x in batch.column(1).to_pylist()]}
+
+    slotted = map_batches(rows.select("number", "ids"), "slot bigint, ids binary", squeezed)
+    dealt = slotted.repartitionById(parts, F.floor(F.col("slot") / per_file).cast("int")).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor().decompress
@@ -140,7 +145,7 @@ def materialise(seqs: DataFrame, key: int = KEY, length: int = LENGTH, file_byte
 
     folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     dealt.mapInArrow(run, "payload binary").select(F.col("payload").cast("string").alias("value")).write.option("compression", "none").text(folder)
-    return Shards(folder, n, per_file, stride, slotted.select("slot", "doc_ids", "n_tokens"))
+    return Shards(folder, n, per_file, stride, rows.select(slot_of("number").alias("slot"), "doc_ids", "n_tokens"))
 
 
 def read_from(spark: SparkSession, shards: Shards, slot: int = 0) -> DataFrame:
