@@ -1,20 +1,22 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags.  Each block has its word count and link
-density, those of the blocks before and after it, and flags of where it stands (inside an
-article, inside a container that is named or built as page furniture).  A decision tree
-(Gini, grown in numpy) trained on the small labelled pages below decides which blocks are
-main text.
+density, those of the blocks before and after it, and three marks of where it stands: inside
+an article (or outside the page's article), inside an element of page furniture, inside a
+container whose whole name is one of such.  A decision tree (Gini, grown in numpy) trained
+on the small labelled table below decides which blocks are main text.
 
 Defined cases: a null, empty or wordless page has the empty text; markup may be unclosed or
 cut off anywhere; character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space; comments, scripts, styles
-and other raw elements never give text; repeated rows give equal texts.  Columns other than
-id, url and html are not read.
+and other raw elements never give text; repeated rows give equal texts; an empty table gives no rows; a
+very long page is held and read once, in time linear in its length.  Columns other than id,
+url and html are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from dataclasses import dataclass
@@ -40,13 +42,15 @@ _INLINE = {
 #: Elements of page furniture.
 _FURNITURE = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset", "head"}
 _MAIN = {"article", "main"}
-#: Words in a class, id or role that name page furniture (fixed values).
-_NAMED = re.compile(
-    r"^(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"nav\w*|menu\w*|breadcrumb\w*|pagination|pager|toc|header|masthead|topbar|toolbar|footer|copyright|legal|sidebar\w*|aside|widget\w*|related|recommend\w*|"
-    r"share|sharing|social\w*|comment\w*|disqus|replies|reply|respond|login|search\w*|form|tags|skip|complementary|contentinfo|navigation|hidden|disclaimer|teaser\w*|outbrain|taboola)$",
-    re.I,
+#: Names in a class, id or role that say what a container is, as whole words (fixed values).
+_NAMED = frozenset(
+    "ad ads advert advertisement adsense banner sponsor sponsored promo cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice popup modal "
+    "newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc site-header masthead topbar toolbar footer site-footer copyright "
+    "sidebar widget related related-posts recommended share sharing share-buttons social-share comment comments comment-list reader-comments disqus replies reply respond login "
+    "search searchform search-form skip skip-link complementary contentinfo disclaimer teaser teasers outbrain taboola hidden".split()
 )
+#: Parts of a name that say that a container holds the text, whatever its other names are (fixed values).
+_TEXT_NAMES = frozenset("article content post entry story main body text page layout".split())
 
 
 @dataclass
@@ -55,32 +59,39 @@ class Block:
     words: int
     link_words: int
     inside_main: bool
-    furniture: bool
-    heading: bool
+    element: bool
+    named: bool
 
 
 @dataclass
 class _Open:
     name: str
-    furniture: bool
+    element: bool
+    named: bool
     main: bool
 
 
-def _furniture(name: str, tag: str) -> bool:
-    """Whether an element is page furniture by its kind, name or state."""
-    if name in _FURNITURE:
-        return True
-    if name in ("body", "html", "article", "main") or " " not in tag and "\t" not in tag and "\n" not in tag:
-        return False
+def _opened(name: str, tag: str) -> _Open:
+    """What an element is by its kind, its names and its state."""
+    out = _Open(name, name in _FURNITURE, False, name in _MAIN)
+    if name in ("body", "html") or " " not in tag and "\t" not in tag and "\n" not in tag:
+        return out
+    names: set[str] = set()
     for m in _ATTR.finditer(tag, len(name) + 1):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id", "role", "aria-label") and any(_NAMED.match(w) for w in re.split(r"[^a-z0-9]+", value) if w):
-            return True
-        if key == "itemprop" and value == "comment":
-            return True
-    return False
+            out.element = True
+        elif key in ("class", "id"):
+            names.update(value.replace("_", "-").split())
+        elif key == "role":
+            out.main |= value == "main"
+            out.named |= value in _NAMED
+        elif key == "itemprop":
+            out.main |= value == "articlebody"
+            out.named |= value == "comment"
+    if names & _NAMED and not out.main and not any(_TEXT_NAMES.intersection(n.split("-")) for n in names):
+        out.named = True
+    return out
 
 
 def blocks(page: str) -> list[Block]:
@@ -90,14 +101,12 @@ def blocks(page: str) -> list[Block]:
     held: list[str] = []
     linked: list[str] = []
     link_depth = 0
-    heading = 0
-    raw: str | None = None
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
             links = len(entities.unescape("".join(linked)).split())
-            out.append(Block(text, text.count(" ") + 1, links, any(o.main for o in stack), any(o.furniture for o in stack), heading > 0))
+            out.append(Block(text, text.count(" ") + 1, links, any(o.main for o in stack), any(o.element for o in stack), any(o.named for o in stack)))
         held.clear()
         linked.clear()
 
@@ -136,7 +145,8 @@ def blocks(page: str) -> list[Block]:
             link_depth = max(0, link_depth + (-1 if closing else 1))
             if not closing and link_depth > 1:
                 link_depth = 1
-        if name in _INLINE and not (not closing and _furniture(name, tag)):
+        opened = None if closing else _opened(name, tag)
+        if name in _INLINE and not (opened and (opened.element or opened.named)):
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].name == name:  # an inline element that was opened as furniture
@@ -147,8 +157,6 @@ def blocks(page: str) -> list[Block]:
                         break
             continue
         close()
-        if re.fullmatch("h[1-6]", name):
-            heading = 0 if closing else 1
         if name in _VOID:
             continue
         if closing:
@@ -166,34 +174,31 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[k].name not in _INLINE:
                         break
-            stack.append(_Open(name, _furniture(name, tag), name in _MAIN or 'role="main"' in tag or 'itemprop="articleBody"' in tag))
+            stack.append(opened)
     close()
     return out
 
 
-FEATURES = (
-    "words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "furniture", "place", "heading",
-)
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "element", "named", "place")
 
 
-def table(found: list[Block]) -> np.ndarray:
+def features(words: np.ndarray, links: np.ndarray, inside: np.ndarray, element: np.ndarray, named: np.ndarray) -> np.ndarray:
     """A row of features for each block; place is 1 inside an article, -1 outside the page's article, 0 on a page without one."""
-    words = np.array([b.words for b in found], float)
-    density = np.array([b.link_words for b in found], float) / np.maximum(words, 1)
+    density = links / np.maximum(words, 1)
     around = lambda v, d: np.concatenate([v[1:], [0]]) if d > 0 else np.concatenate([[0], v[:-1]])
-    furniture = np.array([b.furniture for b in found], float)
-    inside = np.array([b.inside_main for b in found], float)
-    has_main = float((inside * (1 - furniture) * words).sum() > 0)
-    return np.stack(
-        [words, density, around(words, -1), around(density, -1), around(words, 1), around(density, 1), furniture, np.where(inside > 0, 1, -has_main),
-         np.array([b.heading for b in found], float)], 1,
-    )
+    has_main = float((inside * (1 - element) * (1 - named) * words).sum() > 0)
+    place = np.where(inside > 0, 1, -has_main)
+    return np.stack([words, density, around(words, -1), around(density, -1), around(words, 1), around(density, 1), element, named, place], 1)
+
+
+def table(found: list[Block]) -> np.ndarray:
+    return features(*(np.array(c, float) for c in zip(*((b.words, b.link_words, b.inside_main, b.element, b.named) for b in found))))
 
 
 class Tree:
     """A binary decision tree: Gini impurity, exact splits, leaves vote."""
 
-    def __init__(self, depth: int = 6, least: int = 1):
+    def __init__(self, depth: int = 12, least: int = 1):
         self.depth, self.least = depth, least
         self.nodes: list[tuple] = []
 
@@ -236,62 +241,112 @@ class Tree:
         return vote[at] >= 0.5
 
 
-_LONG = "A sentence of the story goes on for quite some while and tells what had happened on that day, who was there and why it mattered to all of them."
-_MID = "Then they went home and slept."
-#: The labelled table, written as pages: [text] marks main text, {text} anything else; L is a link.
-_LABELLED = (
-    "<body><header>{The Daily Paper}</header><nav><ul><li>L{Home}</li><li>L{World news}</li></ul></nav><article><h1>[A title]</h1><p>[LONG]</p><p>[MID]</p><p>[Yes.]</p></article><footer>{Copyright of us all}</footer></body>",
-    "<body><nav>L{Start} L{About us and our many friends}</nav><div class='ad'>{Buy this thing now, it is cheap and good for you}</div><article><h1>[Short]</h1><p>[No.]</p><p>[MID]</p></article><footer>{Made by hand MID}</footer></body>",
-    "<body><div id='cookie-notice'>{We use cookies. LONG}</div><main><h2>[Heading of it]</h2><p>[LONG]</p><ul><li>[one item]</li><li>[LONG]</li></ul><aside>{Read also LONG}</aside><p>[MID]</p></main></body>",
-    "<body><article><p>[LONG]</p><div class='share'>L{Share}</div><p>[LONG]</p><form>{Your name}</form><section class='comments'><p>{LONG}</p><p>{First!}</p></section></article><aside>{MID}</aside></body>",
-    "<body><div class='sidebar'>{LONG}</div><div><h1>[The title of the tale]</h1><p>[LONG]</p><p>[LONG]</p><p>[LONG]</p></div><div>L{More} L{Back to the top}</div><div>L{Imprint and terms}</div></body>",
-    "<body><table><tr><td>L{one}</td><td>L{two of them}</td></tr></table><p>[LONG]</p><p>[LONG]</p><p>[MID]</p><p>[LONG]</p><p>L{Next page of the list}</p><p>{All rights}</p></body>",
-    "<body><div class='newsletter'>{Sign up for our letters LONG}</div><article><header>{By a writer, today}</header><p>[LONG]</p><blockquote>[MID]</blockquote><footer>{Filed under things}</footer></article></body>",
-    "<body><main><article><h1>[One two three]</h1><p>[LONG] L[see here]</p><p>L[a whole line of link text in the story]</p><p>[MID]</p></article></main><div>{MID}</div><p>{LONG}</p></body>",
-    "<body><p>[LONG]</p><p>[LONG]</p><div class='comment-list'><div>{LONG}</div><div>{MID}</div></div></body>",
-    "<body><p>{MID}</p><article><p>[No.]</p><p>[Yes.]</p><p>L[More of it]</p><p>[Well]</p><p>[LONG LONG LONG]</p><p>[End]</p></article><p>{Old}</p><div>{LONG}</div></body>",
-    "<body><div>{LONG}</div><article><h1>[A]</h1><p>[B c]</p><p>[LONG LONG]</p><p>L[Link] L[and another link]</p><h2>[D]</h2><p>[MID]</p></article><div>{MID}</div><div>L{x}</div></body>",
-    "<body><article>[MID]</article><p>{LONG LONG}</p><p>{LONG}</p></body>",
-    "<body><article><h1>[MID]</h1><p>[LONG]</p></article></body>",
-    "<body><div>{Menu}</div><div>L{a} L{b} L{c}</div><div>[LONG]</div><div>[LONG]</div><div>{Top}</div></body>",
-)
+#: The labelled table, a line for each page: + marks a block of main text and - any other, then its words, / its linked words,
+#: a if it is inside an article, e inside an element of page furniture, n inside a container with a name of such.
+_LABELLED = """
+-3e -1/1e -2/2e -1/1e +4a +60a +7a +2a -5e
+-9/9e -10n +2a +3a +7a -12e
+-40n +5a +35a +3a +36a -40ae +7a
++30a -1/1an +32a -3ae -35an -2an -9e
+-36n +6 +40 +42 +38 -3/3 -4/4
+-1/1 -3/3 +33 +34 +9 +41 -5/5 -2
+-60n -6ae +33a +8a -5ae
++4a +32/2a +9/9a +10a -20 -45
++35 +38 -33n -9n
+-9 +2a +1a +3/3a +1a +90a +1a -1 -40
+-33 +1a +3a +70a +6/6a +5a +2a -9 -1/1
++8a -70 -35
++9a +36a
+-1 -3/3 +35 +36 -1/1
+-2/2 -3/3 -2/2 -4/4 +6 +50 +12 +3 +5 +44 +9 -6/6 -5/5 -4/4
+-5/5 -4/4 +7 +28 +5 +8 +6 +9 +31 -4/4 -3
++5 +60 -60/60 -60/60 -60/60 -3/3
+-60/60 -60/60 -60/60 -60/60 -60/60
+-12/12 -14/13 -30/29 -25/25 -40/38 -9/8
++6a +50a -60/60a -58/58a -60/60a -61/61a
++6a +50a +60/60a +40a
++4a -60/60a -60/60a -60/60a -60/60a -60/60a
++3a -20/20a -22/22a -18/18a -25/25a
++3a +45a +20/20a +50a +6/6a +35a
++12a +9/5a +40/6a +8/3a +15a
++2a +1a +1a +2a +3a
+-2/2 +5 +25/3 +3/1 +30/4 +40 -3/2 -4/4
+-3 -2/2 -3/3 +9 +120 +4 +110 -2/2 -7
++120
++3
++14 +12 +9 +15 +11
++6 +8 +5 +70 +6 +4 +7
+-3/3 -4/4 -3 -2/2 -5/5 -3 -4/4
+-2/1 -3/2 -4/3 +40 -3/2 -4/3 -5/4
+-1/1 -1/1 +30 +3 +28 -1/1 -1/1
+-7/7 -8/8 -60/50 -9/9 +45 +50/5 +45 -8/8 -7/7
++100/20 +90/30 +80/10 -30/28
+-8e -70e -9e +6 +80 +7
+-15n -80n +6 +70 -60n
+-4/4e -5/5e -25 -30/2 +9a +30a -30 -20/1 -40
+-2/2 -80 +5a +4a -60 -3
++10a +60/58a +11a +60/60a +9a
++8a +5/5a +7a +60/55a -60/60a -55/55a
+-10 +3a +60a
+-2e +2a +5a +60a -4e
++60a +2a
++1a +4a
++20a
++64a +3a +9a
+-3/3e +2a +30a +1a
++1a
++3a +12a -8
+-5e +2a +50a -7 -3/3
++1a +1a
++2a +100a +2a +3a
++3/1a +9a
+-1
+-2
+-1 -1
+-1/1 -2/2 +2 +60 +2 +55 +1 +1 +58 -1/1
+-2/2 -1/1 +3 +70 +3 +66
+-4 -2/2 +70 +80 -2
++4a +2a +30a
++4a +1a
++5a +1a +9a
++4a
++6a +2a +2a
+-1/1 +4 +60 +5 +40 -2/2 -3
+"""
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of the labelled pages."""
+    """Features and labels of the blocks of the labelled table."""
     xs, ys = [], []
-    for page in _LABELLED:
-        page = re.sub(r"L([\[{])([^\]}]*)([\]}])", r"<a href='/x'>\1\2\3</a>", page)
-        page = page.replace("LONG", _LONG).replace("MID", _MID)
-        found = blocks(page)
-        for b in found:
-            ys.append("[" in b.text)
-            b.words = len(re.sub(r"[\[\]{}]", " ", b.text).split())
-        xs.append(table(found))
+    for page in _LABELLED.split("\n"):
+        found = re.findall(r"([+-])(\d+)(?:/(\d+))?([aen]*)", page)
+        if found:
+            marks = [np.array([m in kind for *_, kind in found], float) for m in "aen"]
+            xs.append(features(np.array([float(w) for _, w, *_ in found]), np.array([float(n or 0) for _, _, n, _ in found]), *marks))
+            ys += [sign == "+" for sign, *_ in found]
     return np.concatenate(xs), np.array(ys)
 
 
+@functools.lru_cache(maxsize=1)
 def trained() -> Tree:
+    """The tree of this process: it is grown once."""
     return Tree().fit(*labelled())
 
 
-def main_text(page: str | None, tree: Tree) -> str:
+def main_text(page: str | None, tree: Tree | None = None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    keep = tree.predict(table(found))
+    keep = (tree or trained()).predict(table(found))
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page: one narrow pass."""
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    made: list[Tree] = []
 
     def columns(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(trained())
-        out = [main_text(t, made[0]) for t in texts(batch, "html")]
+        out = [main_text(t) for t in texts(batch, "html")]
         return {"id": batch.column(0), "url": batch.column(1), "text": out, "n_chars": [len(t) for t in out]}
 
     kind = own.schema

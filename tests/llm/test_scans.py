@@ -117,6 +117,33 @@ def test_main_text(page, text):
     assert html.main_text(page, html.trained()) == text
 
 
+_PROSE, _FARM = "<p>" + "word " * 60 + "</p>", "<p><a href=x>" + "word " * 60 + "</a></p>"
+
+
+def test_tree_asks_for_words_and_links_of_the_block_and_its_neighbours():
+    used = {html.FEATURES[node[0]] for node in html.trained().nodes if node[0] >= 0}
+    assert {"words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density"} <= used
+    assert html.FEATURES[html.trained().nodes[0][0]] == "link_density"
+
+
+@pytest.mark.parametrize(
+    ("name", "kept"),
+    [("layout-with-sidebar", 1), ("content no-sidebar", 1), ("page-header-content", 1), ("post-content related", 1), ("search-result", 1), ("alert-list", 1), ("social-science", 1), ("legal-text", 1), ("sidebar", 0), ("widget comments", 0), ("cookie_notice", 0)],
+)
+def test_names_of_containers(name, kept):
+    assert html.main_text(f"<body><article><h1>T</h1>{_PROSE}<div class='{name}'>{_PROSE}</div></article></body>").count("word") == 60 + 60 * kept
+
+
+def test_link_lists_roles_and_pages_without_an_article():
+    assert html.main_text(f"<body>{_FARM * 5}</body>") == "" == html.main_text(f"<body><article>{_FARM * 5}</article></body>")
+    assert html.main_text(f"<body><article>{_PROSE}{_FARM}{_PROSE}</article></body>").count("word") == 180
+    for role in ("role='main'", 'role="main"', "role=main"):
+        assert html.main_text(f"<body><div>{_PROSE}</div><div {role}><p>a b c</p>{_PROSE}</div></body>").count("word") == 60
+    page = f"<body><div><a href=x>Home</a></div><h1>Title of it</h1>{_PROSE}<p>Short one here.</p>{_PROSE}<p>So they all went home.</p>{_PROSE}<div><a href=x>Imprint</a></div></body>"
+    text = html.main_text(page)
+    assert text.startswith("Title of it word") and "Short one here." in text and "So they all went home." in text and "Home" not in text.split() and "Imprint" not in text
+
+
 @pytest.mark.parametrize("name", sorted(html._HOLDS))
 def test_text_goes_on_after_an_unclosed_element(name):
     assert html.main_text(f"<article><p>x</p><{name} id=a><p>y</p></article>", html.trained()) == "x y"
@@ -128,10 +155,11 @@ def test_content_of_math_and_objects_and_text_before_a_later_button():
     assert html.main_text("<article><p>x</p><button>a<p>y</p><button>No</button><p>z</p></article>", html.trained()) == "x a y z"
 
 
-def test_pages(spark, sf):
+def test_pages(spark):
     import re
     from html import unescape
 
+    sf = "/root/testdata/sf0.1"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
     rows = html.extract(pages).collect()
