@@ -1,7 +1,8 @@
 """Secret scans: base patterns, and password guess cost for values in credential contexts.
 
-The guess cost of a value is the least number of bits over all ways to cut it into words,
-dates, repeats, keyboard walks and brute-force spans, found by dynamic programming.  Values
+The guess cost of a value is the least number of bits over all ways to cut it into words
+(of a public vocabulary, ranked), dates, repeats, keyboard walks and brute-force spans, found
+by dynamic programming.  Every value that the scan finds gets its cost.  Values
 that stand in a credential context (a key such as ``pwd`` with a sign, a bearer header, the
 password of a URL) and cost at least ``MIN_BITS`` are added as spans of kind ``guess``;
 spans of the base patterns always stay, and an added span is never covered by them: where a
@@ -9,12 +10,17 @@ base pattern takes only part of a value, the whole value is added beside it.
 
 Defined cases: a null or empty text has no spans; spans are whole matches (for ``assign``
 key, sign and value) in code points with exclusive end; letters of keys match in either
-ASCII case only; repeated rows get equal results; columns other than id and text are not read.
+ASCII case only; repeated rows get equal results; an empty table gives no rows; a very long
+text or value is scanned as a whole; columns other than id and text are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import json
 import math
 import re
 
@@ -42,6 +48,8 @@ CONTEXT = re.compile(
 _HINTS = ("pwd", "pass", "pin", "credential", "auth", "key", "client", "login", "bearer", "://", "secret", "token")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+#: A public vocabulary whose words, the commonest first, come after those below.
+VOCABULARY = "word_bpe_49k.json"
 #: Common words of passwords, the commonest first (fixed values).
 WORDS = (
     "password the and you love iloveyou welcome monkey dragon master letmein login admin football baseball qwerty shadow sunshine princess "
@@ -52,11 +60,11 @@ WORDS = (
     "horse cat dog correct battery staple red green blue black white yellow purple silver golden diamond crystal happy lucky angel baby "
     "family mother father brother sister friend forever always never monday friday january december production staging development example"
 ).split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4@8310!57$", "aabeioists")
 #: Rows of a keyboard (fixed values).
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+#: Lengths of the units of repeats.
+PERIODS = (1, 2, 3, 4)
 _PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d|\d{1,2}([-/.]?)\d{1,2}\1(?:19|20)?\d\d|(?:19|20)\d\d([-/.]?)\d{1,2}\2\d{1,2}", re.A)
 
@@ -77,55 +85,142 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q) and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 and p != q
 
 
-def guess_bits(value: str) -> float:
-    """Bits of the cheapest segmentation.
+@functools.lru_cache(maxsize=2)
+def ranks(vocabulary: str | None = None) -> tuple[dict[str, int], int]:
+    """Rank of each word, and the length of the longest: ``WORDS``, then the whole words of a BPE vocabulary in order of their ids."""
+    if vocabulary is None:
+        import public_tokenizers
 
-    Linear in the length of the value: words and dates are bounded, a brute-force span grows
-    by one character, and of a repeat or walk only the run that ends at a place is tried.
+        vocabulary = public_tokenizers.path(VOCABULARY)
+    with open(vocabulary, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    words = [k[: len(k) - len(end)] for k, _ in sorted(model["vocab"].items(), key=lambda kv: kv[1]) if k.endswith(end)]
+    found: dict[str, int] = {}
+    for w in [*WORDS, *(w for w in words if len(w) > 2 and w.isascii() and w.isalpha())]:
+        found.setdefault(w, len(found) + 1)
+    return found, max(map(len, found))
+
+
+class Least:
+    """The least, at a place x, of curves  a + log2((x - i) / p + d)  that each hold from some place on.
+
+    Two such curves cross at most once, so a tree over the places that keeps one curve in each
+    node (the lesser one at its middle) answers exactly; entering and asking take time by the
+    tree's height, whatever the number of curves.
     """
+
+    def __init__(self, stop: int, p: int, d: float):
+        self.stop, self.p, self.d = stop, p, d
+        self.held: dict[int, tuple[float, int]] = {}
+
+    def _at(self, curve: tuple[float, int], x: int) -> float:
+        return curve[0] + math.log2((x - curve[1]) / self.p + self.d)
+
+    def add(self, a: float, i: int, since: int) -> None:
+        node, lo, hi = 1, 0, self.stop
+        while lo < since <= hi:  # the right halves hold from ``since`` on as a whole
+            mid = (lo + hi) // 2
+            if since <= mid:
+                self._enter(2 * node + 1, mid + 1, hi, (a, i))
+                node, hi = 2 * node, mid
+            else:
+                node, lo = 2 * node + 1, mid + 1
+        if lo >= since:
+            self._enter(node, lo, hi, (a, i))
+
+    def _enter(self, node: int, lo: int, hi: int, curve: tuple[float, int]) -> None:
+        while lo <= hi:
+            held = self.held.get(node)
+            if held is None:
+                self.held[node] = curve
+                return
+            mid = (lo + hi) // 2
+            if self._at(curve, mid) < self._at(held, mid):
+                self.held[node], curve, held = curve, held, curve
+            if self._at(curve, lo) < self._at(held, lo):
+                node, hi = 2 * node, mid
+            elif self._at(curve, hi) < self._at(held, hi):
+                node, lo = 2 * node + 1, mid + 1
+            else:
+                return
+            if lo == hi and node not in self.held:
+                self.held[node] = curve
+                return
+
+    def ask(self, x: int) -> float:
+        best, node, lo, hi = math.inf, 1, 0, self.stop
+        while True:
+            held = self.held.get(node)
+            if held is not None:
+                best = min(best, self._at(held, x))
+            if lo >= hi:
+                return best
+            mid = (lo + hi) // 2
+            node, lo, hi = (2 * node, lo, mid) if x <= mid else (2 * node + 1, mid + 1, hi)
+
+
+def guess_bits(value: str, vocabulary: str | None = None) -> float:
+    """Bits of the cheapest segmentation into words, dates, repeats, walks and brute-force characters.
+
+    All starts of all spans count: words and dates have bounded lengths; for repeats and walks
+    the least over the starts in a run is asked of a tree, so time grows with n log n.
+    """
+    rank, longest = ranks(vocabulary)
     n, low = len(value), value.lower()
     if len(low) != n:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
+    chars = [_char_bits(c) for c in value]
+    sums = [0.0, *itertools.accumulate(chars)]
     best = [0.0] + [math.inf] * n
-    #: start of the longest run of repeats (by period) and of walks that ends at each place
-    run = {p: 0 for p in (1, 2, 3, 4)}
-    walk = turns = 0
+    #: for each period its run of repeats: where it begins and the least over the starts in it
+    repeats = {p: (0, Least(n, p, 1.0)) for p in PERIODS}
+    walk, walks, turns = 0, Least(n, 1, 0.0), [0] * (n + 1)
     for j in range(1, n + 1):
-        cost = best[j - 1] + _char_bits(value[j - 1])
+        cost = best[j - 1] + chars[j - 1]
         # words, in any case, with or without look-alikes
-        for size in range(3, min(_LONGEST, j) + 1):
+        for size in range(3, min(longest, j) + 1):
             i = j - size
             for text, extra in ((low[i:j], 0.0), (plain[i:j], 2.0)):
-                if rank := _RANK.get(text):
+                if r := rank.get(text):
                     case = 0.0 if value[i:j] == low[i:j] else 1.0 if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else size / 2
-                    cost = min(cost, best[i] + math.log2(rank + 1) + extra + case + 1.0)
+                    cost = min(cost, best[i] + math.log2(r + 1) + extra + case + 1.0)
         # dates
-        for size in (4, 6, 7, 8, 9, 10):
-            if size <= j and value[j - 1].isdigit() and _DATE.fullmatch(value[j - size : j]):
-                cost = min(cost, best[j - size] + (math.log2(120) if size == 4 else math.log2(365 * 120) + 2.0))
-        # repeats of a unit of 1 to 4 characters
-        for p in run:
-            if j - 1 - p < 0 or value[j - 1] != value[j - 1 - p]:
-                run[p] = j - p if j >= p else 0
-            i = max(run[p], 0)
-            if j - i >= max(3, 2 * p):
-                unit = sum(map(_char_bits, value[i : i + p]))
-                cost = min(cost, best[i] + unit + math.log2((j - i) / p + 1))
-        # walks over the keyboard, the alphabet or the digits
-        if j > 1 and _near(low[j - 2], low[j - 1]):
-            if j - walk > 2 and ord(low[j - 1]) - ord(low[j - 2]) != ord(low[j - 2]) - ord(low[j - 3]):
-                p, q, r = (_PLACE.get(low[k]) for k in (j - 3, j - 2, j - 1))
-                if not (p and q and r) or (q[0] - p[0], q[1] - p[1]) != (r[0] - q[0], r[1] - q[1]):
-                    turns += 1
-        else:
-            walk, turns = j - 1, 0
-        if j - walk >= 3:
-            cost = min(cost, best[walk] + math.log2(47) + math.log2(j - walk) + 2.5 * (turns + 1))
+        if value[j - 1].isdigit():
+            for size in (4, 6, 7, 8, 9, 10):
+                if size <= j and _DATE.fullmatch(value[j - size : j]):
+                    cost = min(cost, best[j - size] + (math.log2(120) if size == 4 else math.log2(365 * 120) + 2.0))
+        # repeats of a unit of p characters: at least two of them, and three characters
+        for p in PERIODS:
+            begin, least = repeats[p]
+            if j > p and value[j - 1] != value[j - 1 - p]:
+                repeats[p] = begin, least = j - p, Least(n, p, 1.0)
+            i = j - max(3, 2 * p)
+            if i >= begin:
+                least.add(best[i] + sums[i + p] - sums[i], i, j)
+                cost = min(cost, least.ask(j))
+        # walks over the keyboard, the alphabet or the digits, of three characters at least
+        if j > 1:
+            if not _near(low[j - 2], low[j - 1]):
+                walk, walks = j - 1, Least(n, 1, 0.0)
+            turns[j] = turns[j - 1] + (j - walk > 2 and _turns(low[j - 3], low[j - 2], low[j - 1]))
+            i = j - 3
+            if i >= walk:
+                walks.add(best[i] + math.log2(47) - 2.5 * turns[i + 2] + 2.5, i, j)
+                cost = min(cost, walks.ask(j) + 2.5 * turns[j])
         best[j] = cost
     return best[n]
 
 
+def _turns(a: str, b: str, c: str) -> bool:
+    """Whether a walk changes its direction at ``b``."""
+    if ord(c) - ord(b) == ord(b) - ord(a):
+        return False
+    p, q, r = map(_PLACE.get, (a, b, c))
+    return not (p and q and r) or (q[0] - p[0], q[1] - p[1]) != (r[0] - q[0], r[1] - q[1])
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base patterns, by start and then kind."""
     found = []
@@ -190,11 +285,14 @@ def _joined(spans: str) -> str:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans; beyond the contract the guessed spans, the assigned values that are easy to guess, and the bits of each span's value."""
     base = "filter(spans, s -> s.kind <> 'guess')"
     count = lambda kind: F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
+    weak = f"cast(size(filter(spans, s -> s.kind = 'assign' and s.bits < {MIN_BITS})) as bigint)"
     return scan(load(spark, sf_dir, "documents")).select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.expr(f"sha2({_joined(base)}, 256)").alias("base_sha256"), F.expr(_joined("spans")).alias("spans")
-    )
+        "doc_id", count("assign"), count("access"), count("hex"), F.expr(f"sha2({_joined(base)}, 256)").alias("base_sha256"), F.expr(_joined("spans")).alias("spans"),
+        count("guess"), F.expr(weak).alias("n_weak"), F.expr("array_join(transform(spans, s -> format_string('%.1f', s.bits)), ',')").alias("bits"),
+    )
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
