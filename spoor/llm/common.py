@@ -52,6 +52,17 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % modulus
 
 
+#: Rows that are worked on at once.
+SOME_ROWS = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SOME_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, a bounded number at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``mapInArrow`` for a function that turns one record batch into columns of equal length."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,7 +71,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = fn(batch)
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in target], schema=target
@@ -77,7 +88,7 @@ def replace_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch])
     """``mapInArrow`` that keeps the schema of ``df``: ``fn`` drops rows or rewrites columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield fn(batch)
 
     return df.mapInArrow(run, df.schema)

@@ -11,7 +11,9 @@ the wider ones are sums of such lookups: scoring needs no matrix product before
 Defined cases: a null text or one without letters is ``und`` with score 0.0; repeated rows
 get equal predictions; ties go to the first language in sorted order; with no labelled row
 to learn from, every text is ``und``; a null id counts as the empty text in the fold, so it
-is not held out unless crc32('') says so.  Columns other than id, text and lang are not read.
+is not held out unless crc32('') says so; an empty table gives no rows; a very long text is
+cut into all its windows.  Columns other than id, text and lang are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from spoor.llm.common import fold, load, map_batches, replace_rows, texts
 
 WIDTH = 192
 UND = "und"
-#: Bound of the training sample: so many windows for each language, and so many languages.
+#: Bound of the training sample: about so many windows for each language.
 SAMPLE_PER_LANG = 800
-MAX_LANGS = 200
+#: More values of ``lang`` than this are not languages: training refuses them.
+MOST_LANGS = 10_000
 #: The pipeline keeps documents whose language is at least this sure.
 MIN_SCORE = 0.3
 
@@ -181,13 +184,14 @@ def train(
 ) -> ByteConvNet:
     """Fit on about ``per_lang`` snippets of each language, drawn by hash from the training fold.
 
-    Two passes: counts by language (bounded by MAX_LANGS), then snippets from random places of
-    the drawn rows.  What reaches the driver is bounded by per_lang * languages * WIDTH characters.
+    Two passes: counts by language, then snippets from random places of the drawn rows.  What reaches the driver is bounded by per_lang * languages * WIDTH characters.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, modulus) != held_out)).select(
         F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text")
     )
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return ByteConvNet([])
     draw = F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1_000_000))

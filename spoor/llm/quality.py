@@ -8,7 +8,9 @@ the least ratio, over its score's upper tails, of the unlabelled to the positive
 Inputs of a score are counts on the whole text alone (letters, cases, symbols, words,
 repeats, lines).  Defined cases: a null text or one without words scores 0.0; repeated rows
 score alike; a document labelled twice counts as positive if any label says so; without a
-trusted positive every score is 0.0; a null id counts as the empty text in the fold.
+trusted positive every score is 0.0; a null id counts as the empty text in the fold; an
+empty table gives no rows; a very long text is counted as a whole; columns other than id and
+text (and ``quality`` of labels) are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -152,7 +154,8 @@ def train(
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], trusted.schema).withColumn("positive", F.lit(True))
     total = max(1, docs.count())
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("draw")), F.lit(1_000_000)) < int(min(1e6, 1e6 * unlabelled * 1.25 / total))
-    rows = docs.filter(fold(id_col, modulus) != held_out).join(F.broadcast(chosen), F.col(id_col) == F.col("key"), "left")
+    own = docs.select(id_col, text_col)  # other columns may have any name
+    rows = own.filter(fold(id_col, modulus) != held_out).join(F.broadcast(chosen), F.col(id_col) == F.col("key"), "left")
     picked = rows.filter(F.col("positive") | draw)
     found = with_features(picked, id_col, text_col).filter("x is not null").limit(3 * (positives + unlabelled)).toPandas()
     found = found.sort_values("id", kind="stable")

@@ -8,7 +8,10 @@ counters, reassembles elementary packets and lists timestamps with random-access
 
 Defined cases: a null text is the empty payload, which is one unit of padding; equal
 payloads give equal streams; lost packets show as continuity errors and mark the elementary
-packet they fall in as damaged; a repeated packet is skipped.
+packet they fall in as damaged, as does an elementary packet that is cut short; one without
+a whole header is left out; a repeated packet is skipped; an empty table gives no rows; a very
+long text is one stream in the memory of a task; columns other than id and text are not read,
+so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -127,14 +130,33 @@ class Stream:
 
 
 def _sections(rows: np.ndarray, start: np.ndarray, unit_start: np.ndarray) -> list[bytes]:
-    """Table sections of one PID that begin and end within a packet."""
-    found = []
-    for row, at, first in zip(rows, start, unit_start):
-        if first and at < PACKET:
-            at = int(at) + 1 + int(row[at])
-            if at + 3 <= PACKET:
-                n = 3 + ((int(row[at + 1]) & 0x0F) << 8 | int(row[at + 2]))
-                found.append(row[at : at + n].tobytes())
+    """Table sections of one PID, which may begin anywhere in a packet and go on in the next ones; one cut short is given as it is."""
+    found: list[bytes] = []
+    held: bytes | None = None
+
+    def take(more: bytes) -> bytes | None:
+        """Give whole sections and keep the rest."""
+        while len(more) >= 3 and more[0] != 0xFF:
+            n = 3 + ((more[1] & 0x0F) << 8 | more[2])
+            if len(more) < n:
+                return more
+            found.append(more[:n])
+            more = more[n:]
+        return more if more and more[0] != 0xFF else None
+
+    for row, at, first in zip(rows, start.tolist(), unit_start.tolist()):
+        body = row[at:].tobytes()
+        if not body:
+            continue
+        if first:
+            pointer = body[0]
+            if held is not None and (held := take(held + body[1 : 1 + pointer])) is not None:
+                found.append(held)  # its end never came
+            held = take(body[1 + pointer :])
+        elif held is not None:
+            held = take(held + body)
+    if held is not None:
+        found.append(held)
     return found
 
 
@@ -153,7 +175,7 @@ def demux(data: bytes) -> Stream:
     flags = np.where(has_field & (a[:, 4] > 0), a[:, 5], 0)
 
     for s in _sections(a[(at := np.flatnonzero(pid == PAT_PID))], start[at], first[at]):
-        if section_crc(s):
+        if len(s) < 12 or section_crc(s):
             out.table_errors += 1
             continue
         for i in range(8, len(s) - 4, 4):
@@ -161,7 +183,7 @@ def demux(data: bytes) -> Stream:
                 out.programs[number] = int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF
     for pmt in sorted(set(out.programs.values())):
         for s in _sections(a[(at := np.flatnonzero(pid == pmt))], start[at], first[at]):
-            if section_crc(s):
+            if len(s) < 16 or section_crc(s):
                 out.table_errors += 1
                 continue
             i = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF)
@@ -188,14 +210,15 @@ def demux(data: bytes) -> Stream:
         heads = np.flatnonzero(first[at])
         for h, n in zip(heads, [*heads[1:], len(at)]):
             pes = stream[ends[h] : ends[n]]
-            if pes[:3] != b"\0\0\1" or lost[h + 1 : n].any():
+            whole = len(pes) >= 9 and pes[:3] == b"\0\0\1" and len(pes) >= 9 + pes[8]
+            size = int.from_bytes(pes[4:6], "big") if whole else 0
+            if not whole or lost[h + 1 : n].any() or len(pes) < 6 + size:
                 out.damaged += 1
-            if pes[:3] != b"\0\0\1":
+            if not whole:
                 continue
-            size = int.from_bytes(pes[4:6], "big")
             body = pes[9 + pes[8] : 6 + size if size else None]
             pts = None
-            if pes[7] & 0x80:
+            if pes[7] & 0x80 and pes[8] >= 5:
                 p = pes[9:14]
                 pts = (p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1
             out.units.append((pts, bool(flags[at[h]] & 0x40), offset, len(body)))
@@ -217,8 +240,8 @@ def feature(s: Stream) -> str:
     )
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """One row for each text: the stored stream (unless ``keep_media`` is off), its digests and its access units.
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each text: the stored stream, its digests and its elementary packets (timestamp, random access, place).
 
     All features are computed from the bytes read back out of the stream.  One narrow pass.
     """
@@ -232,8 +255,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             media = mux(pad(raw))
             back = demux(media)
             values = (len(raw), len(back.payload), hashlib.sha256(back.payload).hexdigest(), zlib.crc32(back.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back))
-            units = [{"pts": p, "random_access": r, "offset": o, "size": n} for p, r, o, n in back.units] if keep_media else None
-            for n, v in zip(names, (*values, units, media if keep_media else None)):
+            units = [{"pts": p, "random_access": r, "offset": o, "size": n} for p, r, o, n in back.units]
+            for n, v in zip(names, (*values, units, media)):
                 out[n].append(v)
         return out
 
@@ -245,4 +268,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(load(spark, sf_dir, "documents"), keep_media=False).drop("units", "media")
+    """The columns of the contract, then the elementary packets and the stream itself."""
+    return media_columns(load(spark, sf_dir, "documents"))

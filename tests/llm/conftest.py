@@ -12,7 +12,8 @@ def odd(spark):
         (5, "", "en", "b", 0), (None, "no id at all here", "en", "b", 1), (None, None, None, None, None), (6, LONG, "en", "c", 9), (7, "   \n\t ", "de", "c", 1),
         (8, "12345 !!! ???", None, "d", 1), (9, "Grüße aus dem schönen Wald wo die Füchse wohnen", "de", "d", 5), (10, "x", "en", "d", 1),
     ]
-    df = spark.createDataFrame([(*r, 0.5, 7, "z", [1]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, id int, n_words string, spans array<int>")
+    clash = "score double, id int, n_words string, spans array<int>, key string, positive string, t1 string, places int, slot string, number int, class_id int, media int"
+    df = spark.createDataFrame([(*r, 0.5, 7, "z", [1], "k", "p", "t", 3, "s", 1, 2, 5) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
     return df
 
 

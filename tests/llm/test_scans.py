@@ -150,6 +150,55 @@ def test_transport_faults():
         transport.demux(b"\0" + m[1:])
 
 
+def test_short_and_cut_elementary_packets():
+    head = bytes([0x47, 0x41, 0x01])
+    short = head + bytes([0x30, 183 - 8, 0]) + b"\xff" * (183 - 9) + b"\0\0\1\xbd\0\0\x84\x80"  # eight bytes of a packet
+    assert len(short) == 188
+    tables = transport.mux(transport.pad(b""))[: 2 * 188]
+    s = transport.demux(tables + short)
+    assert s.damaged == 1 and s.units == [] and s.payload == b""
+    cut = transport.demux(transport.mux(transport.pad(os.urandom(3000)))[: 188 * 8])
+    assert cut.damaged == 1 and len(cut.units) == 1
+
+
+def test_sections_over_several_packets():
+    body = b"".join(n.to_bytes(2, "big") + (0xE000 | 0x200 + n).to_bytes(2, "big") for n in range(1, 101))
+    section = transport._section(0x00, 1, body)
+    parts = [b"\0" + section[:183], section[183:367], section[367:]]
+    packets = [(bytes([0x47, 0x40 if i == 0 else 0, 0, 0x10 | i]) + x).ljust(188, b"\xff") for i, x in enumerate(parts)]
+    s = transport.demux(b"".join(packets))
+    assert s.programs == {n: 0x200 + n for n in range(1, 101)} and s.table_errors == 0
+    assert transport.demux(b"".join(packets[:2])).table_errors == 1
+
+
+def test_transport_query_against_the_definition(spark, sf):
+    import hashlib
+    import zlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = transport.op7_transport_stream(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        media = bytes(r["media"])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert len(media) % 188 == 0 and all(media[i] == 0x47 for i in range(0, len(media), 188))
+        units = r["units"]
+        assert [u["offset"] for u in units] == [sum(v["size"] for v in units[:i]) for i in range(len(units))] and sum(u["size"] for u in units) == len(payload)
+        assert [u["pts"] for u in units] == [3600 * i for i in range(len(units))] and [u["random_access"] for u in units] == [i % 16 == 0 for i in range(len(units))]
+        # the payload again, from the packets of the stream by hand
+        got = b""
+        for i in range(0, len(media), 188):
+            p = media[i : i + 188]
+            if (p[1] & 0x1F) << 8 | p[2] == transport.DATA_PID:
+                body = p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+                got += body[14:] if p[1] & 0x40 else body
+        assert got == payload
+
+
 def test_media_columns(spark, odd, none):
     rows = {r["doc_id"]: r for r in transport.media_columns(odd).collect() if r["doc_id"] in (1, 2, 4)}
     assert rows[1]["media_sha256"] == rows[2]["media_sha256"] and rows[4]["payload_bytes"] == 576 and rows[4]["n_bytes"] == 0
@@ -272,6 +321,21 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.train(odd, labels.filter("false")) is None and quality.score(none, net).count() == 0
 
 
+def test_risk_falls_with_its_gradient():
+    """One step's direction against differences of the non-negative risk."""
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(1, 1, (300, quality.N_FEATURES)), rng.normal(0, 1, (700, quality.N_FEATURES))
+
+    def risk(net, prior=0.3):
+        sp, su = net.score(p), net.score(u)
+        negative = -np.log1p(-su).mean() + prior * np.log1p(-sp).mean()
+        return -prior * np.log(sp).mean() + max(0.0, negative)
+
+    before, after = quality.PUNet(), quality.PUNet().fit(p, u, 0.3, epochs=20)
+    before.mean, before.scale = after.mean, after.scale
+    assert risk(after) < risk(before) and after.score(p).mean() > after.score(u).mean() + 0.2
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
