@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents to packed training sequences, one stage after another."""
+"""The corpus pipeline: documents to packed training sequences, one stage after another.
+
+Defined cases: documents without a letter (null and empty texts among them) go in the first
+stage; repeated rows are copies, of which one stays; columns beyond those of documents pass
+through all stages but the last; an empty table gives no rows; very long texts are whole in
+every stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm.common import load, shared_dir
+from spoor.llm.common import discard, load, shared_dir
 from spoor.llm.decontam import stage_decontaminate
 from spoor.llm.langid import stage_language_id
 from spoor.llm.near import stage_near
@@ -59,5 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         path = f"{base}/{number}-{name}"
         out.write.parquet(path)
+        if number:
+            discard(docs)  # the stage before is not read any more
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
