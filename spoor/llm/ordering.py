@@ -6,8 +6,9 @@ permutation of [0, n): every sequence's number gives its global slot with no sor
 coordination.  Rows are then dealt by slot range, and each range is one file of records of
 equal stride: slot s is record s % per_file of file s // per_file, at byte
 (s % per_file) * stride.  A reader that knows the slot seeks there and reads on, which is all
-that resuming takes.  (The line break that Spark's text writer adds ends a file, behind its
-last record.)  An index table holds the documents and the length of each slot.
+that resuming takes.  A record is its slot (64 bits, little-endian), its ids (16 bits each)
+and the line break that Spark's text writer adds.  An index table holds the documents and
+the length of each slot.
 
 The sequences are written once, and a sequence's number is its file's first number plus
 its row in the file: a task that runs again cannot change it.
@@ -39,7 +40,8 @@ from spoor.llm.tokens import shared_encoder
 
 LENGTH, KEY, ROUNDS = 1024, 20240607, 6
 #: A file has about so many bytes.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 64 << 20
+HEAD = 8
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -126,7 +128,7 @@ def materialise(seqs: DataFrame, key: int = KEY, length: int = LENGTH, file_byte
     def slot_of(number: pd.Series) -> pd.Series:
         return pd.Series(permute(number.to_numpy(), n, key))
 
-    stride = 2 * length
+    stride = HEAD + 2 * length + 1
     parts = max(1, -(-n * stride // file_bytes))
     per_file = max(1, -(-n // parts))
 
@@ -137,36 +139,32 @@ def materialise(seqs: DataFrame, key: int = KEY, length: int = LENGTH, file_byte
     slotted = map_batches(rows.select("number", "ids"), "slot bigint, ids binary", squeezed)
     dealt = slotted.repartitionById(parts, F.floor(F.col("slot") / per_file).cast("int")).sortWithinPartitions("slot")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def record(batch: pa.RecordBatch) -> dict:
         opened = zstandard.ZstdDecompressor().decompress
-        held = [opened(x) for batch in batches for x in batch.column(1).to_pylist()]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["payload"])
+        return {"record": [slot.to_bytes(HEAD, "little") + opened(x) for slot, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]}
 
     folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    dealt.mapInArrow(run, "payload binary").select(F.col("payload").cast("string").alias("value")).write.option("compression", "none").text(folder)
+    map_batches(dealt, "record binary", record).select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(folder)
     return Shards(folder, n, per_file, stride, rows.select(slot_of("number").alias("slot"), "doc_ids", "n_tokens"))
 
 
 def read_from(spark: SparkSession, shards: Shards, slot: int = 0) -> DataFrame:
     """Records from ``slot`` on as the files hold them: (slot, shard, offset, ids). Files before it are not opened."""
-    per_file, stride, slots = shards.per_file, shards.stride, shards.slots
-    if not slots:
-        return spark.createDataFrame([], "slot bigint, shard bigint, offset bigint, ids binary")
-    number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("bigint")
-    files = spark.read.format("binaryFile").load(shards.folder).filter(number >= slot // per_file).select(number.alias("shard"), "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memoryview(content.as_buffer())
-                first = shard * per_file
-                for a in range(max(0, slot - first), min(per_file, slots - first), 1024):
-                    at = np.arange(a, min(a + 1024, per_file, slots - first))
-                    cut = [bytes(data[i * stride : (i + 1) * stride]) for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(np.full(len(at), shard)), pa.array(at * stride), pa.array(cut, pa.binary())], ["slot", "shard", "offset", "ids"])
-
-    return files.mapInArrow(run, "slot bigint, shard bigint, offset bigint, ids binary")
+    per_file, stride, paths = shards.per_file, shards.stride, shards.folder
+    schema = "slot bigint, shard bigint, offset bigint, ids binary"
+    if not shards.slots or slot >= shards.slots:
+        return spark.createDataFrame([], schema)
+    if slot >= per_file:
+        number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("bigint")
+        paths = ",".join(r["path"] for r in spark.read.format("binaryFile").load(shards.folder).filter(number >= slot // per_file).select("path").collect())
+
+    def rows(records: Iterator[bytes]) -> Iterator[tuple]:
+        for r in records:
+            at = int.from_bytes(r[:HEAD], "little")
+            if at >= slot:
+                yield at, at // per_file, at % per_file * stride, r[HEAD : stride - 1]
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(paths, stride).mapPartitions(rows), schema)
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def test_shards_hold_every_sequence_at_its_slot(spark, odd, none):
     rows = sorted(ordering.read_from(spark, shards).collect(), key=lambda r: r["slot"])
     index = {r["slot"]: r for r in shards.index.collect()}
     assert [r["slot"] for r in rows] == list(range(seqs.count())) == sorted(index)
-    assert all(r["shard"] == r["slot"] // shards.per_file and r["offset"] == r["slot"] % shards.per_file * 128 for r in rows)
+    assert all(r["shard"] == r["slot"] // shards.per_file and r["offset"] == r["slot"] % shards.per_file * (128 + 9) for r in rows)
     e, whole = tokens.Encoder(), []
     for r in odd.select("text").collect():
         whole += [*e.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]
@@ -101,7 +101,8 @@ def test_shards_hold_every_sequence_at_its_slot(spark, odd, none):
     files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
     with open(f"{path}/{files[rows[21]['shard']]}", "rb") as f:  # as a reader that resumes does
         f.seek(rows[21]["offset"])
-        assert f.read(128) == rows[21]["ids"]
+        assert f.read(8 + 128) == (21).to_bytes(8, "little") + rows[21]["ids"]
+        assert f.read(1 + 8)[1:] in ((22).to_bytes(8, "little"), b"")
     assert ordering.read_from(spark, ordering.materialise(ordering.sequences(none))).count() == 0
 
 
