@@ -25,7 +25,7 @@ def stack_match(a: Column, b: Column) -> Column:
     from spoor.functions.codes import number_match
 
     same = a["tag"] == b["tag"]
-    number = number_match(F.try_to_number(a["text"], F.lit("S9999999999.999999")), F.try_to_number(b["text"], F.lit("S9999999999.999999")))
+    number = number_match(a["text"].try_cast("double"), b["text"].try_cast("double"))
     return F.coalesce(
         same
         & F.when(a["tag"] == "nil", True).when(a["tag"] == "ref", a["heap_id"] == b["heap_id"]).when(a["tag"] == "symbol", a["type"] == b["type"])

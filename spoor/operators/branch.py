@@ -17,11 +17,10 @@ def next_assertion(records: DataFrame, trace: str, order: Sequence[str], is_asse
     return placed.withColumn("next_at", F.min(F.when(is_assertion, F.col("rn"))).over(after))
 
 
-def chains(assertions: DataFrame, entry: str, trace: str, order: Sequence[str], condition: Column, cap: int | None = None) -> DataFrame:
-    """(entry, trace, chain): the ordered conditions with truth of each trace; ``cap`` bounds the chain as the interpreter's limits do."""
+def chains(assertions: DataFrame, entry: str, trace: str, order: Sequence[str], condition: Column) -> DataFrame:
+    """(entry, trace, chain): the ordered conditions with truth of each trace, every one of them."""
     cells = F.sort_array(F.collect_list(F.struct(*order, condition.alias("c"))))
-    chain = F.transform(cells, lambda x: x["c"])
-    return assertions.groupBy(entry, trace).agg((F.slice(chain, 1, cap) if cap else chain).alias("chain"))
+    return assertions.groupBy(entry, trace).agg(F.transform(cells, lambda x: x["c"]).alias("chain"))
 
 
 def prefixes(chained: DataFrame, entry: str) -> DataFrame:
@@ -46,6 +45,18 @@ def metrics(chained: DataFrame, entry: str) -> DataFrame:
     )
 
 
-def path_conditions(chained: DataFrame, entry: str) -> DataFrame:
-    """Distinct sets of (condition, truth) over the chains of an entry point; none where nothing is asserted."""
-    return chained.filter(F.size("chain") > 0).select(entry, F.array_join(F.array_sort(F.array_distinct("chain")), "|").alias("s")).groupBy(entry).agg(F.countDistinct("s").alias("conditions"))
+def path_conditions(chained: DataFrame, entry: str, entries: DataFrame | None = None) -> DataFrame:
+    """BR-2: distinct sets of (condition, truth) over all leaves of an entry point's tree, empty sides among them.
+
+    Each inner node has a side for true and one for false; a side that is no inner node is a
+    leaf.  0 where nothing is asserted, also for ``entries`` without any chain.
+    """
+    rows = chained.select(entry, "chain", F.explode(F.sequence(F.lit(0), F.size("chain"))).alias("depth")).filter(F.col("depth") < F.size("chain"))
+    split = F.regexp_replace(F.element_at("chain", F.col("depth") + 1), "=[TF]$", "")
+    inner = rows.select(entry, F.slice("chain", 1, F.col("depth")).alias("path"), split.alias("split")).groupBy(entry, "path").agg(F.max("split").alias("split"))
+    side = lambda truth: F.concat("path", F.array(F.concat("split", F.lit(truth))))
+    sides = inner.select(entry, F.explode(F.array(side("=T"), side("=F"))).alias("path"))
+    leaves = sides.join(inner.select(entry, "path"), [entry, "path"], "left_anti")
+    counted = leaves.select(entry, F.array_sort(F.array_distinct("path")).alias("s")).distinct().groupBy(entry).agg(F.count("*").alias("conditions"))
+    every = (chained if entries is None else entries).select(entry).distinct()
+    return every.join(counted, entry, "left").withColumn("conditions", F.coalesce("conditions", F.lit(0)))

@@ -57,7 +57,10 @@ def indexed_names(features: DataFrame, name: str = "name") -> DataFrame:
     Ranks come from a range-sorted table: row counts of its parts, then places within them.
     """
     names = features.select(name).distinct()
-    parts = names.repartitionByRange(name).sortWithinPartitions(name).select(name, F.spark_partition_id().alias("part"))
+    from spoor.operators.graph import _spill
+
+    # written with its partitions' numbers: both readers below see the same ones
+    parts = _spill(names.repartitionByRange(name).select(name, F.spark_partition_id().alias("part")), "names")
     from pyspark.sql import Window as W
 
     inner = parts.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy(name)))

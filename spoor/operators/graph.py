@@ -25,6 +25,54 @@ def node_class(kind):
     return F.when(kind.isin("VALUE", "OBJECT"), "DATA").otherwise(kind)
 
 
+#: PRJ-6: what is asked of nodes and of edges.
+NODE_TRAITS = {
+    "is_value": "kind = 'VALUE'", "is_object": "kind = 'OBJECT'", "is_operator": "kind = 'OPERATOR'", "is_entry_point": "kind = 'ENTRYPOINT'", "is_method_call": "kind = 'METHODCALL'",
+    "is_data": "kind in ('VALUE', 'OBJECT')", "is_entry_parameter": "is_entry_param", "is_synthetic": "is_synthetic", "is_concrete": "is_concrete", "is_symbolic": "is_symbolic",
+    "is_string": "string is not null",
+}
+
+
+def classify_nodes(nodes: DataFrame) -> DataFrame:
+    """PRJ-6: each trait of a node as a column; an attribute that is not set is no."""
+    return nodes.select("graph_id", "node_id", *[F.coalesce(F.expr(e), F.lit(False)).alias(name) for name, e in NODE_TRAITS.items()])
+
+
+def classify_edges(edges: DataFrame) -> DataFrame:
+    """PRJ-6: each kind of an edge as a column."""
+    return edges.select("graph_id", "src", "dst", *[F.coalesce(F.col("kind") == k, F.lit(False)).alias(f"is_{k.lower()}") for k in EDGE_KINDS])
+
+
+#: AGG-20: (name of a family, columns of its key) of nodes; a node without an attribute is not of the family.
+COUNT_FAMILIES = (
+    ("LABEL", ("label",)), ("CLASS", ("ui_class",)), ("NODETYPE", ("kind",)), ("TYPESIGNATURE", ("type_sig",)), ("OPERATOR", ("operator",)), ("CASTTYPE", ("cast_type",)),
+    ("QUALIFED_SIGNATURE", ("method",)), ("SIGNATURE", ("method_name",)), ("VALUE", ("value_kind", "value_type")), ("CONCRETEVALUE", ("value", "value_class")),
+    ("STRING", ("string",)), ("CONCRETESTRING", ("string_text",)), ("REPRESENTINGTYPE", ("representing",)),
+)
+
+
+def legacy_counts(nodes: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
+    """AGG-20: (graph_id, name, value): how often each key of each family occurs, the literals, and the edges by kind and label.
+
+    Every family is a cell of one array, so nodes are read and shuffled once.
+    """
+    plain = ("CONCRETESTRING", "REPRESENTINGTYPE")  # these names have no ending
+
+    def cell(family: str, keys: tuple[str, ...]):
+        name = F.concat(F.lit(f"GRAPH_{prefix}_{family}_"), F.concat_ws("_", *(F.col(k).cast("string") for k in keys)), F.lit("" if family in plain else "_COUNT"))
+        present = F.col(keys[0]).isNotNull()
+        for k in keys[1:]:
+            present &= F.col(k).isNotNull()
+        return F.when(present, name)
+
+    of_nodes = [cell(f, keys) for f, keys in COUNT_FAMILIES if set(keys) <= set(nodes.columns)]
+    of_edges = [cell("EDGETYPE", ("kind",)), *([cell("LABEL", ("label",))] if "label" in edges.columns else [])]
+    names = nodes.select("graph_id", F.explode(F.array(*of_nodes)).alias("name")).unionByName(edges.select("graph_id", F.explode(F.array(*of_edges)).alias("name")))
+    out = names.filter("name is not null").groupBy("graph_id", "name").agg(F.count("*").alias("value"))
+    literals = nodes.groupBy("graph_id").agg(F.lit(f"GRAPH_{prefix}_LITERAL_COUNT").alias("name"), F.count_if(F.coalesce("is_literal", F.lit(False))).alias("value"))
+    return out.unionByName(literals)
+
+
 def ratio(a, b):
     """A ratio whose NaN and infinities are 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)

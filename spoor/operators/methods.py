@@ -22,10 +22,13 @@ ANNOTATIONS = (
 
 def subtypes(types: DataFrame, ancestor: str) -> DataFrame:
     """PRJ-9: every type that extends or implements ``ancestor``, itself included; rounds are as many as the hierarchy is deep."""
+    from spoor.operators.graph import _spill
+
     seen = types.sparkSession.createDataFrame([(ancestor,)], "type string")
     frontier = seen
     while True:
-        nxt = types.join(frontier.withColumnRenamed("type", "parent"), "parent").select("type").distinct().join(seen, "type", "left_anti").cache()
+        nxt = types.join(frontier.withColumnRenamed("type", "parent"), "parent").select("type").distinct().join(seen, "type", "left_anti")
+        nxt = _spill(nxt, "types")
         if nxt.isEmpty():
             break
         seen, frontier = seen.unionByName(nxt), nxt
@@ -33,22 +36,41 @@ def subtypes(types: DataFrame, ancestor: str) -> DataFrame:
 
 
 def _handler() -> Column:
-    return (F.col("statements") > 0) & ~F.col("is_static") & ~F.col("is_private") & (F.col("ret") == "void")
+    return F.col("statements").isNotNull() & ~F.col("is_static") & ~F.col("is_private") & (F.col("ret") == "void")
 
 
 def entry_points(methods: DataFrame, types: DataFrame, advice: list[str] | None = None) -> DataFrame:
-    """PRJ-7: methods that a runtime calls: main, servlets, event and view callbacks, annotated ones, or those advised."""
-    if advice is not None:
-        return methods.filter(F.col("method").isin(*advice))
+    """PRJ-7: methods that a runtime calls: main, servlets, event and view callbacks, annotated ones, and those advised.
+
+    ``statements`` is null where a method has no body; an empty body is one.
+    """
     one = F.size("params") == 1
-    main = (F.col("statements") > 0) & F.col("is_static") & F.col("is_public") & (F.col("ret") == "void") & one & (F.get("params", F.lit(0)) == "java.lang.String[]")
+    main = F.col("statements").isNotNull() & F.col("is_static") & F.col("is_public") & (F.col("ret") == "void") & one & (F.get("params", F.lit(0)) == "java.lang.String[]")
     servlet = _handler() & F.col("name").isin(*SERVLET_METHODS) & (F.col("super_class") == SERVLET) & (F.col("params") == F.array(F.lit(REQUEST), F.lit(RESPONSE)))
     marked = lambda c: F.arrays_overlap(F.coalesce(c, F.array().cast("array<string>")), F.array(*map(F.lit, ANNOTATIONS)))
     annotated = ~F.col("is_constructor") & ~F.col("is_private") & (marked(F.col("annotations")) | marked(F.col("class_annotations")))
     handled = subtypes(types, EVENT).unionByName(subtypes(types, VIEW)).distinct().select(F.col("type").alias("_handled"))
     rows = methods.join(handled, F.get("params", F.lit(0)) == F.col("_handled"), "left")
     callback = _handler() & one & F.col("_handled").isNotNull()
-    return rows.filter(main | servlet | annotated | callback).drop("_handled")
+    return rows.filter(main | servlet | annotated | callback | F.col("method").isin(*(advice or ()))).drop("_handled")
+
+
+def assignable(types: DataFrame) -> DataFrame:
+    """FN-14: (type, target): every type with each super-type and interface it may be assigned to, itself included.
+
+    Pairs double their reach in each round, which is written to the shared folder.
+    """
+    from spoor.operators.graph import _spill
+
+    every = types.select("type").unionByName(types.select(F.col("parent").alias("type"))).filter("type is not null").distinct()
+    known = _spill(every.select("type", F.col("type").alias("target")).unionByName(types.filter("parent is not null").select("type", F.col("parent").alias("target"))).distinct(), "assignable")
+    n = known.count()
+    while True:
+        further = known.select("type", F.col("target").alias("via")).join(known.select(F.col("type").alias("via"), "target"), "via").select("type", "target")
+        known = _spill(further.distinct(), "assignable")  # itself included, so nothing known is lost
+        if (m := known.count()) == n:
+            return known
+        n = m
 
 
 def all_methods(methods: DataFrame) -> DataFrame:

@@ -49,9 +49,13 @@ def dedupe_pairs(scores: DataFrame) -> DataFrame:
 
 
 def without_pairs(scores: DataFrame, pairs: DataFrame) -> DataFrame:
-    """JN-9: scores whose unordered pair is not among the suspicious ones."""
-    bad = pairs.select(F.least("lhs", "rhs").alias("_a"), F.greatest("lhs", "rhs").alias("_b"))
-    return scores.join(bad, (F.least("lhs", "rhs") == F.col("_a")) & (F.greatest("lhs", "rhs") == F.col("_b")), "left_anti")
+    """JN-9: scores whose unordered pair is not among the suspicious ones; dashes in ids do not count."""
+
+    def pair(end):
+        return end(*(F.regexp_replace(F.col(c).cast("string"), "-", "") for c in ("lhs", "rhs")))
+
+    bad = pairs.select(pair(F.least).alias("_a"), pair(F.greatest).alias("_b"))
+    return scores.join(bad, (pair(F.least) == F.col("_a")) & (pair(F.greatest) == F.col("_b")), "left_anti")
 
 
 def other_base(scores: DataFrame, separator: str = "_") -> DataFrame:
@@ -172,6 +176,24 @@ def expansion(pairs: DataFrame, left: DataFrame, right: DataFrame, lmapped: Data
 
 
 def residual(left: DataFrame, right: DataFrame) -> DataFrame:
-    """JN-5: unmapped nodes of both sides that match by kind and label: an equi-join in place of all pairs."""
-    l = left.select(F.col("node_id").alias("l"), "kind", "label")
-    return l.join(right.select(F.col("node_id").alias("r"), "kind", "label"), ["kind", "label"]).select("l", "r")
+    """JN-5: unmapped nodes of both sides that match: of one kind, and with equal labels or, for calls, by FN-21.
+
+    Nodes are (node_id, kind, label) and, for calls, name and ret.  The ways to match are
+    equi-joins whose results are united: equal labels, equal return types, and names of which
+    one is a prefix of the other (each prefix of a name is looked up).
+    """
+    a = left.select(F.col("node_id").alias("l"), "kind", *(c for c in ("label", "name", "ret") if c in left.columns))
+    b = right.select(F.col("node_id").alias("r"), "kind", *(c for c in ("label", "name", "ret") if c in right.columns))
+    out = a.join(b, ["kind", "label"]).select("l", "r")
+    if "name" in a.columns and "name" in b.columns:
+        calls = [x.filter("kind = 'METHODCALL'") for x in (a, b)]
+        starts = F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("name")
+        out = out.unionByName(calls[0].select("l", "ret").join(calls[1].select("r", "ret"), "ret").select("l", "r"))
+        out = out.unionByName(calls[0].select("l", starts).join(calls[1].select("r", "name"), "name").select("l", "r"))
+        out = out.unionByName(calls[0].select("l", "name").join(calls[1].select("r", starts), "name").select("l", "r"))
+    return out.distinct()
+
+
+def pair_scores(sims: DataFrame) -> DataFrame:
+    """SIM-8: of (lhs, rhs, lsim, rsim) the plaintiff's score, the greater side, and the pair's, the lesser."""
+    return sims.select("lhs", "rhs", F.greatest("lsim", "rsim").alias("plaintiff"), F.least("lsim", "rsim").alias("score"))

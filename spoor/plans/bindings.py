@@ -36,11 +36,11 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graph_edges(spark: SparkSession, sf_dir: str, returned: bool = False) -> DataFrame:
-    """B2 (parameters of returned lines alone, if asked for): region-nation SUPPLIES, nation-customer and nation-supplier SCOPE, customer-order SUPPLIES, order-part PARAMETER, part-supplier TRANSFORMATION."""
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: region-nation SUPPLIES, nation-customer and nation-supplier SCOPE, customer-order SUPPLIES, order-part PARAMETER, part-supplier TRANSFORMATION."""
 
-    def pick(t: str, a: str, pa: str, b: str, pb: str, kind: str, cond: str = "true") -> DataFrame:
-        return load(spark, sf_dir, t).filter(cond).select(
+    def pick(t: str, a: str, pa: str, b: str, pb: str, kind: str) -> DataFrame:
+        return load(spark, sf_dir, t).select(
             F.lit("g").alias("graph_id"), F.concat(F.lit(pa), F.col(a).cast("string")).alias("src"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("dst"), F.lit(kind).alias("kind")
         )
 
@@ -49,14 +49,14 @@ def graph_edges(spark: SparkSession, sf_dir: str, returned: bool = False) -> Dat
         .unionByName(pick("customer", "c_nationkey", "n", "c_custkey", "c", "SCOPE"))
         .unionByName(pick("supplier", "s_nationkey", "n", "s_suppkey", "s", "SCOPE"))
         .unionByName(pick("orders", "o_custkey", "c", "o_orderkey", "o", "SUPPLIES"))
-        .unionByName(pick("lineitem", "l_orderkey", "o", "l_partkey", "p", "PARAMETER", "l_returnflag = 'R'" if returned else "true"))
+        .unionByName(pick("lineitem", "l_orderkey", "o", "l_partkey", "p", "PARAMETER"))
         .unionByName(pick("lineitem", "l_partkey", "p", "l_suppkey", "s", "TRANSFORMATION"))
         .distinct()
     )
 
 
 def supply_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """B2 as many graphs: one for each nation with its suppliers and its customers of small keys, for pairwise work."""
+    """B2 as many graphs: one for each nation with its suppliers, for pairwise work."""
     n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("graph_id"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("node_id"), F.lit("ENTRYPOINT").alias("kind"), F.lit("n").alias("label"))
     s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("graph_id"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("node_id"), F.lit("OPERATOR").alias("kind"), (F.floor("s_acctbal") % 4).cast("string").alias("label"))
     edges = s.select("graph_id", F.concat(F.lit("n"), F.col("graph_id")).alias("src"), F.col("node_id").alias("dst"), F.lit("TRANSFORMATION").alias("kind"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spoor.functions import arith, codes
 from spoor.operators import features, graph, scores
 from spoor.plans import bindings as b
-from spoor.plans.registry import _kind_features, _r, query
+from spoor.plans.registry import _SHARES, _kind_features, _r, query
 from spoor.sources import sinks
 
 
@@ -27,11 +27,11 @@ def legacy_prefix_average(spark, d):
     return features.zero_filled_average(rows, members, "set_id", "member").withColumns(_r("avg"))
 
 
-@query("""WITH f AS (SELECT user_id, event_type AS name, count(*) AS c FROM events WHERE value > 5 GROUP BY 1, 2)
+@query("""WITH f AS (SELECT user_id, event_type AS name, count(*) AS c FROM events GROUP BY 1, 2)
 SELECT user_id AS set_id, concat_ws(',', user_id, coalesce(max(CASE WHEN name = 'click' THEN c END)::VARCHAR, '0'), coalesce(max(CASE WHEN name = 'error' THEN c END)::VARCHAR, '?'), coalesce(max(CASE WHEN name = 'view' THEN c END)::VARCHAR, '')) AS row FROM f GROUP BY 1""")
 def dense_rows(spark, d):
     """SNK-5: dense lines with a default for each feature."""
-    f = b.traces(spark, d).filter("value > 5").groupBy(F.col("trace").alias("set_id"), F.col("kind").alias("name")).agg(F.count("*").alias("value"))
+    f = b.traces(spark, d).groupBy(F.col("trace").alias("set_id"), F.col("kind").alias("name")).agg(F.count("*").alias("value"))
     return sinks.dense_rows(f, {"click": "0", "error": "?", "view": ""})
 
 
@@ -100,7 +100,7 @@ def trace_counters(spark, d):
     return b.traces(spark, d).groupBy("entry").agg(F.countDistinct("trace").alias("trace_count")).withColumn("total_traces", F.sum("trace_count").over(W.partitionBy()))
 
 
-@query("""WITH f AS (SELECT user_id, event_type AS name, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS value FROM events WHERE value > 5 GROUP BY user_id, event_type)
+@query(f"""WITH {_SHARES}
 SELECT user_id AS trace, name, round(value, 6) AS value FROM f WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)""")
 def unfinished_work(spark, d):
     """SNK-11: what is left when some keys are finished."""

@@ -80,12 +80,13 @@ def record_code_projection(spark, d):
     return b.traces(spark, d).select(codes.record_code(kind, F.floor(F.col("value") / 100).cast("string")).alias("code")).groupBy("code").agg(F.count("*").alias("cnt"))
 
 
-_SHARES = "f AS (SELECT user_id, event_type AS name, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS value FROM events WHERE value > 5 GROUP BY user_id, event_type)"
+_SHARES = "f AS (SELECT user_id, event_type || CAST(least(floor(value / 15), 9) AS INT) AS name, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS value FROM events GROUP BY 1, 2)"
 
 
 def _kind_features(spark, d) -> tuple[DataFrame, DataFrame]:
     t = b.traces(spark, d)
-    f = trace.share(t.filter("value > 5"), ["trace"], "kind").select("trace", F.col("kind").alias("name"), F.col("perc").alias("value"))
+    name = F.concat("kind", F.least(F.floor(F.col("value") / 15), F.lit(9)).cast("int").cast("string"))  # rare enough for some to be absent
+    f = trace.share(t.withColumn("kind", name), ["trace"], "kind").select("trace", F.col("kind").alias("name"), F.col("perc").alias("value"))
     return f, t.select("trace", "entry").distinct()
 
 
@@ -196,19 +197,15 @@ def next_assertion_index(spark, d):
 _CHAINS = """
 a AS (SELECT user_id % 10 AS entry, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i,
              'c' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) || '=' || CASE WHEN value > 20 THEN 'T' ELSE 'F' END AS c FROM events WHERE event_type = 'error'),
-ch AS (SELECT entry, user_id, list(c ORDER BY i) AS chain FROM a WHERE i <= 6 GROUP BY 1, 2),
+ch AS (SELECT entry, user_id, list(c ORDER BY i) AS chain FROM a GROUP BY 1, 2),
 px AS (SELECT entry, depth, array_to_string(chain[1:depth], '>') AS prefix, max(CASE WHEN depth < len(chain) THEN 'c' || (depth + 1) END) AS split
        FROM (SELECT entry, chain, unnest(range(0, len(chain) + 1)) AS depth FROM ch) GROUP BY 1, 2, 3)"""
 
 
-#: The same without a bound: every assertion of every trace.
-_WHOLE_CHAINS = _CHAINS.replace(" WHERE i <= 6", "")
-
-
-def _chains(spark, d, cap: int | None = 6) -> DataFrame:
-    """Errors are assertions, the n-th one tests condition n, large values are true; six at most, or all without a cap."""
+def _chains(spark, d) -> DataFrame:
+    """Errors are assertions, the n-th one tests condition n, large values are true."""
     a = trace.of_kinds(b.traces(spark, d), "error")
-    raw = branch.chains(a, "entry", "trace", ["ts", "seq"], F.when(F.col("value") > 20, "T").otherwise("F"), cap=cap)
+    raw = branch.chains(a, "entry", "trace", ["ts", "seq"], F.when(F.col("value") > 20, "T").otherwise("F"))
     return raw.withColumn("chain", F.transform("chain", lambda x, i: F.concat(F.lit("c"), (i + 1).cast("string"), F.lit("="), x)))
 
 
@@ -225,29 +222,13 @@ def branch_metrics(spark, d):
     return branch.metrics(_chains(spark, d), "entry")
 
 
-@query(f"WITH {_CHAINS} SELECT entry, count(DISTINCT array_to_string(list_sort(chain), '|')) AS conditions FROM ch GROUP BY 1")
+@query(f"""WITH {_CHAINS}, nd AS (SELECT DISTINCT entry, chain[1:i] AS path, i FROM (SELECT entry, chain, unnest(range(0, len(chain))) AS i FROM ch)),
+kid AS (SELECT entry, list_append(path, 'c' || (i + 1) || t) AS path FROM nd, (VALUES ('=T'), ('=F')) v(t)),
+n AS (SELECT entry, count(DISTINCT array_to_string(list_sort(path), '|')) AS conditions FROM kid WHERE NOT EXISTS (SELECT 1 FROM nd WHERE nd.entry = kid.entry AND nd.path = kid.path) GROUP BY 1)
+SELECT entry, coalesce(conditions, 0) AS conditions FROM (SELECT DISTINCT user_id % 10 AS entry FROM events) LEFT JOIN n USING (entry)""")
 def path_conditions(spark, d):
-    """BR-2: distinct sets of conditions on B3."""
-    return branch.path_conditions(_chains(spark, d), "entry")
-
-
-@query(f"WITH {_WHOLE_CHAINS} SELECT entry, CAST(depth AS INT) AS depth, prefix, split FROM px")
-def branch_prefixes_whole(spark, d):
-    """BR-1 on whole chains of B3."""
-    return branch.prefixes(_chains(spark, d, cap=None), "entry")
-
-
-@query(f"""WITH {_WHOLE_CHAINS}, i AS (SELECT entry, count(split) AS internals FROM px GROUP BY 1), dd AS (SELECT entry, max(len(chain)) AS d FROM ch GROUP BY 1)
-SELECT entry, CAST(d + 2 AS BIGINT) AS height, 2 * internals + 2 AS size, internals + 1 AS terminals, internals FROM i JOIN dd USING (entry)""")
-def branch_metrics_whole(spark, d):
-    """BR-2, AGG-21 on whole chains of B3."""
-    return branch.metrics(_chains(spark, d, cap=None), "entry")
-
-
-@query(f"WITH {_WHOLE_CHAINS} SELECT entry, count(DISTINCT array_to_string(list_sort(chain), '|')) AS conditions FROM ch GROUP BY 1")
-def path_conditions_whole(spark, d):
-    """BR-2: distinct sets of conditions on whole chains of B3."""
-    return branch.path_conditions(_chains(spark, d, cap=None), "entry")
+    """BR-2: distinct sets of conditions over all leaves on B3."""
+    return branch.path_conditions(_chains(spark, d), "entry", b.traces(spark, d).select("entry"))
 
 
 # graphs (B2) ------------------------------------------------------------------------------
@@ -315,39 +296,25 @@ def neighbourhood_signature_share(spark, d):
     return graph.signatures(n, b.graph_edges(spark, d), seeds).withColumns(_r("perc"))
 
 
-def _few_edges(spark, d) -> DataFrame:
-    """B2's edges with parameters of returned lines alone: leaves something untainted."""
-    return b.graph_edges(spark, d, returned=True)
-
-
 _TAINT = f"""{_NODES}, {_EDGES},
-few AS (SELECT * FROM edges WHERE kind <> 'PARAMETER' UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'PARAMETER' FROM lineitem WHERE l_returnflag = 'R'),
 cls AS (SELECT id, CASE WHEN kind IN ('VALUE', 'OBJECT') THEN 'DATA' ELSE kind END AS cls FROM nodes),
-moves AS (SELECT e.src, e.dst, e.kind, 'out' AS way FROM few e JOIN cls ON cls.id = e.src
+moves AS (SELECT e.src, e.dst, e.kind, 'out' AS way FROM edges e JOIN cls ON cls.id = e.src
             WHERE (cls = 'DATA') OR (cls = 'OPERATOR' AND kind = 'TRANSFORMATION') OR (cls = 'METHODCALL' AND kind IN ('SUPPLIES', 'SCOPE'))
-          UNION ALL SELECT e.dst, e.src, e.kind, 'in' FROM few e JOIN cls ON cls.id = e.dst WHERE cls = 'DATA' AND kind IN ('AGGREGATION', 'SCOPE')),
+          UNION ALL SELECT e.dst, e.src, e.kind, 'in' FROM edges e JOIN cls ON cls.id = e.dst WHERE cls = 'DATA' AND kind IN ('AGGREGATION', 'SCOPE')),
 seen AS (SELECT id FROM nodes WHERE kind = 'OBJECT' AND label IN ('NATION_0', 'NATION_1') UNION SELECT m.dst FROM moves m JOIN seen ON m.src = seen.id)"""
 
 
-#: The same over all edges.
-_WHOLE_TAINT = _TAINT.replace(
-    " WHERE kind <> 'PARAMETER' UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'PARAMETER' FROM lineitem WHERE l_returnflag = 'R')", ")"
-)
+#: Taint that does not follow parameters leaves parts and their suppliers alone.
+_CAREFUL = tuple(r for r in graph.TAINT_RULES if r[1] != "PARAMETER")
 
 
-def _tainted(spark, d, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    n, e = b.graph_nodes(spark, d), b.graph_edges(spark, d) if whole else _few_edges(spark, d)
-    moves = graph.steps(spark, n, e)
+def _tainted(spark, d, rules: tuple = graph.TAINT_RULES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    n, e = b.graph_nodes(spark, d), b.graph_edges(spark, d)
+    moves = graph.steps(spark, n, e, rules)
     seeds = n.filter("kind = 'OBJECT' and label in ('NATION_0', 'NATION_1')")
     return n, e, moves, graph.reach(moves, seeds)
 
 
-@query("SELECT 'g' AS graph_id, 'n' || n_nationkey AS node_id FROM nation WHERE n_name IN ('NATION_0', 'NATION_1')")
-def input_nodes(spark, d):
-    """GR-2, PRJ-10 on B2: two nations are the inputs."""
-    return b.graph_nodes(spark, d).filter("kind = 'OBJECT' and label in ('NATION_0', 'NATION_1')").select("graph_id", "node_id")
-
-
 @query(f"WITH RECURSIVE {_TAINT} SELECT 'g' AS graph_id, id AS node_id FROM seen")
 def taint_reachability(spark, d):
     """GR-3 on B2."""
@@ -361,21 +328,8 @@ def taint_transitions(spark, d):
     return graph.transitions(moves, seen)
 
 
-@query(f"WITH RECURSIVE {_WHOLE_TAINT} SELECT 'g' AS graph_id, id AS node_id FROM seen")
-def taint_reachability_whole(spark, d):
-    """GR-3 on all edges of B2."""
-    return _tainted(spark, d, whole=True)[3]
-
-
-@query(f"WITH RECURSIVE {_WHOLE_TAINT} SELECT DISTINCT 'g' AS graph_id, src, dst, kind FROM moves WHERE src IN (SELECT id FROM seen)")
-def taint_transitions_whole(spark, d):
-    """GR-3, GR-4 on all edges of B2."""
-    _, _, moves, seen = _tainted(spark, d, whole=True)
-    return graph.transitions(moves, seen)
-
-
 def _concerns(spark, d) -> tuple[DataFrame, DataFrame]:
-    n, e, _, seen = _tainted(spark, d)
+    n, e, _, seen = _tainted(spark, d, _CAREFUL)
     rest, inner = graph.untainted(n, e, seen)
     return graph.weak_components(rest, inner), e
 
@@ -645,7 +599,7 @@ def feature_index(spark, d):
 
 
 @query(f"""WITH {_SHARES}, n AS (SELECT name, row_number() OVER (ORDER BY name) AS idx FROM (SELECT DISTINCT name FROM f)), k AS (SELECT max(idx) AS n FROM n)
-SELECT user_id AS set_id, '{{0 ' || user_id || ',' || string_agg(idx || ' ' || printf('%.4f', value), ',' ORDER BY idx) || ',' || (any_value(k.n) + 1) || ' ' || user_id || '}}' AS row FROM f JOIN n USING (name), k GROUP BY user_id""")
+SELECT user_id AS set_id, '{{0 ' || user_id || ',' || string_agg(idx || ' ' || printf('%.4f', round(CAST(value AS DECIMAL(18, 12)), 4)), ',' ORDER BY idx) || ',' || (any_value(k.n) + 1) || ' ' || user_id || '}}' AS row FROM f JOIN n USING (name), k GROUP BY user_id""")
 def arff_rows(spark, d):
     """SNK-4 on B1: sparse rows with the class after the features."""
     f, _ = _kind_features(spark, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,9 +74,15 @@ def base_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def suspicious(spark: SparkSession, path: str | None) -> DataFrame:
     """SRC-15: known pairs; no file, no pairs."""
+    none = spark.createDataFrame([], "lhs string, rhs string")
     if path is None:
-        return spark.createDataFrame([], "lhs string, rhs string")
-    rows = spark.read.schema("knownSuspicious array<struct<lhs:string,rhs:string>>").json(path, multiLine=True)
+        return none
+    try:
+        rows = spark.read.schema("knownSuspicious array<struct<lhs:string,rhs:string>>").json(path, multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
     return rows.select(F.inline("knownSuspicious"))
 
 

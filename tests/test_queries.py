@@ -1,6 +1,6 @@
 import pytest
 
-from spoor.plans import more, registry  # noqa: F401
+from spoor.plans import more, program, registry  # noqa: F401
 from tests.oracle import assert_same
 
 
@@ -19,7 +19,7 @@ def test_entry(spark):
 def test_components_against_union_find(spark, sf):
     from spoor.operators import graph
 
-    n, e, _, seen = registry._tainted(spark, sf)
+    n, e, _, seen = registry._tainted(spark, sf, registry._CAREFUL)
     rest, inner = graph.untainted(n, e, seen)
     parent = {r["node_id"]: r["node_id"] for r in rest.collect()}
 
@@ -38,5 +38,5 @@ def test_components_against_union_find(spark, sf):
 def test_whole_branch_chains_drop_no_assertion(spark, sf):
     longest = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").groupBy("user_id").count().agg({"count": "max"}).first()[0]
     assert longest > 6
-    assert max(r["height"] for r in registry.QUERIES["branch_metrics_whole"](spark, sf).collect()) == longest + 2
-    assert max(r["depth"] for r in registry.QUERIES["branch_prefixes_whole"](spark, sf).collect()) == longest
+    assert max(r["height"] for r in registry.QUERIES["branch_metrics"](spark, sf).collect()) == longest + 2
+    assert max(r["depth"] for r in registry.QUERIES["branch_prefixes"](spark, sf).collect()) == longest
