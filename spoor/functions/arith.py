@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 def _wrap(value: Column, bits: int) -> Column:
     """A whole number (as decimal) folded into a signed integer of ``bits`` bits."""
-    size, half = 1 << bits, 1 << (bits - 1)
+    # as text: beyond 64 bits a literal is no long
+    size, half = (F.lit(str(x)).cast("decimal(38,0)") for x in (1 << bits, 1 << (bits - 1)))
     n = value.cast("decimal(38,0)")
-    return (F.pmod(n + F.lit(half).cast("decimal(38,0)"), F.lit(size).cast("decimal(38,0)")) - F.lit(half).cast("decimal(38,0)")).cast("int" if bits == 32 else "bigint")
+    return (F.pmod(n + half, size) - half).cast("int" if bits <= 32 else "bigint")
 
 
 def add(a: Column, b: Column, bits: int = 32) -> Column:
@@ -18,6 +19,59 @@ def add(a: Column, b: Column, bits: int = 32) -> Column:
     return _wrap(a.cast("decimal(19,0)") + b.cast("decimal(19,0)"), bits)
 
 
+#: Numeric types from the one that wins; a sum of characters is an int whatever the other operand (fixed values).
+PROMOTION = ("D", "F", "J", "I", "S", "B")
+NUMBER = "struct<type:string,whole:bigint,real:double>"
+
+
+def number(type_code: Column, value: Column) -> Column:
+    """A typed number: whole ones (characters by code) beside real ones."""
+    real = type_code.isin("D", "F")
+    return F.struct(type_code.alias("type"), F.when(~real, value.cast("bigint")).alias("whole"), F.when(real, value.cast("double")).alias("real"))
+
+
+def promoted(a: Column, b: Column) -> Column:
+    """FN-1: the type of a result of two typed numbers; null where a boolean takes part, which the original leaves open."""
+    either = lambda t: (a["type"] == t) | (b["type"] == t)
+    out = F.when(either("C"), "I").when(either("Z"), None)
+    for t in PROMOTION:
+        out = out.when(either(t), t)
+    return out
+
+
+def promoted_add(a: Column, b: Column) -> Column:
+    """FN-1: the sum of two typed numbers with promotion and Java's wrap-around; null where there is none.
+
+    A real operand beside a character is cut to an int first, at the ends of its range where it is beyond.
+    """
+    t = promoted(a, b)
+    cut = lambda c: F.when(F.isnan(c), F.lit(0.0)).otherwise(F.least(F.greatest(c, F.lit(-2147483648.0)), F.lit(2147483647.0))).cast("bigint")
+    whole = lambda x: F.coalesce(x["whole"], cut(x["real"])).cast("decimal(20,0)")
+    real = lambda x: F.coalesce(x["real"], x["whole"].cast("double"))
+    total = whole(a) + whole(b)
+    bits = {"J": 64, "I": 32, "S": 16, "B": 8}
+    folded = None
+    for code, n in bits.items():
+        folded = F.when(t == code, _wrap(total, n).cast("bigint")) if folded is None else folded.when(t == code, _wrap(total, n).cast("bigint"))
+    single = (real(a).cast("float") + real(b).cast("float")).cast("double")
+    fraction = F.when(t == "D", real(a) + real(b)).when(t == "F", single)
+    return F.when(t.isNotNull(), F.struct(t.alias("type"), folded.alias("whole"), fraction.alias("real")))
+
+
+def number_text(x: Column) -> Column:
+    """A typed number as text."""
+    return F.coalesce(x["whole"].cast("string"), x["real"].cast("string"))
+
+
+def object_add(a: Column, b: Column) -> Column:
+    """FN-10 on structs (text, number): a text operand makes a concatenation, boxed numbers are taken out and added."""
+    both = promoted_add(a["number"], b["number"])
+    joined = F.concat(F.coalesce(a["text"], number_text(a["number"])), F.coalesce(b["text"], number_text(b["number"])))
+    texts = a["text"].isNotNull() | b["text"].isNotNull()
+    none = F.lit(None)
+    return F.struct(F.when(texts, joined).alias("text"), F.when(texts, none.cast(NUMBER)).otherwise(both).alias("number"))
+
+
 def sub(a: Column, b: Column, bits: int = 32) -> Column:
     """FN-2."""
     return _wrap(a.cast("decimal(19,0)") - b.cast("decimal(19,0)"), bits)

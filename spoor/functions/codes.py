@@ -13,6 +13,12 @@ SANITISED = (
     ("\0", "_null"), (":", "COLON"), (";", "SEMI"),
 )
 
+#: The older form for features of branches, in order (fixed values).
+SANITISED_BRANCH = (
+    ("<", "_LESS_"), (">", "_GRTR_"), ("[", "_LBRACE_"), ("]", "_RBRACE_"), ("(", "_LPAR_"), (")", "_RPAR_"), ("/", "_DIV_"), (".", "_DOT_"), (",", "_COMA_"),
+    ("#", "_HASH_"), (" ", "_SPACE_"), ("%", "PERC"), ("@", "AT"), ("+", "PLUS"), ("-", "MINUS"), ("=", "EQUALS"), ("*", "MULTIPLY"),
+)
+
 #: Codes of record kinds; {t} takes the record's type or signature (fixed values).
 RECORD_CODES = {
     "EntryMethod": "EM", "EntryScope": "Es", "EntryParameter": "Ep{t}", "StaticLibraryMethodCall": "Sm{t}", "InstanceLibraryMethodCall": "Im{t}",
@@ -25,9 +31,9 @@ RECORD_CODES = {
 PRIMITIVES = {"Z": "boolean", "B": "byte", "C": "char", "S": "short", "I": "int", "J": "long", "F": "float", "D": "double", "V": "void"}
 
 
-def sanitise(name: Column) -> Column:
-    """FN-30: a name fit for a feature."""
-    for old, new in SANITISED:
+def sanitise(name: Column, table: tuple[tuple[str, str], ...] = SANITISED) -> Column:
+    """FN-30: a name fit for a feature; FN-31 with the older table (averages use the same one)."""
+    for old, new in table:
         name = F.replace(name, F.lit(old), F.lit(new))
     return name
 
@@ -62,6 +68,22 @@ def signature_text(s: Column) -> Column:
     return F.concat(F.when(s["declaring"] != "", F.concat(F.lit("L"), s["declaring"], F.lit(";"))).otherwise(""), s["name"], F.lit("("), F.array_join(s["args"], ""), F.lit(")"), s["ret"])
 
 
+def value_label(number: Column, type_name: Column) -> Column:
+    """FN-37: what a concrete stack value is called."""
+    return F.concat(number.cast("string"), F.lit(" "), type_name)
+
+
+def string_label(kind: Column, text: Column, inner: Column, own: Column) -> Column:
+    """FN-37 for strings: concrete ones by text, symbolic ones by number, stringified ones by their value's label, composites by id.
+
+    ``own`` is the row's id: the original takes the object's address, which no second run repeats.
+    """
+    return (
+        F.when(kind == "concrete", F.when(text == "", "EMPTY").otherwise(text)).when(kind == "symbolic", F.concat(F.lit("#"), text, F.lit(" STRING")))
+        .when(kind == "stack", inner).when(kind == "composite", F.concat(F.lit("#CS:"), own.cast("string")))
+    )
+
+
 def path_safe(name: Column) -> Column:
     """FN-34."""
     return F.translate(name, '/"', "..")

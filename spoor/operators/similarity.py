@@ -72,6 +72,32 @@ def matches(costs: np.ndarray, threshold: float = 0.0) -> list[tuple[int, int, f
     return [(i, int(j), 1 - float(costs[i][j])) for i, j in enumerate(hungarian(costs)) if j >= 0 and 1 - costs[i][j] >= threshold]
 
 
+def assign(costs: DataFrame, group: str, row: str, col: str, cost: str, method: str = "optimal", threshold: float = 0.0) -> DataFrame:
+    """SIM-1..3: (group, row, col, similarity) for a table of dense costs, each group one matrix; rows and columns in order of their keys.
+
+    ``method`` is optimal or greedy.  A group's matrix is one cell array in one task: groups are
+    the blocks of a pair of graphs, not whole graphs.  An absent cell is an error of the caller.
+    """
+    from pyspark.sql import functions as F
+
+    solve = {"optimal": hungarian, "greedy": greedy}[method]
+    packed = costs.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), F.col(col).alias("c"), F.col(cost).cast("double").alias("v")))).alias("cells"))
+    t = {f.name: f.dataType.simpleString() for f in costs.schema}
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, cells in zip(pdf[group], pdf["cells"]):
+                rows, cols = sorted({x["r"] for x in cells}), sorted({x["c"] for x in cells})
+                if len(cells) != len(rows) * len(cols):
+                    raise ValueError(f"the costs of {key} are not a full matrix")
+                matrix = np.array([x["v"] for x in cells]).reshape(len(rows), len(cols))
+                out += [(key, rows[i], cols[j], 1 - matrix[i, j]) for i, j in enumerate(solve(matrix)) if j >= 0 and 1 - matrix[i, j] >= threshold]
+            yield pd.DataFrame(out, columns=[group, row, col, "similarity"])
+
+    return packed.mapInPandas(run, f"{group} {t[group]}, {row} {t[row]}, {col} {t[col]}, similarity double")
+
+
 class Graph:
     """One graph of a pair, in memory: nodes {id: row} and edges (src, dst, kind)."""
 

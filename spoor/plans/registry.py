@@ -609,17 +609,28 @@ def arff_rows(spark, d):
 # comparison of graphs ---------------------------------------------------------------------
 
 
-@query(None)
+@query("""WITH n AS (SELECT s_nationkey AS g, CAST(floor(s_acctbal) AS BIGINT) % 4 AS label, count(*) AS c FROM supplier GROUP BY 1, 2),
+k AS (SELECT n_nationkey AS g, 1 + coalesce((SELECT sum(c) FROM n WHERE n.g = n_nationkey), 0) AS size FROM nation),
+m AS (SELECT l.g AS lhs, r.g AS rhs, l.size AS nl, r.size AS nr, 1 + coalesce((SELECT sum(least(a.c, b.c)) FROM n a JOIN n b ON a.label = b.label WHERE a.g = l.g AND b.g = r.g), 0) AS mm FROM k l JOIN k r ON l.g < r.g)
+SELECT lhs, rhs, round(CAST(2 * mm AS DOUBLE) / (nl + nr), 6) AS union_sim, round(CAST(mm AS DOUBLE) / nl, 6) AS lr_sim, round(CAST(mm AS DOUBLE) / nr, 6) AS rl_sim FROM m""")
 def graph_similarity(spark, d):
-    """SIM-1..4 on the nations' supply graphs: all pairs of 12 nations (tested on fixtures)."""
+    """SIM-1..4 on the nations' supply graphs, all pairs: in stars, operators of one label match one to one, and so do the middles."""
     n, e = b.supply_graphs(spark, d)
     ids = b.load(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
     pairs = ids.select(F.col("k").alias("lhs")).join(ids.select(F.col("k").alias("rhs")), F.col("lhs") < F.col("rhs"))
     return similarity.compare_pairs(pairs, n, e).withColumns(_r("union_sim", "lr_sim", "rl_sim"))
 
 
-@query(None)
+@query("""WITH RECURSIVE c AS (SELECT user_id % 10 AS entry, user_id AS u, event_type AS code, count(*) AS c FROM events GROUP BY 1, 2, 3),
+t AS (SELECT entry, u, sum(c) AS n, row_number() OVER (PARTITION BY entry ORDER BY u) AS i FROM c GROUP BY 1, 2),
+s AS (SELECT a.entry, a.u, b.u AS l, sum(least(a.c, b.c)) AS both FROM c a JOIN c b ON a.entry = b.entry AND a.code = b.code AND b.u < a.u GROUP BY 1, 2, 3),
+o AS (SELECT x.entry, x.i, x.u, coalesce(list(y.u) FILTER (WHERE CAST(least(x.n, y.n) AS DOUBLE) / greatest(x.n, y.n) >= 0.85 AND CAST(2 * s.both AS DOUBLE) / (x.n + y.n) >= 0.85), []) AS near
+      FROM t x LEFT JOIN s ON s.entry = x.entry AND s.u = x.u LEFT JOIN t y ON y.entry = s.entry AND y.u = s.l GROUP BY 1, 2, 3),
+w AS (SELECT entry, i, u AS leader, [u] AS leaders FROM o WHERE i = 1
+  UNION ALL SELECT o.entry, o.i, coalesce(list_filter(w.leaders, lambda x: list_contains(o.near, x))[1], o.u),
+    CASE WHEN len(list_filter(w.leaders, lambda x: list_contains(o.near, x))) = 0 THEN list_append(w.leaders, o.u) ELSE w.leaders END FROM w JOIN o ON o.entry = w.entry AND o.i = w.i + 1)
+SELECT entry, leader, count(*) AS weight FROM w GROUP BY 1, 2""")
 def condensed_weights(spark, d):
-    """SIM-5 on B1: leaders and weights of each entry point's traces (tested on fixtures)."""
+    """SIM-5 on B1: leaders and weights of each entry point's traces."""
     sets = b.traces(spark, d).groupBy("entry", "trace").agg(F.sort_array(F.collect_list("kind")).alias("codes"))
     return similarity.condense_traces(sets, "entry", "trace", "codes", 0.85)

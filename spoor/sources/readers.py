@@ -46,6 +46,45 @@ def without_syntax_errors(projects_: DataFrame, messages: DataFrame) -> DataFram
     return projects_.join(bad.select("project_id"), "project_id", "left_anti")
 
 
+#: SRC-8: a parsed unit: its types with the methods and fields they declare.
+UNITS = "unit string, types array<struct<sig:string,kind:string,methods:array<struct<sig:string,name:string>>,fields:array<struct<name:string,type:string>>>>"
+
+
+def declarations(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SRC-8: the tables of types, methods and fields of parsed units, keyed by signature.
+
+    Of two declarations with one key the one of the last unit by name counts, as in a map that
+    units are added to in order.  A field's key is its class and its name.
+    """
+    types = units.select("unit", F.posexplode("types").alias("at", "t")).select("unit", "at", "t.sig", "t.kind", "t.methods", "t.fields")
+
+    def last(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.max_by(F.struct(*columns, "unit"), F.struct("unit", "at", "pos")).alias("d")).select(key, "d.*")
+
+    def members(what: str) -> DataFrame:
+        return types.select("unit", "at", F.col("sig").alias("declaring"), F.posexplode(what).alias("pos", "m"))
+
+    methods = members("methods").select("unit", "at", "pos", "declaring", F.concat_ws(".", "declaring", "m.sig").alias("method"), "m.name")
+    fields = members("fields").select("unit", "at", "pos", "declaring", F.concat_ws(".", "declaring", "m.name").alias("field"), "m.type")
+    return (
+        last(types.select("unit", "at", F.lit(0).alias("pos"), F.col("sig").alias("type"), "kind"), "type", "kind"),
+        last(methods, "method", "declaring", "name"), last(fields, "field", "declaring", "type"),
+    )
+
+
+def traces(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SRC-9: records of stored traces, project and entry point from the names of folders.
+
+    ``schema`` is the records' own (``builder.RECORDS`` for graph building) and prunes what is read.
+    """
+    return spark.read.schema(f"{schema}, project_id string, entry_point string, trace_id string").parquet(path)
+
+
+def opcodes(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-17: (name, opcode) from the table of instructions, whose further columns are not read."""
+    return spark.read.schema("name string, opcode string").csv(path, quote='"', escape='"', enforceSchema=True)
+
+
 def project_models(spark: SparkSession, root: str) -> DataFrame:
     """SRC-11: (dir, idx, artefacts): artefact files grouped by their number, without the manifest."""
     listed = files(spark, root, "").filter("name <> 'manifest.ser'")

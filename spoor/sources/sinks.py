@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.operators.features import arff_rows, indexed_names
+from spoor.operators.features import arff_rows, indexed_names, zero_filled_average
 
 ARTEFACTS = ("execgraph", "taint", "scs", "heap", "assertions")
 
@@ -55,6 +55,17 @@ def sparse_arff(features: DataFrame, path: str, relation: str = "features", set_
     lines.orderBy("part", "at").select("line").write.mode("overwrite").text(path)
 
 
+def averaged_rows(features: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
+    """SNK-6: one sparse row for each group: means over all its members of the numeric features they have, four digits."""
+    means = zero_filled_average(features, members, group, member).withColumnRenamed("avg", "value")
+    return arff_rows(means, group)
+
+
+def averaged_arff(features: DataFrame, members: DataFrame, path: str, group: str, member: str, relation: str = "features") -> None:
+    """SNK-6: header and averaged rows as text."""
+    sparse_arff(zero_filled_average(features, members, group, member).withColumnRenamed("avg", "value"), path, relation, group)
+
+
 def dense_rows(features: DataFrame, defaults: dict[str, str], set_id: str = "set_id") -> DataFrame:
     """SNK-5: one line for each set with every named feature or its default; for small sets of names."""
     wide = features.groupBy(set_id).pivot("name", sorted(defaults)).agg(F.first("value"))

@@ -56,3 +56,26 @@ def test_graph_packing_round_trip(spark):
     e = spark.createDataFrame([("g", "a", "a", "SCOPE")], "graph_id string, src string, dst string, kind string")
     n2, e2 = sinks.unpacked_graphs(sinks.packed_graphs(n, e))
     assert sorted(map(tuple, n2.collect())) == sorted(map(tuple, n.collect())) and list(map(tuple, e2.collect())) == list(map(tuple, e.collect()))
+
+
+def test_opcodes(spark, tmp_path):
+    (tmp_path / "o.csv").write_text('nop,00,x,"a, b"\naload,19,,\n')
+    assert [tuple(r) for r in readers.opcodes(spark, str(tmp_path / "o.csv")).collect()] == [("nop", "00"), ("aload", "19")]
+
+
+def test_averages_are_over_all_members(spark, tmp_path):
+    f = spark.createDataFrame([("a-1", "x", 1.0), ("a-2", "y", 3.0)], "member string, name string, value double")
+    m = spark.createDataFrame([("a-1", "a"), ("a-2", "a"), ("a-3", "a")], "member string, set_id string")
+    assert sinks.averaged_rows(f, m, "set_id", "member").first()["row"] == "{0 a,1 0.3333,2 1.0000,3 a}"
+    path = str(tmp_path / "avg")
+    sinks.averaged_arff(f, m, path, "set_id", "member")
+    assert sinks.read_back(spark, path, 1) == 1
+
+
+def test_declarations_keep_the_last(spark):
+    member = lambda n: [(f"{n}()V", n)]
+    units = spark.createDataFrame([("b", [("T", "class", member("m"), [("f", "J")])]), ("a", [("T", "enum", member("m"), [("f", "I")]), ("U", "class", [], [])])], readers.UNITS)
+    types, methods, fields = readers.declarations(units)
+    assert {tuple(r) for r in types.collect()} == {("T", "class", "b"), ("U", "class", "a")}
+    assert [tuple(r) for r in methods.collect()] == [("T.m()V", "T", "m", "b")]
+    assert [tuple(r) for r in fields.collect()] == [("T.f", "T", "J", "b")]
