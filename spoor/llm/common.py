@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,14 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % modulus
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker process have freed: allocators keep it, stage after stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 #: Rows that are worked on at once.
 SOME_ROWS = 1024
 
@@ -71,6 +80,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict]
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in slices(batches):
             columns = fn(batch)
             yield pa.RecordBatch.from_arrays(
@@ -88,6 +98,7 @@ def replace_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch])
     """``mapInArrow`` that keeps the schema of ``df``: ``fn`` drops rows or rewrites columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in slices(batches):
             yield fn(batch)
 

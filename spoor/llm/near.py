@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import load, map_batches, staged
+from spoor.llm.common import give_back, load, map_batches, staged
 from spoor.llm.graph import components
 from spoor.llm.words import blocks, bounds, hashes
 
@@ -205,6 +205,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = units.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         now, held, out = None, [], []
 
         def close() -> None:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from spoor.llm.common import load, map_batches, numbered, shared_dir
+from spoor.llm.common import give_back, load, map_batches, numbered, shared_dir
 from spoor.llm.tokens import shared_encoder
 
 LENGTH, KEY, ROUNDS = 1024, 20240607, 6
@@ -76,6 +76,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = shared_encoder(tokenizer)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")

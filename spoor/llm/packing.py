@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import load
+from spoor.llm.common import give_back, load
 from spoor.llm.tokens import shared_encoder
 
 
@@ -162,6 +162,7 @@ def pack(
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder, packer = shared_encoder(tokenizer), Packer(limits, pool)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
