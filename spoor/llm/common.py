@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,3 +140,69 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Parts that rows are dealt into where a key is hot: no part holds more than 1/SPLIT of the rows and one.
+SPLIT = 4096
+
+
+def heavy_keys(rows: DataFrame, key: str, split: int = SPLIT) -> DataFrame:
+    """(key, parts) of the keys that hold more than 1/split of the rows, so fewer than ``split`` keys."""
+    total = rows.count()
+    return rows.groupBy(key).count().filter(F.col("count") * split > total).select(key, F.ceil(F.col("count") * split / max(total, 1)).cast("int").alias("parts"))
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, deal: str, heavy: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key): the rows of a heavy key are dealt by ``deal`` over parts that each get its row.
+
+    ``heavy`` has fewer than SPLIT rows whatever the input, which bounds what is broadcast and
+    what is repeated; neither side of the join is broadcast.
+    """
+    heavy = F.broadcast(heavy)
+    many = rows.join(heavy, key, "left").withColumn("_part", F.coalesce(F.pmod(F.col(deal), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    each = keyed.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return many.hint("merge").join(each.hint("merge"), [key, "_part"]).drop("_part")
+
+
+def running(df: DataFrame, group: str, order: list[str], value: str, before: str, label: str) -> DataFrame:
+    """``df`` written in the order of ``group`` (a long, never null) and ``order``, with the sum of ``value`` (long, not
+    negative) over the earlier rows of its group in column ``before``.
+
+    Rows are range-sorted, so a large group lies in many tasks.  Each task sums for itself; of a
+    task only its first and last group and their sums reach the driver, to tell the next tasks
+    what came before.  The order must be total but for rows that may change places.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([*df.schema.fields, StructField("_local", LongType())])
+    target, at_group, at_value = to_arrow_schema(schema), df.columns.index(group), df.columns.index(value)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        last, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(at_group).to_numpy(zero_copy_only=False)
+            v = batch.column(at_value).to_numpy(zero_copy_only=False)
+            first = np.concatenate(([True], g[1:] != g[:-1]))
+            ends = np.cumsum(v)
+            base = (ends - v)[first]
+            if g[0] == last:
+                base[0] -= total
+            out = ends - v - base[np.cumsum(first) - 1]
+            last, total = g[-1], int(out[-1] + v[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=target)
+
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    rows = staged(dealt.mapInArrow(local, schema).withColumn("_task", F.spark_partition_id()), label)
+    ends = rows.groupBy("_task").agg(F.min(group).alias("first"), F.max(F.struct(F.col(group).alias("g"), (F.col("_local") + F.col(value)).alias("sum"))).alias("last"))
+    bases, base, past = [], 0, None
+    for task, first, last in sorted(ends.collect()):
+        base = base + past.sum if past is not None and past.g == first else 0
+        bases.append((task, first, base))
+        base, past = (base if last.g == first else 0), last
+    told = F.broadcast(df.sparkSession.createDataFrame(bases, "_task int, _first bigint, _base bigint"))
+    total = F.col("_local") + F.when(F.col(group) == F.col("_first"), F.col("_base")).otherwise(0)
+    return rows.join(told, "_task").withColumn(before, total).drop("_task", "_first", "_base", "_local")
