@@ -11,6 +11,8 @@ from itertools import count, permutations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoor.operators.rounds import shared_folder
+
 NODE_KINDS = ("VALUE", "OBJECT", "OPERATOR", "ENTRYPOINT", "METHODCALL")
 EDGE_KINDS = ("SCOPE", "SUPPLIES", "PARAMETER", "AGGREGATION", "TRANSFORMATION")
 #: GR-3: (kind class of the node, kind of the edge, out or in) that taint follows (fixed values).
@@ -110,8 +112,7 @@ def signatures(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int |
 def _spill(df: DataFrame, label: str) -> DataFrame:
     """A reliable copy of an iteration's result, in the folder all executors share."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

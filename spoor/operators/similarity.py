@@ -254,21 +254,3 @@ def condense(items: list, similar: Callable[[object, object], float], size: Call
         else:
             leaders.append([x, 1])
     return [(x, n) for x, n in leaders]
-
-
-def condense_traces(sets: DataFrame, entry: str, trace: str, codes: str, threshold: float = 0.9) -> DataFrame:
-    """SIM-5 over (entry, trace, codes): traces as bags of codes, similarity by shared share; one row for each leader.
-
-    Clustering is sequential within an entry point, whose number of traces its interpreter bounds.
-    """
-
-    def similar(a, b) -> float:
-        return 2 * sum((a[1] & b[1]).values()) / max(1, a[2] + b[2])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(((t, Counter(c), len(c)) for t, c in zip(pdf[trace], pdf[codes])), key=lambda r: r[0])
-        found = condense(rows, similar, lambda x: x[2], threshold)
-        return pd.DataFrame({entry: pdf[entry].iloc[0], "leader": [x[0] for x, _ in found], "weight": [n for _, n in found]})
-
-    t = {f.name: f.dataType.simpleString() for f in sets.schema}
-    return sets.groupBy(entry).applyInPandas(run, f"{entry} {t[entry]}, leader {t[trace]}, weight bigint")

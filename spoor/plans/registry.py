@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions import arith, codes
-from spoor.operators import branch, features, graph, scores, similarity, trace
+from spoor.operators import branch, features, graph, leaders, scores, similarity, trace
 from spoor.plans import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -633,4 +633,4 @@ SELECT entry, leader, count(*) AS weight FROM w GROUP BY 1, 2""")
 def condensed_weights(spark, d):
     """SIM-5 on B1: leaders and weights of each entry point's traces."""
     sets = b.traces(spark, d).groupBy("entry", "trace").agg(F.sort_array(F.collect_list("kind")).alias("codes"))
-    return similarity.condense_traces(sets, "entry", "trace", "codes", 0.85)
+    return leaders.condense(sets, "entry", "trace", "codes", 0.85)[0]

@@ -1,6 +1,6 @@
 import pytest
 
-from spoor.plans import legacy, more, program, registry  # noqa: F401
+from spoor.plans import deep, legacy, more, program, registry  # noqa: F401
 from tests.oracle import assert_same
 
 
