@@ -33,7 +33,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import discard, heavy_keys, load, spread_join, staged
+from spoor.llm.common import heavy_keys, load, scratch, spread_join, staged
 
 DAY = 86_400_000_000
 RUN = 3 * DAY
@@ -144,14 +144,13 @@ def retention(clicks: DataFrame, clients: DataFrame, cutoff: datetime = CUTOFF)
     first = state.cells.withColumn("moved", _long(0)).unionByName(moved.withColumns({"users": _long(0), "users_crc32": _long(0), "cents": _long(0)}))
     first = first.groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in ("users", "users_crc32", "cents", "moved")))
     columns = ["state", *CELL, "users", "users_crc32", "moved", "cents"]
-    out = staged(first.withColumn("state", F.lit(0)).select(*columns).unionByName(cells.withColumn("state", F.lit(1)).select(*columns)), "retention")
-    discard(rows, heavy, named, state.starts, state.parts, state.cells)
-    return out
+    return first.withColumn("state", F.lit(0)).select(*columns).unionByName(cells.withColumn("state", F.lit(1)).select(*columns))
 
 
 def op11_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users, their checksum, moved users and cents of every cell of both states."""
-    return retention(load(spark, sf_dir, "clicks"), load(spark, sf_dir, "clients"))
+    with scratch() as result:
+        return result(retention(load(spark, sf_dir, "clicks"), load(spark, sf_dir, "clients")))
 
 
 def _nibbles() -> list[int]:

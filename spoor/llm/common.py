@@ -6,6 +6,7 @@ import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark removes the shuffle files of a query when it ends, rather than when the driver next collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths that open scratches will remove, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written meanwhile go with each write."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -34,15 +52,45 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Empty staged tables that nothing reads any more."""
+    """Remove staged tables that nothing reads any more."""
     for table in tables:
         if files := table.inputFiles():
-            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+            _delete(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes in the end what was staged within it, but not its results, which the yielded function stages."""
+    _OPEN.append([])
+    results = []
+
+    def result(df: DataFrame) -> DataFrame:
+        out = staged(df, "result")
+        results.append((df.sparkSession, _OPEN[-1].pop()))
+        return out
+
+    try:
+        yield result
+    finally:
+        paths = _OPEN.pop()
+        if _OPEN:
+            _OPEN[-1] += [path for _, path in results]
+        for spark, _ in results[:1]:
+            for path in paths:
+                _delete(spark, path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -134,14 +182,6 @@ def numbered(df: DataFrame, name: str, label: str) -> tuple[DataFrame, int]:
     return rows.join(base, "_file").withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first"), at
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, rather than when the driver next collects its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Parts that rows are dealt into where a key is hot: no part holds more than 1/SPLIT of the rows and one.
 SPLIT = 4096
 

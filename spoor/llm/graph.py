@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoor.llm.common import staged
+from spoor.llm.common import discard, staged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,8 +31,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = staged(large, "large")
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = staged(small.filter("u <> v").distinct(), "edges")
-        mark = _mark(e)
+        new = staged(small.filter("u <> v").distinct(), "edges")
+        discard(e, least, large, low)
+        e, mark = new, _mark(new)
         if mark == last:
             break
         last = mark

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import discard, heavy_keys, load, map_batches, numbered, running, spread_join, staged
+from spoor.llm.common import heavy_keys, load, map_batches, numbered, running, scratch, spread_join, staged
 from spoor.llm.words import blocks, bounds
 
 #: Weights of the sources in the order of their names, over and over.
@@ -91,13 +91,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     served = queue.withColumn("words", words).filter("words > 0").select("row", "s", "pass", "words", "sent", ((F.col("sent") + F.col("words")) / F.col("target")).alias("finish"), F.lit(0).cast("bigint").alias("all"))
     order = running(served, "all", ["finish", "s", "sent"], "words", "at", "mix")
     cut = F.least(F.col("words"), F.lit(budget) - F.col("at"))
-    discard(rows, queue)
     return known, order.withColumn("words", cut).filter("words > 0").select("row", "pass", "words", "at")
 
 
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, its source's size and target, and the words taken of every document."""
-    rows, order = mix(load(spark, sf_dir, "documents"))
-    taken = order.groupBy("row").agg(F.sum("words").alias("taken"))
-    out = rows.hint("merge").join(taken.hint("merge"), "row", "left")
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    with scratch() as result:
+        rows, order = mix(load(spark, sf_dir, "documents"))
+        taken = order.groupBy("row").agg(F.sum("words").alias("taken"))
+        out = rows.hint("merge").join(taken.hint("merge"), "row", "left")
+        return result(out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import give_back, load, map_batches, staged
+from spoor.llm.common import give_back, load, map_batches, scratch, staged
 from spoor.llm.graph import components
 from spoor.llm.words import blocks, bounds, hashes
 
@@ -252,13 +252,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and n_links (documents with similarity of 0.8 or more) of every document."""
-    return near_classes(load(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    with scratch() as result:
+        return result(near_classes(load(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links"))
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the one with the least id."""
     names = ["__near_id", "__near_t1", "__near_t2"]
-    kept = staged(near_classes(docs).filter("keep").select("id", "t1", "t2").toDF(*names), "kept")
+    with scratch() as result:
+        kept = result(near_classes(docs).filter("keep").select("id", "t1", "t2").toDF(*names))
     text = F.col("text")
     keyed = docs.withColumns({"__near_a": F.xxhash64(text), "__near_b": F.xxhash64(F.lit("2"), text)})
     same = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_a") == F.col("__near_t1")) & (F.col("__near_b") == F.col("__near_t2"))

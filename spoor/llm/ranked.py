@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import discard, give_back, load, map_batches, running, slices, staged
+from spoor.llm.common import give_back, load, map_batches, running, scratch, slices, staged
 from spoor.llm.decontam import _TABLE
 from spoor.llm.words import blocks, bounds, hashes
 
@@ -43,6 +43,8 @@ TOP = 20
 SHARD = 1 << 20
 #: Largest block, and what a block costs in units of the impact of bound errors.
 MAX_BLOCK, BLOCK_COST = 64, 2_000_000
+#: Lists that are cut at once.
+LISTS = 4096
 #: Bytes of the terms of items that are searched for at once (16 a term of an item).
 MAX_ITEM_BYTES = 64 << 20
 _LOWER = np.frombuffer(_TABLE, np.uint8)
@@ -89,35 +91,40 @@ def cut(lists: np.ndarray, impact: np.ndarray, most: int = MAX_BLOCK, cost: floa
     """
     order = np.argsort(-np.diff(lists), kind="stable")
     firsts, sizes = lists[:-1][order], np.diff(lists)[order]
+    back = np.ones(int(lists[-1]), np.int16)  # right for lists of one posting
+    for at in range(0, int(np.searchsorted(-sizes, -1, "left")), LISTS):
+        _cut_some(firsts[at : at + LISTS], sizes[at : at + LISTS], impact, min(most, int(sizes[at])), cost, back)
+    ends, at = [], lists[1:][np.diff(lists) > 0]
+    low = lists[:-1][np.diff(lists) > 0]
+    while len(at):
+        ends.append(at)
+        at = at - back[at - 1]
+        stay = at > low
+        at, low = at[stay], low[stay]
+    return np.sort(np.concatenate(ends)) if ends else np.zeros(0, np.int64)
+
+
+def _cut_some(firsts: np.ndarray, sizes: np.ndarray, impact: np.ndarray, most: int, cost: float, back: np.ndarray) -> None:
+    """Lengths of the best blocks that end at each posting of some lists, the longest first."""
     n = len(sizes)
-    best = np.zeros((n, most))  # cost of the lists' first postings up to each possible start, the nearest first
-    best[:, 1:] = np.inf
+    best = np.full((n, most), np.inf)  # cost of the lists' first postings up to each possible start, the nearest first
+    best[:, 0] = 0
     high = np.zeros((n, most))  # the largest impact from each possible start to here
     length = np.arange(1, most + 1, dtype=float)
-    back = np.zeros(int(lists[-1]), np.int16)
-    for j in range(int(sizes[0]) if n else 0):
+    for j in range(int(sizes[0])):
         alive = int(np.searchsorted(-sizes, -j, "left"))  # lists longer than j
         g = impact[firsts[:alive] + j].astype(float)
-        h = high[:alive]
+        h, b = high[:alive], best[:alive]
         h[:, 1:] = h[:, :-1].copy()
         h[:, 0] = 0
         np.maximum(h, g[:, None], out=h)
         total = h * length
-        total += best[:alive]
+        total += b
         pick = total.argmin(1)
         back[firsts[:alive] + j] = pick + 1
-        b = best[:alive]
         b[:, 1:] = b[:, :-1].copy()
         # errors are the blocks' maxima less the impacts, whose sum is the same for every cut
         b[:, 0] = total[np.arange(alive), pick] + cost
-    ends, at = [], lists[1:][np.diff(lists) > 0]
-    low = lists[:-1][np.diff(lists) > 0]
-    while len(at):
-        ends.append(at)
-        at = at - back[at - 1]
-        stay = at > low
-        at, low = at[stay], low[stay]
-    return np.sort(np.concatenate(ends)) if ends else np.zeros(0, np.int64)
 
 
 SHARD_SCHEMA = "ids array<{kind}>, m array<bigint>, terms array<bigint>, firsts array<int>, docs array<int>, tf array<int>, ends array<int>, high array<int>"
@@ -356,14 +363,13 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc
         rows = rows.unionByName(more)
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     best = rows.withColumn("rank", place).filter(F.col("rank") <= top)
-    out = staged(best.join(queries.select("item", "item_id"), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "ranked")
-    discard(shards, queries, *found)
-    return out
+    return best.join(queries.select("item", "item_id"), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every item of ``benchmark``."""
-    return ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    with scratch() as result:
+        return result(ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
 ORACLE_OP12 = r"""

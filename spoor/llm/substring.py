@@ -10,7 +10,7 @@ Longer repeats are unions of full windows, so no candidate of a further doubling
 change which words go.  Words covered by a candidate window that is not the first of its
 kind are removed.
 
-Equal texts take part once, under their least id: every full window of a further copy also
+Beyond the first level equal texts take part once, under their least id: every full window of a further copy also
 starts in the first one, so all its words go (texts shorter than a window have none).
 
 Defined cases: a null or wordless text has no words; null ids come last and count as one id;
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import discard, load, map_batches, numbered, release, staged
+from spoor.llm.common import discard, load, map_batches, numbered, scratch, staged
 from spoor.llm.words import blocks, bounds, hashes, text_column
 
 WINDOW = 20
@@ -176,7 +176,6 @@ def _survivors(source: DataFrame, length: int) -> DataFrame:
     places = map_batches(source, "h bigint, t1 bigint, place int", chosen)
     out = staged(places.join(repeated, "h", "left_semi").groupBy("t1").agg(F.collect_set("place").alias("places")), "candidates")
     discard(repeated)
-    release(source.sparkSession)
     return out
 
 
@@ -184,30 +183,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """(t1, t2, first_id, places, firsts) of every text.
 
     ``places`` are those of the last level below ``window`` (null if there is no such level);
-    ``firsts`` are starts of first windows, each with a tag of its window in the low bits, as
-    rows of one id may have different texts.
+    ``firsts`` are starts of first windows of the text, each with a tag of its window in the low bits.
+    A first window is known by its id's number and its start.  That names its text where an
+    id has one; where it has several (null ids, shared ids) their windows are held against the first ones
+    of their kind, so no text is told of more windows than it has.
     """
     own = _keyed(docs, id_col, text_col)
     per_text = own.groupBy("t1", "t2").agg(F.min("id").alias("first_id"))
     ids, _ = numbered(per_text.select(F.col("first_id").alias("of")).distinct().orderBy(F.asc_nulls_last("of")), "o", "ids")
     texts = staged(per_text.join(ids, F.col("first_id").eqNullSafe(F.col("of"))).drop("of"), "texts")
+    several = staged(texts.groupBy("o").count().filter("count > 1").select("o", F.lit(True).alias("several")), "several")
+    texts = staged(texts.join(several, "o", "left").withColumn("several", F.coalesce("several", F.lit(False))), "texts")
     none = texts.withColumn("places", F.lit(None).cast("array<int>"))
     told, source, steps = none, own.select("t1", "text"), levels(window)
 
     def reps(told: DataFrame) -> DataFrame:
-        return own.join(told, ["t1", "t2"]).filter("id <=> first_id").select("t1", "o", "places", "text")
+        return own.join(told, ["t1", "t2"]).filter("id <=> first_id").select("t1", "o", "several", "places", "text")
 
     for length in steps[:-1]:
-        found = _survivors(source, length)
+        found = _survivors(source.drop("o", "several"), length)
         if not found.limit(1).count():  # so no longer window repeats
-            return none.withColumn("firsts", F.lit(None).cast("array<bigint>")).drop("o")
+            return none.withColumn("firsts", F.lit(None).cast("array<bigint>")).drop("o", "several")
         told = texts.join(found, "t1", "left")
         source = reps(told.filter("places is not null"))
     if len(steps) == 1:
         source = reps(none).drop("places")
 
     def extend(batch: pa.RecordBatch) -> dict:
-        hs, gs, cs = [], [], []
+        hs, gs, cs, ts = [], [], [], []
         for columns, block in _blocks(batch):
             at = block.candidates(window, columns.get("places"))
             if not len(at):
@@ -216,15 +219,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             hs.append(windows(block.codes, window)[at])
             gs.append(block.tags(at, window))
             cs.append((columns["o"].to_numpy(zero_copy_only=False)[row] << START_BITS) + at - block.rows[row])
-        return {"h": _one(hs, np.uint64).view(np.int64), "g": _one(gs, np.int32), "code": _one(cs, np.int64)}
+            ts.append(columns["t1"].to_numpy(zero_copy_only=False)[row])
+        return {"h": _one(hs, np.uint64).view(np.int64), "g": _one(gs, np.int32), "code": _one(cs, np.int64), "t1": _one(ts, np.int64)}
 
-    full = map_batches(source.drop("t1"), "h bigint, g int, code bigint", extend)
-    first = full.groupBy("h", "g").agg(F.min("code").alias("code"))
+    schema = "h bigint, g int, code bigint, t1 bigint"
+    first = map_batches(source.drop("several"), schema, extend).groupBy("h", "g").agg(F.min("code").alias("code"))
+    some = not several.isEmpty()
+    first = staged(first, "first") if some else first
     start = F.col("code").bitwiseAND((1 << START_BITS) - 1)
-    per_id = first.select(F.shiftright("code", START_BITS).alias("o"), (F.shiftleft(start, TAG_BITS) + F.col("g")).alias("first"))
-    firsts = staged(per_id.groupBy("o").agg(F.collect_list("first").alias("firsts")), "firsts")
-    release(docs.sparkSession)
-    return told.join(firsts, "o", "left").select("t1", "t2", "first_id", "places", "firsts")
+    tagged = (F.shiftleft(start, TAG_BITS) + F.col("g")).alias("first")
+    per_id = first.select(F.shiftright("code", START_BITS).alias("o"), tagged)
+    firsts = staged(per_id.join(several, "o", "left_anti").groupBy("o").agg(F.collect_list("first").alias("firsts")), "firsts")
+    told = told.join(firsts, "o", "left")
+    if some:
+        held = map_batches(source.filter("several").drop("several"), schema, extend).join(first, ["h", "g", "code"], "left_semi")
+        shared = staged(held.select("t1", tagged).groupBy("t1").agg(F.collect_set("first").alias("shared")), "shared")
+        told = told.join(shared, "t1", "left").withColumn("firsts", F.coalesce("firsts", "shared"))
+    return told.select("t1", "t2", "first_id", "places", "firsts")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -286,7 +297,8 @@ def _kept(block: Block, keep: np.ndarray) -> pa.Array:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    with scratch() as result:
+        return result(deduplicate(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 ORACLE_OP2 = r"""
