@@ -224,3 +224,18 @@ def leftover(left: DataFrame, right: DataFrame) -> DataFrame:
     l_in = key(left.filter("l_kind = 'METHODCALL'"), "l", "l_label").join(key(starts(right, "r"), "r", "r_start"), on).select(*PAIR, "l", "r")
     r_in = key(starts(left, "l"), "l", "l_start").join(key(right.filter("r_kind = 'METHODCALL'"), "r", "r_label"), on).select(*PAIR, "l", "r")
     return same.unionByName(entries).unionByName(types).unionByName(l_in).unionByName(r_in).distinct()
+
+
+def correlate_tables(mappings: DataFrame, group: list[str]) -> DataFrame:
+    """GR-8: (group, l, r) of the pairs of data nodes on which all mappings (group, l, r, l_kind, r_kind) agree.
+
+    Pairs of two mappings that share a node are a clash, and all that hangs together by clashes is out: in the graph whose
+    edges are the distinct pairs, a component is kept if it is a single pair, which is so if neither node has another partner.
+    (The original visits pairs one by one, and may keep one side of a clash that it met later.)
+    """
+    data = F.col("l_kind").isin("VALUE", "OBJECT") & F.col("r_kind").isin("VALUE", "OBJECT")
+    pairs = mappings.filter(data).select(*group, "l", "r").distinct()
+    # one pair for each l, and of those one for each r: what is dropped in the first step is still a partner of its r
+    by_l = pairs.groupBy(*group, "l").agg(F.min("r").alias("r"), F.count("*").alias("n"))
+    by_r = pairs.groupBy(*group, "r").agg(F.count("*").alias("m"))
+    return by_l.filter("n = 1").join(by_r.filter("m = 1"), [*group, "r"]).select(*group, "l", "r")

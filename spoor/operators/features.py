@@ -3,34 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spoor.operators.rounds import Rounds
+
 
 def aggregate_features(features: DataFrame, members: DataFrame, group: str, member: str, name: str = "name", value: str = "value") -> DataFrame:
     """AGG-7/8/9: per group and feature avg, min, max, median, population variance and deviation over all members.
 
-    A member without the feature counts as 0.0: moments come from sums over the members that
-    have it and the number of members; the median pads with zeros by rank arithmetic.
+    A member without the feature counts as 0.0.  Mean and variance merge those of the members that have
+    it with those of the zeros.  The median is selected by running counts over the distinct values, zeros
+    among them, which are range-sorted: no list of values, and a large group lies in many tasks.
     """
     sizes = members.groupBy(group).agg(F.countDistinct(member).alias("n"))
-    present = features.join(members, member).groupBy(group, name).agg(
-        F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("k"),
-        F.sort_array(F.collect_list(value)).alias("v"),
-    )
-    both = present.join(sizes, group)
-    absent = F.col("k") < F.col("n")
-    padded = F.when(absent, F.sort_array(F.concat("v", F.array_repeat(F.lit(0.0), F.col("n").cast("int") - F.col("k").cast("int"))))).otherwise(F.col("v"))
-    full = both.withColumn("v", padded)
-    half = (F.col("n") / 2).cast("int")
-    median = F.when(F.col("n") % 2 == 1, F.element_at("v", half + 1)).otherwise((F.element_at("v", half) + F.element_at("v", half + 1)) / 2)
-    mean = F.col("s") / F.col("n")
-    var = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))
-    return full.select(
-        group, name, mean.alias("avg"), F.when(absent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("min"),
-        F.when(absent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("max"), median.alias("median"), var.alias("variance"), F.sqrt(var).alias("stddev"),
+    rows = features.join(members, member).select(group, F.col(name).alias("name"), F.col(value).cast("double").alias("v"))
+    present = rows.groupBy(group, "name").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("k"))
+    rounds = Rounds(features.sparkSession, "stats")
+    both = rounds.keep(present.join(sizes, group), "present")
+    zeros = both.filter("k < n").select(group, "name", F.lit(0.0).alias("v"), (F.col("n") - F.col("k")).alias("c"))
+    values = rows.groupBy(group, "name", "v").agg(F.count("*").alias("c")).unionByName(zeros).groupBy(group, "name", "v").agg(F.sum("c").alias("c"))
+    placed = before(values, [group, "name"], "v", "c", rounds).join(both.select(group, "name", "n"), [group, "name"])
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1  # places of the middle, from 1
+    holds = lambda place: (F.col("before") < place) & (place <= F.col("before") + F.col("c"))
+    middle = placed.filter(holds(low) | holds(high)).groupBy(group, "name").agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median"))
+    k, n, mean = F.col("k"), F.col("n"), F.col("mean")
+    var = (F.col("var") * k + mean * mean * k * (n - k) / n) / n
+    absent = k < n
+    return both.join(middle, [group, "name"]).select(
+        group, F.col("name").alias(name), (mean * k / n).alias("avg"), F.when(absent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("min"),
+        F.when(absent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("max"), "median", var.alias("variance"), F.sqrt(var).alias("stddev"),
     )
 
 
+def before(rows: DataFrame, keys: list[str], order: str, weight: str, rounds: Rounds) -> DataFrame:
+    """``rows`` with the sum of ``weight`` over the rows of their keys that come before in ``order``, in column ``before``.
+
+    Rows are range-sorted and summed within each part; what a part has to add is summed over a table of
+    one row for each part and key.
+    """
+    parts = rounds.keep(rows.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "parts")
+    own = W.partitionBy("_part", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inner = parts.withColumn("_own", F.coalesce(F.sum(weight).over(own), F.lit(0)))
+    past = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = parts.groupBy("_part", *keys).agg(F.sum(weight).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(past), F.lit(0))).drop("_sum")
+    return inner.join(base, ["_part", *keys]).withColumn("before", F.col("_own") + F.col("_base")).drop("_part", "_own", "_base")
+
+
 def zero_filled_average(features: DataFrame, members: DataFrame, group: str, member: str, name: str = "name", value: str = "value") -> DataFrame:
     """SNK-6, AGG-7 (the part that is emitted): sum over the members that have the feature, divided by the number of all members."""
     sizes = members.groupBy(group).agg(F.countDistinct(member).alias("n"))
@@ -61,8 +80,6 @@ def indexed_names(features: DataFrame, name: str = "name") -> DataFrame:
 
     # written with its partitions' numbers: both readers below see the same ones
     parts = _spill(names.repartitionByRange(name).select(name, F.spark_partition_id().alias("part")), "names")
-    from pyspark.sql import Window as W
-
     inner = parts.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy(name)))
     sizes = inner.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))

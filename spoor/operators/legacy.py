@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoor.operators.descriptors import Counted, Measure, Plan
+
 #: Columns of a flat record: what the counts are keyed by, already looked up in the heap.
 FLAT = (
     "graph_id string, kind string, method string, signature string, owner string, field string, operator string, truth boolean, condition string, "
@@ -15,7 +15,7 @@ FLAT = (
 
 #: AGG-19: (kind of record, name, columns of its key); a name without a key is a total (fixed values).
 RECORD_FAMILIES = (
-    ("EntryParameter", "ENTRYPOINT_PARAMETER", ()), ("EntryParameter", "ENTRYPOINT_PARAMETER_STACKTYPE", ("stack",)), ("EntryParameter", "ENTRYPOINT_HEAPTYPE", ("value_type",)),
+    ("EntryParameter", "ENTRYPOINT_PARAMETER", ()), ("EntryParameter", "ENTRYPOINT_HEAPTYPE", ("value_type",)),
     ("StaticLibraryMethodCall", "EXEC_CALL", ()), ("StaticLibraryMethodCall", "EXEC_STATIC_CALL", ()), ("StaticLibraryMethodCall", "EXEC_STATIC_CALL", ("method",)),
     ("InstanceLibraryMethodCall", "EXEC_CALL", ()), ("InstanceLibraryMethodCall", "EXEC_INSTANCE_CALL", ()),
     ("InstanceLibraryMethodCall", "EXEC_INSTANCE_QUALIFIED_CALL", ("method",)), ("InstanceLibraryMethodCall", "EXEC_INSTANCE_SIGNATURE_CALL", ("signature",)),
@@ -38,6 +38,9 @@ RECORD_FAMILIES = (
     ("Halt", "HALT", ()), ("UncaughtException", "UNCAUGHT_EXCEPTIONS", ()), ("UncaughtException", "UNCAUGHT_EXCEPTIONS", ("owner",)),
 )
 
+#: Stack types, all of which are counted of a trace's parameters, absent ones as 0 (fixed values).
+STACK_TYPES = ("REFERENCE", "VOID", "BYTE", "SHORT", "INT", "LONG", "FLOAT", "DOUBLE", "CHAR", "BOOLEAN")
+
 #: What assertions are counted by: the classes of conditions, a computed one being NOT, BINARY or any other (fixed values).
 CONDITIONS = {"SYMBOLIC": ("SYMBOLIC",), "COMPUTED": ("COMPUTED", "NOT", "BINARY"), "NOT": ("NOT",), "BINARY": ("BINARY",)}
 
@@ -70,31 +73,31 @@ def _totals(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return counts.select("graph_id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in tests])))
 
 
-def record_counts(records: DataFrame) -> DataFrame:
-    """AGG-19: (graph_id, name, value) over flat records: totals (0 where a trace has none) and counts by key.
-
-    A null key is no key.  Keys of two families that spell one name add up.
-    """
+def record_descriptors() -> list[Measure | Counted]:
+    """AGG-19: totals as measures, 0 where a trace has none, and counts by key."""
     kinds: dict[str, list[str]] = {}
-    keyed: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
-    for kind, family, keys in RECORD_FAMILIES:
+    out: list[Measure | Counted] = []
+    kind = F.col("kind")
+    for of, family, keys in RECORD_FAMILIES:
         if keys:
-            keyed.setdefault(kind, []).append((family, keys))
+            out.append(Counted(family, tuple(F.col(k) for k in keys), kind == of))
         else:
-            kinds.setdefault(f"{family}_COUNT", []).append(kind)
-    kind, holds = F.col("kind"), kind_tests(kinds)
+            kinds.setdefault(f"{family}_COUNT", []).append(of)
+    holds = kind_tests(kinds)
     asserted = kind == "Assertion"
     for label, test in {"": asserted, **{f"{c}_": asserted & F.col("condition").isin(*of) for c, of in CONDITIONS.items()}}.items():
         if label:
             holds[f"ASSERTIONS_{label}COUNT"] = test
         holds[f"ASSERTIONS_{label}TRUTH_TRUE_COUNT"] = test & F.col("truth")
         holds[f"ASSERTIONS_{label}TRUTH_FALSE_COUNT"] = test & ~F.col("truth")
-    names = None
-    for of, families in keyed.items():  # one array a kind: a record makes the names of its own kind alone
-        cells = F.array(*[F.when(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), _name(family, keys)) for family, keys in families])
-        names = F.when(kind == of, cells) if names is None else names.when(kind == of, cells)
-    found = records.select("graph_id", F.explode(names).alias("name")).filter("name is not null").groupBy("graph_id", "name").agg(F.count("*").alias("value"))
-    return _totals(records, holds).unionByName(found)
+    for t in STACK_TYPES:
+        holds[f"ENTRYPOINT_PARAMETER_STACKTYPE_{t}_COUNT"] = (kind == "EntryParameter") & (F.col("stack") == t)
+    return [*(Measure(name, F.count_if(F.coalesce(test, F.lit(False)))) for name, test in holds.items()), *out]
+
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """AGG-19: (graph_id, name, value) over flat records, from one read. Keys of two families that spell one name add up."""
+    return Plan("graph_id", record_descriptors()).features(records).select("graph_id", "name", F.col("value").cast("bigint").alias("value"))
 
 
 def kind_tests(kinds: dict[str, list[str]]) -> dict[str, Column]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spoor.operators import comparison, graph, pruning, refine, taint
+from spoor.operators import comparison, descriptors, graph, pruning, refine, taint
 from spoor.plans import bindings as b
 from spoor.plans.registry import _EDGES, _NODES, query
+from spoor.sources import classfiles, readers
 
 # taint for each seed (GR-3, GR-4) ----------------------------------------------------------
 
@@ -182,3 +186,85 @@ def branch_tree_measures(spark, d):
     """BR-2 on the trees of BR-1."""
     nodes = _tree(spark, d)
     return refine.measures(nodes).join(refine.conditions(nodes), "entry")
+
+
+# correlation of mappings (GR-8) -----------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT DISTINCT l_orderkey AS g, 'l' || l_linenumber AS l, 's' || l_suppkey AS r FROM lineitem WHERE l_linestatus = 'F'),
+a AS (SELECT g, l FROM p GROUP BY ALL HAVING count(*) = 1), b AS (SELECT g, r FROM p GROUP BY ALL HAVING count(*) = 1)
+SELECT g AS graph_id, l, r FROM p SEMI JOIN a USING (g, l) SEMI JOIN b USING (g, r)""")
+def correlated_nodes(spark, d):
+    """GR-8: an order's lines are mapped to suppliers by three mappings (return flags); lines that are not finished are no data."""
+    l = b.load(spark, d, "lineitem")
+    kind = F.when(F.col("l_linestatus") == "F", "VALUE").otherwise("METHODCALL")
+    mappings = l.select(F.col("l_orderkey").alias("graph_id"), F.col("l_returnflag").alias("mapping"), F.concat(F.lit("l"), "l_linenumber").alias("l"), F.concat(F.lit("s"), "l_suppkey").alias("r"), kind.alias("l_kind"), F.lit("OBJECT").alias("r_kind"))
+    return comparison.correlate_tables(mappings, ["graph_id"])
+
+
+# class files (SRC-7) ----------------------------------------------------------------------
+
+
+def class_file(name: str, access: int, fields: list[tuple[str, str]], methods: list[tuple[str, str]]) -> bytes:
+    """A class file with the least there can be in it, a number of two places among the constants."""
+    pool: list[bytes] = []
+
+    def put(raw: bytes) -> int:
+        pool.append(raw)
+        return len(pool) + 2  # the number below takes places 1 and 2
+
+    text = lambda s: put(struct.pack(">BH", 1, len(s.encode())) + s.encode())
+    this = put(struct.pack(">BH", 7, text(name)))
+    attribute = text("Note")
+    member = lambda n, t: struct.pack(">HHHHHI", 1, text(n), text(t), 1, attribute, 3) + b"abc"
+    own, of = (b"".join(member(*m) for m in some) for some in (fields, methods))
+    body = struct.pack(">HHHHH", access, this, 0, 0, len(fields)) + own + struct.pack(">H", len(methods)) + of + struct.pack(">H", 0)
+    return struct.pack(">IHHH", 0xCAFEBABE, 0, 52, len(pool) + 3) + struct.pack(">Bq", 5, 1) + b"".join(pool) + body
+
+
+def _classes(spark, d):
+    """A class for each part, of the package of its brand: fields by its size, methods by its type; large ones are interfaces."""
+    p = b.load(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_type")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key, brand, size, of in zip(pdf["p_partkey"], pdf["p_brand"], pdf["p_size"], pdf["p_type"]):
+                name = f"{brand.replace('#', '')}/P{key}"
+                fields = [(f"f{i}", "I" if i % 2 else "Ljava/lang/String;") for i in range(size % 4)]
+                rows.append((f"{name}.class", class_file(name, 0x0601 if size > 30 else 0x0021, fields, [("of" + of.replace(" ", ""), "(I)V"), ("size", "()I")])))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return classfiles.units(p.mapInPandas(run, "path string, content binary"))
+
+
+_CLASS_SQL = """
+c AS (SELECT 'L' || replace(p_brand, '#', '') || '/P' || p_partkey || ';' AS type, p_size, p_type FROM part),
+t AS (SELECT 'type' AS what, type AS key, CASE WHEN p_size > 30 THEN 'interface' ELSE 'class' END AS of FROM c),
+f AS (SELECT 'field' AS what, type || '.f' || i AS key, CASE WHEN i % 2 = 1 THEN 'I' ELSE 'Ljava/lang/String;' END AS of FROM (SELECT type, unnest(range(0, p_size % 4)) AS i FROM c)),
+m AS (SELECT 'method', type || '.of' || replace(p_type, ' ', '') || '(I)V', 'of' || replace(p_type, ' ', '') FROM c UNION ALL SELECT 'method', type || '.size()I', 'size' FROM c)"""
+
+
+@query(f"WITH {_CLASS_SQL} SELECT * FROM t UNION ALL SELECT * FROM f UNION ALL SELECT * FROM m")
+def compiled_declarations(spark, d):
+    """SRC-7: class files made of all parts are parsed into the tables of types, fields and methods."""
+    types, methods, fields = readers.declarations(_classes(spark, d))
+    part = lambda df, what, key, of: df.select(F.lit(what).alias("what"), F.col(key).alias("key"), F.col(of).alias("of"))
+    return part(types, "type", "type", "kind").unionByName(part(fields, "field", "field", "type")).unionByName(part(methods, "method", "method", "name"))
+
+
+# feature descriptors (2.16, SNK-5) ----------------------------------------------------------
+
+
+@query("""
+SELECT user_id AS trace, user_id || ',' || coalesce(max(CASE WHEN event_type = 'error' THEN event_type END), '?') || ',' || count(*) || ',' || coalesce(min(CASE WHEN event_type = 'purchase' THEN 'at ' || event_id END), '') AS row FROM events GROUP BY user_id""")
+def described_rows(spark, d):
+    """2.16, SNK-5 on B1: an enumerated, a numeric and a text descriptor, their defaults where a trace has no value."""
+    kind = F.col("kind")
+    plan = descriptors.Plan("trace", [
+        descriptors.Measure("RECORDS", F.count("*")),
+        descriptors.Measure("FAILED", F.max(F.when(kind == "error", kind)), descriptors.Enumerated(("error", "none"))),
+        descriptors.Measure("SOLD", F.min(F.when(kind == "purchase", F.concat(F.lit("at "), F.col("seq").cast("string")))), descriptors.Text()),
+    ])
+    return plan.dense(b.traces(spark, d))

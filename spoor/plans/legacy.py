@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import arith, codes
 from spoor.operators import builder, legacy, similarity, trace
+from spoor.operators.rounds import shared_folder
 from spoor.plans import bindings as b
 from spoor.plans.program import _BUILT, _records
 from spoor.plans.registry import query
@@ -22,7 +23,11 @@ KINDS = (
     "StackTransformation", "NotValueTransformation", "StackCast", "StringConcat", "Stringification", "Assertion", "Halt", "UncaughtException",
 )
 
-_FLAT = f"""x AS (SELECT user_id AS g, event_id AS seq, event_type AS stack, value > 20 AS truth, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+#: The stack types that the five event types stand for.
+_STACKS = {"view": "INT", "click": "REFERENCE", "purchase": "LONG", "error": "BOOLEAN", "signup": "CHAR"}
+_STACK_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STACKS.items()) + " END"
+
+_FLAT = f"""x AS (SELECT user_id AS g, event_id AS seq, {_STACK_SQL} AS stack, value > 20 AS truth, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 h AS (SELECT DISTINCT g, seq % 7 AS id, 'T' || (seq % 7) AS type FROM x),
 z AS (SELECT x.g, seq, stack, truth, ({list(KINDS)})[k % 17 + 1] AS kind, 'm' || (k % 2) AS sig, 'C' || (seq % 3) AS owner, 'f' || (seq % 2) AS field, 'S' || (seq % 2) AS shape,
   CASE WHEN k % 17 = 14 THEN (['SYMBOLIC', 'NOT', 'BINARY', 'COMPUTED'])[seq % 4 + 1] END AS cond, t.type AS target, v.type AS val
@@ -39,7 +44,7 @@ def _flat(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = e.select(
         F.col("user_id").alias("graph_id"), at(KINDS, k % 17).alias("kind"), F.concat(text("C", seq % 3), text(".m", k % 2)).alias("method"), text("m", k % 2).alias("signature"),
         text("C", seq % 3).alias("owner"), text("f", seq % 2).alias("field"), F.when((k % 17 == 9) | (condition == "BINARY"), at(("ADD", "MUL"), seq % 2)).alias("operator"),
-        (F.col("value") > 20).alias("truth"), condition.alias("condition"), F.col("event_type").alias("stack"), text("S", seq % 2).alias("shape"),
+        (F.col("value") > 20).alias("truth"), condition.alias("condition"), F.create_map(*[F.lit(x) for kv in _STACKS.items() for x in kv])[F.col("event_type")].alias("stack"), text("S", seq % 2).alias("shape"),
         (k % 9).cast("bigint").alias("ref_id"), F.when(seq % 3 != 0, k % 7).cast("bigint").alias("value_id"),
     )
     heap = e.select(F.col("user_id").alias("graph_id"), (seq % 7).alias("heap_id"), text("T", seq % 7).alias("type")).distinct()
@@ -55,7 +60,7 @@ def _keyed(name: str, key: str, test: str) -> str:
 
 
 _RECORD_COUNTS = " UNION ALL ".join([
-    _total("ENTRYPOINT_PARAMETER", "kind = 'EntryParameter'"), _keyed("ENTRYPOINT_PARAMETER_STACKTYPE", "stack", "kind = 'EntryParameter'"), _keyed("ENTRYPOINT_HEAPTYPE", "val", "kind = 'EntryParameter'"),
+    _total("ENTRYPOINT_PARAMETER", "kind = 'EntryParameter'"), *[_total(f"ENTRYPOINT_PARAMETER_STACKTYPE_{t}", f"kind = 'EntryParameter' AND stack = '{t}'") for t in legacy.STACK_TYPES], _keyed("ENTRYPOINT_HEAPTYPE", "val", "kind = 'EntryParameter'"),
     _total("EXEC_CALL", "kind LIKE '%LibraryMethodCall'"), _total("EXEC_STATIC_CALL", "kind LIKE 'StaticLib%'"), _total("EXEC_INSTANCE_CALL", "kind LIKE 'InstanceLib%'"),
     _keyed("EXEC_STATIC_CALL", "(owner || '.' || sig)", "kind LIKE 'StaticLib%'"), _keyed("EXEC_INSTANCE_QUALIFIED_CALL", "(owner || '.' || sig)", "kind LIKE 'InstanceLib%'"), _keyed("EXEC_INSTANCE_SIGNATURE_CALL", "sig", "kind LIKE 'InstanceLib%'"),
     _total("EXEC_SYNTHESISED", "kind LIKE 'Synth%'"), _keyed("EXEC_SYNTHESISED_QUALIFIED", "(owner || '.' || sig)", "kind LIKE 'Synth%'"), _keyed("EXEC_SYNTHESISED_SIGNATURE", "sig", "kind LIKE 'Synth%'"),
@@ -220,8 +225,7 @@ def greedy_matches(spark, d):
 
 def _folder(spark, label: str) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {_BUILT} SELECT 'p' || (CAST(substr(g, 2) AS INT) % 3) AS project_id, 'La.B;m()V' AS entry_point, kind, count(*) AS cnt FROM e GROUP BY ALL")

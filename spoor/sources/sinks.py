@@ -35,24 +35,50 @@ def unpacked_graphs(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return packed.select("graph_id", F.inline("nodes")), packed.select("graph_id", F.inline_outer("edges")).filter("src is not null")
 
 
+#: Parts of a written ARFF in the order in which they make the file (fixed values).
+PARTS = ("0-relation", "1-ids", "2-attributes", "3-classes", "4-data")
+DONE = "_written"
+
+
 def sparse_arff(features: DataFrame, path: str, relation: str = "features", set_id: str = "set_id") -> None:
-    """SNK-4: header and sparse rows as text; features may not be called id or cls."""
+    """SNK-4: header and sparse rows; features may not be called id or cls.
+
+    Each part is a folder of text that its own tasks write: rows as they come, nominal values and attributes range-sorted, each
+    value of a nominal ended by its comma, so that no value list is in one cell and nothing is sorted as a whole.
+    ``_written`` comes last and tells how many rows there are; it goes first when a folder is written again,
+    so a folder that has it is whole.
+    """
     if not features.filter(F.col("name").isin("id", "cls")).isEmpty():
         raise ValueError("id and cls are not names of features")
     spark = features.sparkSession
-    names = indexed_names(features)
-    ids = features.select(F.col(set_id).cast("string").alias("s")).distinct()
-    nominal = lambda c: F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_set(c)), ","), F.lit("}"))
-    head = ids.agg(nominal("s").alias("ids"), nominal(F.split("s", "-")[0]).alias("cls"))
-    lines = (
-        spark.createDataFrame([(0, 0, f"@RELATION {relation}")], "part int, at long, line string")
-        .unionByName(head.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), F.concat(F.lit("@ATTRIBUTE id "), "ids").alias("line")))
-        .unionByName(names.select(F.lit(2).alias("part"), F.col("idx").alias("at"), F.concat(F.lit("@ATTRIBUTE "), "name", F.lit(" NUMERIC")).alias("line")))
-        .unionByName(head.select(F.lit(3).alias("part"), F.lit(0).cast("long").alias("at"), F.concat(F.lit("@ATTRIBUTE cls "), "cls").alias("line")))
-        .unionByName(spark.createDataFrame([(4, 0, "@DATA")], "part int, at long, line string"))
-        .unionByName(arff_rows(features, set_id).select(F.lit(5).alias("part"), F.monotonically_increasing_id().alias("at"), F.col("row").alias("line")))
-    )
-    lines.orderBy("part", "at").select("line").write.mode("overwrite").text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{DONE}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    write = lambda df, part, end="\n": df.write.mode("overwrite").option("lineSep", end).text(f"{path}/{part}")
+    line = lambda *lines: spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+
+    def nominal(values: DataFrame, part: str, name: str) -> None:
+        """``@ATTRIBUTE name {a,b,c}``: the values but the last, and the last one with the bracket."""
+        last = values.agg(F.max("v")).first()[0]
+        write(line(f"@ATTRIBUTE {name} {{"), f"{part}/0", " ")
+        write(values.filter(F.col("v") < (last or "")).repartitionByRange("v").sortWithinPartitions("v"), f"{part}/1", ",")
+        write(line(f"{last or ''}}}"), f"{part}/2")
+
+    ids = features.select(F.col(set_id).cast("string").alias("v")).distinct()
+    write(line(f"@RELATION {relation}"), PARTS[0])
+    nominal(ids, PARTS[1], "id")
+    attributes = indexed_names(features).select("idx", F.concat(F.lit("@ATTRIBUTE "), "name", F.lit(" NUMERIC")).alias("line"))
+    write(attributes.repartitionByRange("idx").sortWithinPartitions("idx").select("line"), PARTS[2])
+    nominal(ids.select(F.split("v", "-")[0].alias("v")).distinct(), PARTS[3], "cls")
+    write(line("@DATA"), f"{PARTS[4]}/0")
+    write(arff_rows(features, set_id).select(F.col("row").alias("line")), f"{PARTS[4]}/1")
+    rows = spark.read.text(f"{path}/{PARTS[4]}/1").count()
+    write(line(str(rows)), DONE)
+
+
+def arff_files(spark: SparkSession, path: str) -> list[str]:
+    """The written files in the order in which their bytes make the ARFF."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").filter(~F.col("path").contains(f"/{DONE}/"))
+    return sorted(r["path"] for r in rows.filter(F.element_at(F.split("path", "/"), -1).startswith("part-")).collect())
 
 
 def averaged_rows(features: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
@@ -89,10 +115,11 @@ def pair_results(rows: DataFrame, path: str) -> None:
 
 
 def read_back(spark: SparkSession, path: str, expected: int) -> int:
-    """SNK-10: the number of data rows of a written ARFF, which must be as expected."""
-    n = spark.read.text(path).filter(F.col("value").startswith("{")).count()
-    if n != expected:
-        raise ValueError(f"{n} rows were written, {expected} expected")
+    """SNK-10: the number of data rows of a written ARFF, which must be what its writer told and as expected."""
+    told = int(spark.read.text(f"{path}/{DONE}").first()[0])
+    n = spark.read.text(f"{path}/{PARTS[4]}/1").filter(F.col("value").startswith("{")).count()
+    if n != expected or n != told:
+        raise ValueError(f"{n} rows were written, {expected} expected, {told} told by the writer")
     return n
 
 

@@ -43,10 +43,15 @@ def test_score_files(spark, tmp_path):
 def test_arff_round_trip(spark, tmp_path):
     f = spark.createDataFrame([("a-1", "x", 1.0), ("a-1", "y", 0.5), ("b-1", "y", 2.0)], "set_id string, name string, value double")
     sinks.sparse_arff(f, str(tmp_path / "out"))
-    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    text = lambda: "".join(open(p.removeprefix("file:")).read() for p in sinks.arff_files(spark, str(tmp_path / "out")))
+    lines = [x.replace("{ ", "{") for x in text().splitlines()]
     assert lines[:6] == ["@RELATION features", "@ATTRIBUTE id {a-1,b-1}", "@ATTRIBUTE x NUMERIC", "@ATTRIBUTE y NUMERIC", "@ATTRIBUTE cls {a,b}", "@DATA"]
     assert sorted(lines[6:]) == ["{0 a-1,1 1.0000,2 0.5000,3 a}", "{0 b-1,2 2.0000,3 b}"]
     assert sinks.read_back(spark, str(tmp_path / "out"), 2) == 2
+    sinks.sparse_arff(f.filter("set_id = 'b-1'"), str(tmp_path / "out"))  # again: nothing of the first run stays
+    assert [x.replace("{ ", "{") for x in text().splitlines()] == ["@RELATION features", "@ATTRIBUTE id {b-1}", "@ATTRIBUTE y NUMERIC", "@ATTRIBUTE cls {b}", "@DATA", "{0 b-1,1 2.0000,2 b}"]
+    with pytest.raises(ValueError):
+        sinks.read_back(spark, str(tmp_path / "out"), 2)
     with pytest.raises(ValueError):
         sinks.sparse_arff(f.withColumnRenamed("name", "n").selectExpr("set_id", "'cls' as name", "value"), str(tmp_path / "no"))
 
