@@ -18,12 +18,12 @@ names cannot clash.
 from __future__ import annotations
 
 import functools
-import hashlib
-import itertools
 import json
 import math
 import re
+from array import array
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,32 +102,53 @@ def ranks(vocabulary: str | None = None) -> tuple[dict[str, int], int]:
     return found, max(map(len, found))
 
 
+#: Curves that are looked at one by one; more go to a tree.
+FEW = 16
+
+
 class Least:
-    """The least, at a place x, of curves  a + log2((x - i) / p + d)  that each hold from some place on.
+    """The least, at places x that ascend, of curves  a + log2((x - i) / p + d)  entered in order of i.
 
-    Two such curves cross at most once, so a tree over the places that keeps one curve in each
-    node (the lesser one at its middle) answers exactly; entering and asking take time by the
-    tree's height, whatever the number of curves.
+    Of two curves the earlier one gains on the later one for ever, so a curve that an earlier one has reached is
+    done: mostly one or two are left.  Should more than ``FEW`` stay, a tree over the places takes them, which keeps one curve in
+    each node (the lesser one at its middle, as two curves cross at most once) and answers in time by its height.
     """
 
     def __init__(self, stop: int, p: int, d: float):
         self.stop, self.p, self.d = stop, p, d
-        self.held: dict[int, tuple[float, int]] = {}
+        self.few: list[tuple[float, int]] = []
+        self.held: dict[int, tuple[float, int]] | None = None
+
+    def clear(self) -> None:
+        self.few, self.held = [], None
 
     def _at(self, curve: tuple[float, int], x: int) -> float:
         return curve[0] + math.log2((x - curve[1]) / self.p + self.d)
 
     def add(self, a: float, i: int, since: int) -> None:
+        """A curve that holds from the place ``since`` on."""
+        if self.held is None:
+            self.few.append((a, i))
+            if len(self.few) > FEW:
+                self.ask(since)
+                if len(self.few) > FEW:
+                    curves, self.few, self.held = self.few, [], {}
+                    for curve in curves:
+                        self._add(curve, since)
+        else:
+            self._add((a, i), since)
+
+    def _add(self, curve: tuple[float, int], since: int) -> None:
         node, lo, hi = 1, 0, self.stop
         while lo < since <= hi:  # the right halves hold from ``since`` on as a whole
             mid = (lo + hi) // 2
             if since <= mid:
-                self._enter(2 * node + 1, mid + 1, hi, (a, i))
+                self._enter(2 * node + 1, mid + 1, hi, curve)
                 node, hi = 2 * node, mid
             else:
                 node, lo = 2 * node + 1, mid + 1
         if lo >= since:
-            self._enter(node, lo, hi, (a, i))
+            self._enter(node, lo, hi, curve)
 
     def _enter(self, node: int, lo: int, hi: int, curve: tuple[float, int]) -> None:
         while lo <= hi:
@@ -149,6 +170,17 @@ class Least:
                 return
 
     def ask(self, x: int) -> float:
+        if self.held is None:
+            if len(self.few) == 1:
+                return self._at(self.few[0], x)
+            best, alive = math.inf, []
+            for curve in self.few:
+                v = self._at(curve, x)
+                if v < best:
+                    best = v
+                    alive.append(curve)
+            self.few = alive
+            return best
         best, node, lo, hi = math.inf, 1, 0, self.stop
         while True:
             held = self.held.get(node)
@@ -160,56 +192,110 @@ class Least:
             node, lo, hi = (2 * node, lo, mid) if x <= mid else (2 * node + 1, mid + 1, hi)
 
 
+@functools.lru_cache(maxsize=2)
+def _finder(vocabulary: str | None = None) -> ahocorasick.Automaton:
+    """All ranked words of three characters or more as one automaton: (length, bits of the rank)."""
+    out = ahocorasick.Automaton()
+    for w, r in ranks(vocabulary)[0].items():
+        if len(w) > 2:
+            out.add_word(w, (len(w), math.log2(r + 1)))
+    out.make_automaton()
+    return out
+
+
+def _words(value: str, low: str, plain: str, vocabulary: str | None) -> dict[int, list[tuple[int, float]]]:
+    """(start, bits) of the words that end at each place, in any case, with or without look-alikes."""
+    found: dict[int, list[tuple[int, float]]] = {}
+    finder = _finder(vocabulary)
+    for text, extra in ((low, 0.0), (plain, 2.0)):
+        if extra and plain == low:
+            break
+        for last, (size, bits) in finder.iter(text):
+            i, j = last + 1 - size, last + 1
+            case = 0.0 if value[i:j] == low[i:j] else 1.0 if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else size / 2
+            found.setdefault(j, []).append((i, bits + extra + case + 1.0))
+    return found
+
+
+_pair = functools.lru_cache(maxsize=1 << 16)(_near)
+_bits_of = functools.lru_cache(maxsize=1 << 16)(_char_bits)
+_DATE_CHARS = frozenset("0123456789-./")
+
+
 def guess_bits(value: str, vocabulary: str | None = None) -> float:
     """Bits of the cheapest segmentation into words, dates, repeats, walks and brute-force characters.
 
-    All starts of all spans count: words and dates have bounded lengths; for repeats and walks
-    the least over the starts in a run is asked of a tree, so time grows with n log n.
+    All starts of all spans count.  Words come from one pass of an automaton, dates have bounded lengths; for repeats and walks
+    the least over the starts in a run is kept as few curves.  A start of a repeat that is left out cannot be the best: one
+    after a brute-force character or a repeat of the run (an earlier start costs less), and any where a run of a divisor of the
+    period goes as far back (its spans are cheaper).  A walk that costs more by now than a new one from here ever will is dropped.
     """
-    rank, longest = ranks(vocabulary)
     n, low = len(value), value.lower()
     if len(low) != n:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    chars = [_char_bits(c) for c in value]
-    sums = [0.0, *itertools.accumulate(chars)]
-    best = [0.0] + [math.inf] * n
-    #: for each period its run of repeats: where it begins and the least over the starts in it
-    repeats = {p: (0, Least(n, p, 1.0)) for p in PERIODS}
-    walk, walks, turns = 0, Least(n, 1, 0.0), [0] * (n + 1)
+    words = _words(value, low, plain, vocabulary)
+    best, sums = array("d", bytes(8 * (n + 1))), array("d", bytes(8 * (n + 1)))
+    turns = array("q", bytes(8 * (n + 1)))
+    by = bytearray(n + 1)  # how the cheapest way to a place ends: 1 a brute-force character, 1 + p a repeat, 0 another span
+    begin = {p: 0 for p in PERIODS}
+    repeats = {p: Least(n, p, 1.0) for p in PERIODS}
+    walk, walks, dates = 0, Least(n, 1, 0.0), 0
+    total = cost = 0.0
     for j in range(1, n + 1):
-        cost = best[j - 1] + chars[j - 1]
-        # words, in any case, with or without look-alikes
-        for size in range(3, min(longest, j) + 1):
-            i = j - size
-            for text, extra in ((low[i:j], 0.0), (plain[i:j], 2.0)):
-                if r := rank.get(text):
-                    case = 0.0 if value[i:j] == low[i:j] else 1.0 if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else size / 2
-                    cost = min(cost, best[i] + math.log2(r + 1) + extra + case + 1.0)
-        # dates
-        if value[j - 1].isdigit():
+        c = value[j - 1]
+        bits = _bits_of(c)
+        total += bits
+        sums[j] = total
+        cost, how = cost + bits, 1
+        for i, more in words.get(j, ()):
+            if best[i] + more < cost:
+                cost, how = best[i] + more, 0
+        dates = dates + 1 if c in _DATE_CHARS else 0
+        if dates >= 4 and c.isdigit():
             for size in (4, 6, 7, 8, 9, 10):
-                if size <= j and _DATE.fullmatch(value[j - size : j]):
-                    cost = min(cost, best[j - size] + (math.log2(120) if size == 4 else math.log2(365 * 120) + 2.0))
+                if size <= dates and _DATE.fullmatch(value[j - size : j]):
+                    v = best[j - size] + (math.log2(120) if size == 4 else math.log2(365 * 120) + 2.0)
+                    if v < cost:
+                        cost, how = v, 0
         # repeats of a unit of p characters: at least two of them, and three characters
         for p in PERIODS:
-            begin, least = repeats[p]
-            if j > p and value[j - 1] != value[j - 1 - p]:
-                repeats[p] = begin, least = j - p, Least(n, p, 1.0)
-            i = j - max(3, 2 * p)
-            if i >= begin:
-                least.add(best[i] + sums[i + p] - sums[i], i, j)
-                cost = min(cost, least.ask(j))
+            if j > p:
+                if c != value[j - 1 - p]:
+                    begin[p] = j - p
+                    if repeats[p].few or repeats[p].held is not None:
+                        repeats[p].clear()
+                    continue
+                if p > 1 and (begin[1] <= begin[p] or p == 4 and begin[2] <= begin[4]):
+                    continue
+                i = j - max(3, 2 * p)
+                if i >= begin[p]:
+                    least = repeats[p]
+                    if i == begin[p] or by[i] != 1 and not (by[i] == 1 + p and i - max(3, 2 * p) >= begin[p]):
+                        least.add(best[i] + sums[i + p] - sums[i], i, j)
+                    v = least.ask(j)
+                    if v < cost:
+                        cost, how = v, 1 + p
         # walks over the keyboard, the alphabet or the digits, of three characters at least
         if j > 1:
-            if not _near(low[j - 2], low[j - 1]):
-                walk, walks = j - 1, Least(n, 1, 0.0)
-            turns[j] = turns[j - 1] + (j - walk > 2 and _turns(low[j - 3], low[j - 2], low[j - 1]))
-            i = j - 3
-            if i >= walk:
-                walks.add(best[i] + math.log2(47) - 2.5 * turns[i + 2] + 2.5, i, j)
-                cost = min(cost, walks.ask(j) + 2.5 * turns[j])
+            if not _pair(low[j - 2], low[j - 1]):
+                walk = j - 1
+                if walks.few or walks.held is not None:
+                    walks.clear()
+                turns[j] = turns[j - 1]
+            else:
+                turns[j] = turns[j - 1] + (j - walk > 2 and _turns(low[j - 3], low[j - 2], low[j - 1]))
+                i = j - 3
+                if i >= walk:
+                    walks.add(best[i] + math.log2(47) - 2.5 * turns[i + 2] + 2.5, i, j)
+                    v = walks.ask(j) + 2.5 * turns[j]
+                    if v < cost:
+                        cost, how = v, 0
+                    if len(walks.few) > 3:
+                        dear = cost - 2.5 * turns[j] + math.log2(47) + 3.5
+                        walks.few = [w for w in walks.few if w[0] < dear]
         best[j] = cost
+        by[j] = how
     return best[n]
 
 
