@@ -49,6 +49,12 @@ _NAMED = frozenset(
     "sidebar widget related related-posts recommended share sharing share-buttons social-share comment comments comment-list reader-comments disqus replies reply respond login "
     "search searchform search-form skip skip-link complementary contentinfo disclaimer teaser teasers outbrain taboola hidden".split()
 )
+#: Words that name furniture in a name of several parts too, and words of places and holders beside them: ``ad-slot``, ``user-comments`` (fixed values).
+_PARTS = frozenset("ad ads advert advertisement sponsor sponsored promo cookie cookies gdpr consent newsletter comment comments disqus breadcrumb breadcrumbs navbar popup outbrain taboola".split())
+_HOLDERS = frozenset(
+    "slot box bar unit container wrapper wrap block area section list top bottom left right inner outer upper lower header footer side sticky fixed user reader visitor thread form item items "
+    "notice policy message overlay modal banner panel strip frame zone holder row column group widget links google display native inline 1 2 3 4 5".split()
+)
 #: Parts of a name that say that a container holds the text, whatever its other names are (fixed values).
 _TEXT_NAMES = frozenset("article content post entry story main body text page layout".split())
 
@@ -71,6 +77,13 @@ class _Open:
     main: bool
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _by_parts(name: str) -> bool:
+    """Whether each part of a name is a word of furniture or of a holder, and one of furniture."""
+    parts = set(name.split("-"))
+    return bool(parts & _PARTS) and parts <= _PARTS | _HOLDERS
+
+
 def _opened(name: str, tag: str) -> _Open:
     """What an element is by its kind, its names and its state."""
     out = _Open(name, name in _FURNITURE, False, name in _MAIN)
@@ -89,7 +102,7 @@ def _opened(name: str, tag: str) -> _Open:
         elif key == "itemprop":
             out.main |= value == "articlebody"
             out.named |= value == "comment"
-    if names & _NAMED and not out.main and not any(_TEXT_NAMES.intersection(n.split("-")) for n in names):
+    if (names & _NAMED or any(map(_by_parts, names))) and not out.main and not any(_TEXT_NAMES.intersection(n.split("-")) for n in names):
         out.named = True
     return out
 

@@ -132,6 +132,23 @@ def test_substrings_against_brute_force(spark, odd, none, window):
     assert substring.deduplicate(none, window=window).count() == 0
 
 
+def test_rows_without_ids_are_told_of_their_own_windows_alone(spark):
+    """What is told grows with the rows, not with their square."""
+    rng = random.Random(6)
+    passage = [" ".join(f"p{k}-{i}" for i in range(40)) for k in range(4)]
+
+    def made(n):
+        return [(None if i % 3 else i // 30, " ".join([*(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 30))), rng.choice(passage)])) for i in range(n)]
+
+    told = []
+    for n in (60, 240):
+        rows = made(n)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        told.append(substring.repeats(df).selectExpr("sum(size(firsts))").first()[0] or 0)
+    assert told[1] <= 5 * max(told[0], 100)
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in substring.deduplicate(df).collect()) == brute_removed(rows)
+
+
 def test_levels_double():
     assert substring.levels(20) == [10, 20] and substring.levels(64) == [8, 16, 32, 64] and substring.levels(7) == [7]
 

@@ -78,9 +78,40 @@ def test_guess_bits_are_the_least_of_all_segmentations():
     values += ["".join(rng.choice("ab1") for _ in range(rng.randrange(1, 30))) for _ in range(40)] + ["monkeyyyyyyy", "passsssssss", "", "q", "é" * 9]
     for v in values:
         assert secrets.guess_bits(v) == pytest.approx(_least(v) if v else 0.0), v
+    starts = ["monkey", "dragon", "2019", "qwerty", ""]
+    for _ in range(300):  # overlapping runs of several kinds
+        letters = rng.choice(["ab", "0123", "qwertyasdf12", "passwordmonkey4@", "20190112-/."])
+        v = rng.choice(starts) + "".join(rng.choice(letters) for _ in range(rng.randrange(14)))
+        assert secrets.guess_bits(v) == pytest.approx(_least(v) if v else 0.0), v
     assert secrets.guess_bits("monkeyyyyyyy") < 16 and secrets.guess_bits("a" * 50_000) < 30  # in time by n log n
 
 
+def test_many_curves_alive_at_once():
+    """More starts than are kept in a list: the tree answers as a search does."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(20):
+        least, curves = secrets.Least(400, 1, 1.0), []
+        for x in range(1, 200):
+            if rng.random() < 0.6:
+                curves.append((1000 - 5 * x + rng.random(), x - 1))  # each less than all before it, for long
+                least.add(*curves[-1], x)
+            if curves:
+                assert least.ask(x) == pytest.approx(min(a + np.log2(x - i + 1) for a, i in curves))
+        assert least.held is not None
+
+
+def test_a_very_long_value_does_not_stall_a_scan():
+    import time
+
+    began = time.perf_counter()
+    text = "x " + "a" * 500_000 + " password=" + "0123456789abcdef" * 10_000
+    assert [k for k, *_ in secrets.all_spans(text)] == ["hex", "assign", "hex"]
+    assert secrets.guess_bits("a" * 500_000) < 30 and secrets.guess_bits("abz1" * 60_000) < 60
+    assert time.perf_counter() - began < 60
+
+
 def test_secrets_query_against_the_definition(spark, sf):
     import hashlib
     import re
@@ -252,6 +283,11 @@ def test_link_lists_roles_and_pages_without_an_article():
     assert text.startswith("Title of it word") and "Short one here." in text and "So they all went home." in text and "Home" not in text.split() and "Imprint" not in text
 
 
+@pytest.mark.parametrize("name,kept", [("ad-slot", 0), ("advert_box", 0), ("cookie-bar", 0), ("user-comments", 0), ("ads-top-2", 0), ("comments-open", 1), ("no-ads", 1), ("story ad-free", 1), ("article-comments-count", 1), ("upload-box", 1)])
+def test_names_in_parts(name, kept):
+    assert html.main_text(f"<body><article><h1>T</h1>{_PROSE}<div class='{name}'>{_PROSE}</div></article></body>").count("word") == 60 + 60 * kept
+
+
 @pytest.mark.parametrize("name", sorted(html._HOLDS))
 def test_text_goes_on_after_an_unclosed_element(name):
     assert html.main_text(f"<article><p>x</p><{name} id=a><p>y</p></article>", html.trained()) == "x y"
@@ -321,8 +357,8 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.train(odd, labels.filter("false")) is None and quality.score(none, net).count() == 0
 
 
-def test_risk_falls_with_its_gradient():
-    """One step's direction against differences of the non-negative risk."""
+def test_risk_falls_in_training():
+    """The non-negative risk before and after."""
     rng = np.random.default_rng(1)
     p, u = rng.normal(1, 1, (300, quality.N_FEATURES)), rng.normal(0, 1, (700, quality.N_FEATURES))
 
@@ -341,3 +377,20 @@ def test_class_prior():
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     u = np.concatenate([p[:1500], n[:3500]])
     assert quality.class_prior(rng.normal(2, 1, 4000), u) == pytest.approx(0.3, abs=0.06)
+
+
+def test_gradients_of_the_language_net_against_differences():
+    rng = np.random.default_rng(2)
+    net = langid.ByteConvNet(["a", "b", "c"], dim=3, filters=2, seed=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = rng.integers(97, 110, (5, 12)), np.array([0, 1, 2, 1, 0])
+    g, _ = net._gradients(x, y)
+    for name, a in net.p.items():
+        places = [tuple(rng.integers(0, n) for n in a.shape) for _ in range(6)] if name != "emb" else [(int(c), int(d)) for c, d in zip(x[0, :6], rng.integers(0, 3, 6))]
+        for at in places:
+            kept, step, loss = a[at], 1e-5, []
+            for sign in (1, -1):
+                a[at] = kept + sign * step
+                loss.append(net._gradients(x, y)[1])
+            a[at] = kept
+            assert g[name][at] == pytest.approx((loss[0] - loss[1]) / (2 * step), rel=1e-3, abs=1e-6), name
