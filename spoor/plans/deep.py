@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spoor.operators import comparison, descriptors, graph, pruning, refine, taint
+from spoor.operators import builder, comparison, descriptors, graph, pruning, refine, taint
 from spoor.plans import bindings as b
 from spoor.plans.registry import _EDGES, _NODES, query
 from spoor.sources import classfiles, readers
@@ -268,3 +268,73 @@ def described_rows(spark, d):
         descriptors.Measure("SOLD", F.min(F.when(kind == "purchase", F.concat(F.lit("at "), F.col("seq").cast("string")))), descriptors.Text()),
     ])
     return plan.dense(b.traces(spark, d))
+
+
+# graphs of all kinds of records (GR-1) ------------------------------------------------------
+
+_ALL = (
+    "EntryMethod", "EntryScope", "EntryParameter", "StaticLibraryMethodCall", "InstanceLibraryMethodCall", "SynthesisedReturnValue", "ObjectFieldPut", "StaticFieldPut", "DefaultInstanceFieldValue",
+    "ArrayMemberPut", "ArrayMemberGet", "StackTransformation", "NotValueTransformation", "StackCast", "StringConcat", "Stringification", "Assertion", "Halt", "UncaughtException", "DefaultStaticFieldValue",
+)
+
+
+def _all_records(spark, d):
+    """B10: an event is a record of one of twenty kinds, by its k; references are to boxes, other values symbols, literals, expressions and strings."""
+    k, seq = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    fields = [f.split(":") for f in builder.VAL[7:-1].split(",")]
+
+    def val(tag: str, of: str | None = None, **cells):
+        given = {"tag": F.lit(tag), "type": F.lit(of), **cells}
+        return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+    symbol, literal, box = val("symbol", "I", symbol=k), val("literal", "I", text=(seq % 50).cast("string"), uid=seq), val("ref", "LBox;", heap_id=k % 5)
+    expr, given, string = val("expr", "I", expr_id=seq), val("symbol", "J", symbol=k + 1000), val("string", "LString;", text=F.concat(F.lit("t"), (k % 7).cast("string")))
+    kind = F.element_at(F.array(*map(F.lit, _ALL)), k % 20 + 1)
+    t = b.load(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("graph_id"), seq.alias("seq"), kind.alias("kind"), *[v.alias(n) for n, v in {"symbol": symbol, "literal": literal, "box": box, "expr": expr, "given": given, "string": string}.items()])
+    at = lambda *kinds: F.col("kind").isin(*kinds)
+    call, puts, binary = at("StaticLibraryMethodCall", "InstanceLibraryMethodCall"), at("ObjectFieldPut", "ArrayMemberPut", "DefaultInstanceFieldValue"), at("StackTransformation", "StringConcat")
+    operators = {"StackTransformation": "ADD", "NotValueTransformation": "NOT", "StackCast": "CAST", "StringConcat": "CONCAT", "Stringification": "STRING"}
+    operation = at(*operators)
+    cells = {
+        "method": F.when(call | at("EntryMethod"), F.concat(F.lit("m"), (F.col("seq") % 3).cast("string"))),
+        "operator": F.when(operation, F.create_map(*[F.lit(x) for kv in operators.items() for x in kv])[F.col("kind")]).when(puts, F.concat(F.lit("f"), (F.col("seq") % 3).cast("string"))),
+        "ref": F.when(at("EntryParameter"), F.col("symbol")).when(puts | at("EntryScope", "ArrayMemberGet"), F.col("box")), "scope": F.when(at("InstanceLibraryMethodCall"), F.col("box")),
+        "value": F.when(puts | at("StaticFieldPut", "DefaultStaticFieldValue", "Assertion", "ArrayMemberGet"), F.col("symbol")), "lhs": F.when(at("Stringification"), F.col("box")).when(operation, F.col("symbol")),
+        "rhs": F.when(binary, F.col("literal")), "idx": F.when(at("ArrayMemberPut", "ArrayMemberGet"), F.col("literal")),
+        "result": F.when(call | at("SynthesisedReturnValue"), F.col("given")).when(at("Stringification"), F.col("string")).when(operation, F.col("expr")), "params": F.when(call, F.array("literal", "symbol")),
+    }
+    return t.select("graph_id", "seq", "kind", *[c.alias(n) for n, c in cells.items()])
+
+
+_ALL_SQL = f"""
+x AS (SELECT 'u' || user_id AS g, event_id AS seq, CAST(json_extract_string(props, '$.k') AS INT) AS k, ({list(_ALL)})[CAST(json_extract_string(props, '$.k') AS INT) % 20 + 1] AS t FROM events),
+y AS (SELECT *, '#' || k AS sym, 'v' || seq AS lit, (k % 5) || '@' AS box, 'e' || seq AS expr, '#' || (k + 1000) AS giv, 's:t' || (k % 7) AS str, 'n' || seq AS own,
+  t LIKE '%LibraryMethodCall' AS call, t IN ('ObjectFieldPut', 'ArrayMemberPut', 'DefaultInstanceFieldValue') AS puts, t IN ('StackTransformation', 'StringConcat') AS two,
+  t IN ('StackTransformation', 'NotValueTransformation', 'StackCast', 'StringConcat', 'Stringification') AS oper, t = 'Stringification' AS strs FROM x),
+e AS (
+  SELECT g, seq, box AS src, 'ENTRYPOINT' AS dst, 'SCOPE' AS kind, NULL AS label FROM y WHERE t = 'EntryScope' UNION ALL SELECT g, seq, 'ENTRYPOINT', sym, 'SUPPLIES', NULL FROM y WHERE t = 'EntryParameter'
+  UNION ALL SELECT g, seq, lit, own, 'PARAMETER', '$0' FROM y WHERE call UNION ALL SELECT g, seq, sym, own, 'PARAMETER', '$1' FROM y WHERE call UNION ALL SELECT g, seq, own, giv, 'SUPPLIES', NULL FROM y WHERE call
+  UNION ALL SELECT g, seq, box, own, 'SCOPE', NULL FROM y WHERE t = 'InstanceLibraryMethodCall' UNION ALL SELECT g, seq, sym, box, 'AGGREGATION', 'f' || seq % 3 FROM y WHERE puts
+  UNION ALL SELECT g, seq, lit, sym, 'TRANSFORMATION', NULL FROM y WHERE t = 'ArrayMemberGet' UNION ALL SELECT g, seq, CASE WHEN strs THEN box ELSE sym END, own, 'TRANSFORMATION', NULL FROM y WHERE oper
+  UNION ALL SELECT g, seq, lit, own, 'TRANSFORMATION', NULL FROM y WHERE two UNION ALL SELECT g, seq, own, CASE WHEN strs THEN str ELSE expr END, 'TRANSFORMATION', NULL FROM y WHERE oper),
+n AS (
+  SELECT g, 'ENTRYPOINT' AS id, 'ENTRYPOINT' AS kind, 'm' || seq % 3 AS label, false AS par, false AS syn, false AS sta FROM y WHERE t = 'EntryMethod'
+  UNION ALL SELECT g, own, 'METHODCALL', 'm' || seq % 3, false, false, false FROM y WHERE call
+  UNION ALL SELECT g, own, 'OPERATOR', CASE t WHEN 'StackTransformation' THEN 'ADD' WHEN 'NotValueTransformation' THEN 'NOT' WHEN 'StackCast' THEN 'CAST' WHEN 'StringConcat' THEN 'CONCAT' ELSE 'STRING' END, false, false, false FROM y WHERE oper
+  UNION ALL SELECT g, sym, 'VALUE', 'I', t = 'EntryParameter', t = 'DefaultInstanceFieldValue', t = 'StaticFieldPut' FROM y WHERE call OR puts OR oper AND NOT strs OR t IN ('EntryParameter', 'StaticFieldPut', 'ArrayMemberGet')
+  UNION ALL SELECT g, box, 'OBJECT', 'LBox;', false, false, false FROM y WHERE puts OR strs OR t IN ('EntryScope', 'ArrayMemberGet', 'InstanceLibraryMethodCall')
+  UNION ALL SELECT g, lit, 'VALUE', CAST(seq % 50 AS VARCHAR), false, false, false FROM y WHERE call OR two OR t IN ('ArrayMemberPut', 'ArrayMemberGet')
+  UNION ALL SELECT g, giv, 'VALUE', 'J', false, t = 'SynthesisedReturnValue', false FROM y WHERE call OR t = 'SynthesisedReturnValue'
+  UNION ALL SELECT g, expr, 'VALUE', 'I', false, false, false FROM y WHERE oper AND NOT strs UNION ALL SELECT g, str, 'VALUE', 't' || k % 7, false, false, false FROM y WHERE strs)"""
+
+
+@query(f"WITH {_ALL_SQL} SELECT g AS graph_id, seq, src, dst, kind, label FROM e")
+def whole_edges(spark, d):
+    """GR-1b..1f on B10: edges of all twenty kinds of records, entry scopes, static calls, arrays, casts and strings among them."""
+    return builder.build_edges(_all_records(spark, d))
+
+
+@query(f"WITH {_ALL_SQL} SELECT g AS graph_id, id AS node_id, any_value(kind) AS kind, max(label) AS label, bool_or(par) AS is_entry_param, bool_or(syn) AS is_synthetic, bool_or(sta) AS is_static_field FROM n GROUP BY g, id")
+def whole_nodes(spark, d):
+    """GR-1a..1h on B10: nodes of all kinds of records with their flags, entry points among them."""
+    return builder.build_nodes(_all_records(spark, d))
