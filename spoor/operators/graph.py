@@ -95,15 +95,19 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, ["graph_id", "node_id"], "left_semi")
 
 
-def signatures(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
-    """AGG-10, GR-7, SRT-5: a seed's kind, then kind of edge and neighbour in order; share of each signature among the seeds."""
-    both = edges.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("other"), "kind").unionByName(
-        edges.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("other"), "kind")
-    )
-    kinds = nodes.select("graph_id", F.col("node_id").alias("other"), F.col("kind").alias("other_kind"))
-    around = both.join(seeds.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi").join(kinds, ["graph_id", "other"])
-    lists = around.groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list(F.concat_ws(":", "other_kind", "kind"))).alias("parts"))
-    named = seeds.join(lists, ["graph_id", "node_id"], "left").select("graph_id", F.concat(F.col("kind"), F.lit("_"), F.coalesce(F.array_join("parts", ","), F.lit(""))).alias("signature"))
+def signatures(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """AGG-10, GR-7, SRT-5: a seed's kind, then kind of neighbour and edge in order; share of each signature among the seeds.
+
+    Neighbours are counted by their kinds before a node's meet: a hub's list has a cell for each pair of kinds, not for each edge.
+    """
+    kinds = lambda x: nodes.select("graph_id", F.col("node_id").alias(x), F.col("kind").alias(f"{x}_kind"))
+    whole = edges.join(kinds("src"), ["graph_id", "src"]).join(kinds("dst"), ["graph_id", "dst"])
+    end = lambda x, other: F.struct(F.col(x).alias("node_id"), F.concat_ws(":", f"{other}_kind", "kind").alias("part"))
+    counted = whole.select("graph_id", F.inline(F.array(end("src", "dst"), end("dst", "src")))).groupBy("graph_id", "node_id", "part").agg(F.count("*").cast("int").alias("n"))
+    around = counted.join(seeds.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi")
+    lists = around.groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts"))
+    spelt = F.array_join(F.transform("parts", lambda p: F.concat(p["part"], F.repeat(F.concat(F.lit(","), p["part"]), p["n"] - 1))), ",")
+    named = seeds.join(lists, ["graph_id", "node_id"], "left").select("graph_id", F.concat(F.col("kind"), F.lit("_"), F.coalesce(spelt, F.lit(""))).alias("signature"))
     from spoor.operators.trace import share
 
     return share(named, ["graph_id"], "signature")
