@@ -3,7 +3,9 @@
 Texts are sets of shingles: five consecutive words, or all words of a shorter text.  Equal
 texts are one vertex with a weight.  Banded MinHash keys give buckets; a bucket's members
 are tied to its least one, and connected components of these ties are the blocks outside
-which no pair can be a candidate.  Blocks are cut into tiles of bounded size, each pair of
+which no pair can be a candidate.  Each text of a block meets the block's head (its first text) once,
+and from then on stands for itself as its MinHash values, the shingles it shares with the head (bits) and those it adds.
+Blocks are cut into tiles of bounded size, each pair of
 tiles is one unit of work.  There the MinHash values of all pairs are compared a few at a
 time, and a pair is dropped as soon as the posterior probability that its Jaccard
 similarity reaches the threshold (uniform prior, binomial likelihood) is below the
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm.common import give_back, load, map_batches, scratch, staged
+from spoor.llm.common import give_back, load, map_batches, scratch, slices, staged
 from spoor.llm.graph import components
 from spoor.llm.words import blocks, bounds, hashes
 
@@ -37,7 +39,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 32, 1e-6
 #: A tile has about so many texts and shingles.
-TILE_TEXTS, TILE_SHINGLES = 256, 1_000_000
+TILE_TEXTS, TILE_SHINGLES = 128, 500_000
 
 _RNG = np.random.default_rng(17)
 _MUL = (_RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -109,39 +111,67 @@ def least_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THR
 _LEAST = least_matches()
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each text of ``left`` the texts of ``right`` (or the later ones of ``left``) that it is linked to."""
-    sizes = np.array([len(s) for s in sets])
-    sigs = np.stack([signature(s) for s in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    firsts = np.concatenate(([0], np.cumsum(sizes)))
-    mark = np.zeros(int(codes.max()) + 1, bool)
-    other = left if right is None else right
-    b, nb = sigs[other], sizes[other]
-    for k, i in enumerate(left):
-        alive = np.flatnonzero((np.minimum(nb, sizes[i]) >= THRESHOLD * np.maximum(nb, sizes[i]) - 1e-9) & ((np.arange(len(other)) > k) | (right is not None)))
-        matches = np.zeros(len(alive), int)
-        for at in range(0, HASHES, STEP):
+class Unit:
+    """The texts of one or two tiles of a block, each as what it shares with the block's head and what it adds.
+
+    Of two texts the shingles that both keep of the head are counted on bits, those that both add by their
+    numbers, which together are all they have in common.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        """Rows are (r, tile, copies, size, signature, kept, added), the last three as bytes."""
+        self.rows = rows
+        self.sizes = np.array([r[3] for r in rows])
+        self.sigs = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), HASHES)
+        self.kept = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+        added = [np.frombuffer(r[6], np.uint64) for r in rows]
+        self.firsts = np.concatenate(([0], np.cumsum([len(x) for x in added])))
+        found, codes = np.unique(np.concatenate(added), return_inverse=True)
+        self.codes, self.mark = codes.reshape(-1), np.zeros(len(found), bool)
+
+    def linked(self, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+        """For each text of ``left`` the texts of ``right`` (or the later ones of ``left``) that it is linked to."""
+        other = left if right is None else right
+        sigs, kept, sizes = self.sigs[other], self.kept[other], self.sizes[other]
+        codes = np.concatenate([self.codes[self.firsts[j] : self.firsts[j + 1]] for j in other])
+        ends = np.cumsum(self.firsts[other + 1] - self.firsts[other])
+        for k, i in enumerate(left):
+            size = self.sizes[i]
+            alive = np.flatnonzero((np.minimum(sizes, size) >= THRESHOLD * np.maximum(sizes, size) - 1e-9) & ((np.arange(len(other)) > k) | (right is not None)))
+            matches = np.zeros(len(alive), int)
+            for at in range(0, HASHES, STEP):
+                if not len(alive):
+                    break
+                matches += (sigs[alive, at : at + STEP] == self.sigs[i, at : at + STEP]).sum(1)
+                stay = matches >= _LEAST[at + STEP]
+                alive, matches = alive[stay], matches[stay]
             if not len(alive):
-                break
-            matches += (b[alive, at : at + STEP] == sigs[i, at : at + STEP]).sum(1)
-            stay = matches >= _LEAST[at + STEP]
-            alive, matches = alive[stay], matches[stay]
-        if not len(alive):
-            continue
-        own = codes[firsts[i] : firsts[i + 1]]
-        mark[own] = True
-        common = np.array([np.count_nonzero(mark[codes[firsts[j] : firsts[j + 1]]]) for j in other[alive]])
-        mark[own] = False
-        # J >= 4/5 without rounding
-        found = other[alive][5 * common >= 4 * (sizes[i] + nb[alive] - common)]
-        if len(found):
-            yield int(i), found
+                continue
+            own = self.codes[self.firsts[i] : self.firsts[i + 1]]
+            self.mark[own] = True
+            shared = np.concatenate(([0], np.cumsum(self.mark[codes])))
+            self.mark[own] = False
+            added = shared[ends[alive]] - shared[ends[alive] - (self.firsts[other[alive] + 1] - self.firsts[other[alive]])]
+            common = np.bitwise_count(kept[alive] & self.kept[i]).sum(1, dtype=np.int64) + added
+            # J >= 4/5 without rounding
+            found = other[alive][5 * common >= 4 * (size + sizes[alive] - common)]
+            if len(found):
+                yield int(i), found
+
+
+def against(head: np.ndarray, shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """What a sorted set keeps of a sorted head, as bits in whole words, and what it adds to it."""
+    at = np.searchsorted(head, shingles)
+    at[at == len(head)] = 0
+    held = head[at] == shingles
+    bits = np.zeros(-(-len(head) // 64) * 64, np.uint8)
+    bits[at[held]] = 1
+    return np.packbits(bits).tobytes(), shingles[~held].tobytes()
 
 
 def _links(rows: list[tuple], left: np.ndarray, right: np.ndarray | None) -> list[tuple]:
-    """(r, links, root) of the linked texts of one unit of work; rows are (r, tile, copies, shingles)."""
-    weight = np.array([c for _, _, c, _ in rows])
+    """(r, links, root) of the linked texts of one unit of work."""
+    weight = np.array([r[2] for r in rows])
     links = np.zeros(len(rows), np.int64)
     parent = list(range(len(rows)))
 
@@ -151,7 +181,7 @@ def _links(rows: list[tuple], left: np.ndarray, right: np.ndarray | None) -> lis
             i = parent[i]
         return i
 
-    for i, found in linked([s for *_, s in rows], left, right):
+    for i, found in Unit(rows).linked(left, right):
         links[i] += int(weight[found].sum())
         links[found] += int(weight[i])
         for j in found.tolist():
@@ -199,8 +229,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tiles = F.ceil(F.greatest(F.col("n") / TILE_TEXTS, F.col("s") / TILE_SHINGLES)).cast("int")
     placed = members.join(sized, "root").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("r"), F.col("tiles")).cast("int"))
     with_text = own.join(placed.select("t1", "t2", "first_id", "root", "r", "copies", "tile", "tiles"), same).filter("id <=> first_id")
-    units = with_text.select("root", "r", "copies", "tile", "text", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "root", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "r", "copies", "tile", "text"
+    # each text meets the head of its block once; the head goes to every tile
+    meets = F.when(F.col("r") == F.col("root"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
+    met = with_text.select("root", F.explode(meets).alias("at"), "r", "copies", "tile", "tiles", (F.col("r") != F.col("root")).alias("follows"), "text").repartition("root", "at").sortWithinPartitions("root", "at", "follows")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        now, head, seen = None, np.zeros(0, np.uint64), set()
+        for batch in slices(batches):
+            out = []
+            for (root, at, r, copies, tile, tiles, follows), shingles in zip(zip(*(c.to_pylist() for c in batch.columns[:-1])), shingle_sets(batch.column(7))):
+                if (root, at) != now:
+                    now, seen = (root, at), set()
+                if not follows:
+                    head = shingles
+                if tile == at and r not in seen:  # repeated rows are one
+                    seen.add(r)
+                    out.append((root, r, copies, tile, tiles, len(shingles), signature(shingles).tobytes(), *against(head, shingles)))
+            columns = zip(*out) if out else [[]] * 9
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["root", "r", "copies", "tile", "tiles", "size", "sig", "kept", "added"])
+
+    schema = "root bigint, r bigint, copies bigint, tile int, tiles int, size bigint, sig binary, kept binary, added binary"
+    told = staged(met.mapInArrow(describe, schema), "told")
+    units = told.select("root", "r", "copies", "tile", "size", "sig", "kept", "added", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+        "root", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "r", "tile", "copies", "size", "sig", "kept", "added"
     )
     dealt = units.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
@@ -210,12 +263,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def close() -> None:
             if held:
-                rows = list({r[0]: r for r in held}.values())
-                side = np.array([t for _, t, _, _ in rows])
+                side = np.array([r[1] for r in held])
                 if now[1] == now[2]:
-                    out.extend(_links(rows, np.arange(len(rows)), None))
+                    out.extend(_links(held, np.arange(len(held)), None))
                 elif (side == now[1]).any() and (side == now[2]).any():
-                    out.extend(_links(rows, np.flatnonzero(side == now[1]), np.flatnonzero(side == now[2])))
+                    out.extend(_links(held, np.flatnonzero(side == now[1]), np.flatnonzero(side == now[2])))
                 held.clear()
 
         def batch_out() -> pa.RecordBatch:
@@ -223,12 +275,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["r", "links", "root"])
 
-        for batch in batches:
-            for (root, a, b, r, copies, tile), found in zip(zip(*(c.to_pylist() for c in batch.columns[:-1])), shingle_sets(batch.column(6))):
+        for batch in slices(batches):
+            for root, a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (root, a, b) != now:
                     close()
                     now = (root, a, b)
-                held.append((r, tile, copies, found))
+                held.append(tuple(row))
             if len(out) > 4096:
                 yield batch_out()
         close()
