@@ -394,3 +394,32 @@ def test_gradients_of_the_language_net_against_differences():
                 loss.append(net._gradients(x, y)[1])
             a[at] = kept
             assert g[name][at] == pytest.approx((loss[0] - loss[1]) / (2 * step), rel=1e-3, abs=1e-6), name
+
+
+def test_first_step_of_the_risk_goes_against_its_differences():
+    """Adam's first step on one batch is the rate against the sign of the gradient."""
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0.4, 1, (120, quality.N_FEATURES)), rng.normal(0, 1, (400, quality.N_FEATURES))
+    net, after, prior = quality.PUNet(), quality.PUNet().fit(p, u, 0.3, epochs=1, rate=0.01), 0.3
+    net.mean, net.scale = after.mean, after.scale
+
+    def risk():
+        sp, su = net.score(p), net.score(u)
+        negative = -np.log1p(-su).mean() + prior * np.log1p(-sp).mean()
+        assert negative > 0
+        return -prior * np.log(sp).mean() + negative + 0.5e-4 * sum((a * a).sum() for a in (net.w1, net.b1, net.w2, net.b2))
+
+    checked = 0
+    for a, b in ((net.w1, after.w1), (net.b1, after.b1), (net.w2, after.w2), (net.b2, after.b2)):
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in a.shape)
+            kept, losses = a[at], []
+            for sign in (1, -1):
+                a[at] = kept + sign * 1e-5
+                losses.append(risk())
+            a[at] = kept
+            slope = (losses[0] - losses[1]) / 2e-5
+            if abs(slope) > 1e-6:
+                checked += 1
+                assert b[at] - kept == pytest.approx(-0.01 * np.sign(slope), rel=0.05)
+    assert checked > 30
