@@ -10,11 +10,15 @@ solved exactly in its task, a larger one by an auction whose bids and prices are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from spoor.operators import graph, similarity
 from spoor.operators.rounds import Rounds
@@ -58,17 +62,38 @@ def _solve(rows: list[str], columns: list[str], cost: dict[tuple[str, str], floa
 
 
 def _in_tasks(candidates: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Assignments of groups that one task holds each, cut into blocks there."""
+    """Assignments of groups that one task holds each, one after another, cut into blocks there."""
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = {(l, r): c for l, r, c in zip(pdf["l"], pdf["r"], pdf["cost"])}
-        out = [m for ls, rs in similarity._blocks(cost) for m in _solve(ls, rs, cost, threshold)]
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first["lhs"], first["rhs"], *m) for m in out], columns=[*PAIR, "l", "r", "sim"])
-
+    dealt = candidates.select(*keys, "l", "r", "cost").repartition(*keys).sortWithinPartitions(*keys)
     schema = f"lhs {kinds['lhs']}, rhs {kinds['rhs']}, l string, r string, sim double"
-    return candidates.groupBy(*keys).applyInPandas(run, schema)
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cost, out = None, {}, []
+
+        def close() -> None:
+            out.extend((*now[:2], *m) for ls, rs in similarity._blocks(cost) for m in _solve(ls, rs, cost, threshold))
+            cost.clear()
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, l, r, c in zip(*columns):
+                if key != now:
+                    if now is not None:
+                        close()
+                    now = key
+                cost[l, r] = c
+            yield made()
+        if now is not None:
+            close()
+        yield made()
+
+    return dealt.mapInArrow(run, schema)
 
 
 def assign(candidates: DataFrame, threshold: float, rounds: Rounds, at_once: int = AT_ONCE, cells: int = CELLS, units: int = UNITS) -> DataFrame:
