@@ -254,3 +254,10 @@ def condense(items: list, similar: Callable[[object, object], float], size: Call
         else:
             leaders.append([x, 1])
     return [(x, n) for x, n in leaders]
+
+
+def condense_traces(sets: DataFrame, entry: str, trace: str, codes: str, threshold: float = 0.9) -> DataFrame:
+    """SIM-5 over (entry, trace, codes): one row for each leader, found in rounds over tables (``leaders``)."""
+    from spoor.operators import leaders
+
+    return leaders.condense(sets, entry, trace, codes, threshold)[0]
