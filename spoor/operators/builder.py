@@ -118,6 +118,9 @@ def inputs(nodes: DataFrame) -> DataFrame:
 def prune_chain(kinds: dict[str, str], edges: list[tuple[str, str]]) -> set[tuple[str, str]]:
     """GR-6 on one graph: the edges that are left when operators over source-only inputs are folded away.
 
+    Edges are a set here: an operand met twice counts once, and a unary operator's source stays where it is used
+    elsewhere.  ``pruning.prune_tables`` counts edges, and is the form that follows the original in both.
+
     To a fixpoint: an operator with one result and only sources before it goes with its idle
     sources; one with a single connected input hands that input's edges on to its result.
     """

@@ -9,8 +9,6 @@ leader leaves.  No group of rows ever holds an entry point.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
