@@ -47,6 +47,12 @@ class Rounds:
         """Drop all tables except the results."""
         self.drop(*(t for t, _ in list(self.paths.values()) if all(t is not b for b in but)))
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` written, and all other tables dropped."""
+        out = self.keep(df, "result")
+        self.close(out)
+        return out
+
     def _delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

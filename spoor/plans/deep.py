@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spoor.operators import builder, comparison, descriptors, graph, pruning, refine, taint
+from spoor.operators.rounds import Rounds
 from spoor.plans import bindings as b
 from spoor.plans.registry import _EDGES, _NODES, query
 from spoor.sources import classfiles, readers
@@ -29,7 +30,8 @@ SELECT g AS graph_id, seed, id AS node_id FROM seen""")
 def taint_by_seed(spark, d):
     """GR-3 on B2: every nation is an input and has a taint of its own."""
     n, e = b.graph_nodes(spark, d), b.graph_edges(spark, d)
-    return taint.by_seed(n, graph.steps(spark, n, e), n.filter("kind = 'OBJECT'"))[0]
+    tainted, _, rounds = taint.by_seed(n, graph.steps(spark, n, e), n.filter("kind = 'OBJECT'"))
+    return rounds.result(tainted)
 
 
 def _baskets(spark, d):
@@ -61,7 +63,8 @@ SELECT seen.g AS graph_id, seed, m.kind, count(*) AS moves FROM seen JOIN moves
 def taint_walks_by_seed(spark, d):
     """GR-3, GR-4 on B7: how many moves of each kind the taint of each returned line makes."""
     n, e, seeds = _baskets(spark, d)
-    return taint.by_seed(n, graph.steps(spark, n, e), seeds)[1].groupBy("graph_id", "seed", "kind").agg(F.count("*").alias("moves"))
+    _, walked, rounds = taint.by_seed(n, graph.steps(spark, n, e), seeds)
+    return rounds.result(walked.groupBy("graph_id", "seed", "kind").agg(F.count("*").alias("moves")))
 
 
 # condensing (SIM-5) and comparison (SIM-4) ------------------------------------------------
@@ -134,7 +137,8 @@ def _running_sums(spark, d):
 @query(f"WITH {_SUMS} SELECT g AS graph_id, src, dst, kind FROM e")
 def pruned_graphs(spark, d):
     """GR-6 on B9: what is left when operators on literals are folded: calls, the sums of two or more of them, and nothing else."""
-    return pruning.prune_tables(*_running_sums(spark, d))[1]
+    _, left, rounds = pruning.prune_tables(*_running_sums(spark, d))
+    return rounds.result(left)
 
 
 # branch trees (BR-1) -----------------------------------------------------------------------
@@ -159,7 +163,7 @@ side AS (SELECT entry, path || unnest(['T', 'F']) AS path FROM own WHERE kind =
 tree AS (SELECT * FROM own UNION ALL SELECT entry, path, 'empty', NULL, NULL, 0 FROM side ANTI JOIN own USING (entry, path))"""
 
 
-def _tree(spark, d):
+def _tree(spark, d, rounds):
     """B3 with every record: errors are assertions on one of nine conditions, purchases halts, signups uncaught exceptions; traces need not assert alike."""
     w = W.partitionBy("trace").orderBy("ts", "seq")
     names = F.create_map(*[F.lit(x) for kv in {"error": "Assertion", "purchase": "Halt", "signup": "UncaughtException"}.items() for x in kv])
@@ -167,13 +171,14 @@ def _tree(spark, d):
         "entry", "trace", (F.row_number().over(w) - 1).alias("at"), F.coalesce(names[F.col("kind")], "kind").alias("kind"),
         F.concat(F.lit("c"), (F.floor(F.col("value") / 7) % 9).cast("string")).alias("condition"), (F.col("value") > 20).alias("truth"),
     )
-    return refine.tree(records)
+    return refine.tree(records, rounds)
 
 
 @query(f"WITH RECURSIVE {_RECORDS} SELECT entry, path, CAST(length(path) AS INTEGER) AS depth, kind, condition, leader, traces FROM tree")
 def branch_trees(spark, d):
     """BR-1 on B3: every node of every entry point's tree, with its condition or its kind of end."""
-    return _tree(spark, d).drop("start", "stop")
+    rounds = Rounds(spark, "tree")
+    return rounds.result(_tree(spark, d, rounds).drop("start", "stop"))
 
 
 @query(f"""WITH RECURSIVE {_RECORDS},
@@ -184,8 +189,9 @@ c AS (SELECT entry, count(DISTINCT array_to_string(s, '|')) AS conditions FROM s
 SELECT m.*, coalesce(conditions, 0) AS conditions FROM m LEFT JOIN c USING (entry)""")
 def branch_tree_measures(spark, d):
     """BR-2 on the trees of BR-1."""
-    nodes = _tree(spark, d)
-    return refine.measures(nodes).join(refine.conditions(nodes), "entry")
+    rounds = Rounds(spark, "tree")
+    nodes = _tree(spark, d, rounds)
+    return rounds.result(refine.measures(nodes).join(refine.conditions(nodes), "entry"))
 
 
 # correlation of mappings (GR-8) -----------------------------------------------------------
