@@ -1,8 +1,9 @@
 """Branch trees by partition refinement (BR-1, BR-2): every entry point's tree at once, one level a round.
 
 A node of a tree is a group of traces.  Its condition is that of the next assertion of the group's first trace;
-all traces of the group go on by the truth of their own record at that place.  So a round is a join of the groups with the
-assertions, and a leader's place is a table of one row for each group.
+all traces of the group go on by the truth of their own record at that place.  Traces that assert alike are one row with their
+number, and each row carries the assertions still ahead of it.  So a round is a join of the groups with their leaders;
+a group of one such row is done, its nodes are read off its list.
 """
 
 from __future__ import annotations
@@ -31,38 +32,54 @@ def tree(records: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     """
     rounds = rounds or Rounds(records.sparkSession, "tree")
     records = rounds.keep(records.select("entry", "trace", "at", "kind", "condition", "truth"), "records")
-    asserted = rounds.keep(records.filter("kind = 'Assertion'").select("entry", "trace", "at", "condition", "truth"), "asserted")
-    sizes = rounds.keep(records.groupBy("entry", "trace").agg((F.max("at") + 1).alias("size")), "sizes")
-    groups = rounds.keep(sizes.select("entry", "trace", F.lit("").alias("path"), F.lit(0).alias("last")), "groups")
-    nodes = []
+    sizes = records.groupBy("entry", "trace").agg((F.max("at") + 1).alias("size"))
+    # the one record that tells how a trace ends, if it is the leader of a leaf
+    final = records.select("entry", "trace", (F.col("at") + 2).alias("size"), F.col("kind").alias("final"))
+    cell = F.struct("at", F.coalesce("truth", F.lit(False)).alias("truth"), "condition")
+    lists = records.filter("kind = 'Assertion' AND at > 0").groupBy("entry", "trace").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    none = F.array().cast(lists.schema["cells"].dataType)
+    sized = sizes.join(final, ["entry", "trace", "size"], "left").join(lists, ["entry", "trace"], "left").withColumn("cells", F.coalesce("cells", none))
+    # traces that assert alike never part: they go on as the first of them
+    alike = sized.groupBy("entry", "cells").agg(F.min(F.struct("trace", "size", "final")).alias("x"), F.count("*").alias("n"))
+    groups = rounds.keep(alike.select("entry", "x.*", F.lit("").alias("path"), F.lit(0).alias("last"), "cells", "n"), "groups")
+    levels = []
     step = 0
     while not groups.isEmpty():
         step += 1
-        heads = rounds.keep(groups.groupBy("entry", "path").agg(F.min(F.struct("trace", "last")).alias("head"), F.count("*").alias("traces")).select("entry", "path", F.col("head.trace").alias("leader"), F.col("head.last").alias("last"), "traces"), "heads")
-        after = heads.join(asserted.select("entry", F.col("trace").alias("leader"), "at", "condition"), ["entry", "leader"]).filter("at > last")
-        forks = after.groupBy("entry", "path").agg(F.min(F.struct("at", "condition")).alias("f")).select("entry", "path", F.col("f.at").alias("fork"), F.col("f.condition").alias("condition"))
-        found = rounds.keep(heads.join(forks, ["entry", "path"], "left").join(sizes.withColumnRenamed("trace", "leader"), ["entry", "leader"]), "nodes")
-        nodes.append(found)
-        open_ = groups.join(found.filter("fork is not null").select("entry", "path", "fork"), ["entry", "path"])
-        truths = asserted.select("entry", "trace", F.col("at").alias("fork"), "truth")
-        side = F.when(F.coalesce("truth", F.lit(False)), "T").otherwise("F")
-        more = rounds.keep(open_.join(truths, ["entry", "trace", "fork"], "left").select("entry", "trace", F.concat("path", side).alias("path"), F.col("fork").cast("int").alias("last")), "groups")
+        head = F.min(F.struct("trace", "size", "final", "last", "cells")).alias("head")
+        found = groups.groupBy("entry", "path").agg(head, F.sum("n").alias("traces"), (F.count("*") == 1).alias("alone"))
+        h, cells = F.col("head"), F.col("head.cells")
+        first = F.try_element_at(cells, F.lit(1))
+        found = found.select(
+            "entry", "path", h["trace"].alias("leader"), h["size"].alias("size"), h["final"].alias("final"), h["last"].alias("last"), "traces", "alone",
+            first["at"].cast("int").alias("fork"), first["condition"].alias("condition"), F.when(F.col("alone"), cells).alias("cells"),
+        )
+        found = rounds.keep(found, "nodes")
+        levels.append(rounds.paths[id(found)][1])
+        open_ = groups.join(found.filter("NOT alone AND fork IS NOT NULL").select("entry", "path", "fork"), ["entry", "path"])
+        truth = F.exists("cells", lambda c: (c["at"] == F.col("fork")) & c["truth"])
+        later = F.filter("cells", lambda c: c["at"] > F.col("fork"))
+        more = open_.select("entry", "trace", "size", "final", F.concat("path", F.when(truth, "T").otherwise("F")).alias("path"), F.col("fork").alias("last"), later.alias("cells"), "n")
+        more = rounds.keep(more, "groups")
         rounds.note(kind="tree", round=step)
-        rounds.drop(groups, heads)
+        rounds.drop(groups)
         groups = more
-    if not nodes:
+    if not levels:
         return records.select("entry", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("kind"), "condition", F.col("trace").alias("leader"), F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(0).cast("bigint").alias("traces")).filter("false")
-    every = nodes[0]
-    for level in nodes[1:]:
-        every = every.unionByName(level)
+    # all levels are one table, so the plan does not grow with them; a group that cannot part any more is the rest of one chain
+    every = records.sparkSession.read.schema(found.schema).parquet(*levels)
+    parting = every.filter("NOT alone").drop("alone", "cells")
+    rest = every.filter("alone").select("*", F.explode(F.sequence(F.lit(0), F.size("cells"))).alias("k"))
+    spelt = F.concat("path", F.array_join(F.transform(F.slice("cells", F.lit(1), F.col("k")), lambda c: F.when(c["truth"], "T").otherwise("F")), ""))
+    before, ahead = F.try_element_at("cells", F.greatest("k", F.lit(1))), F.try_element_at("cells", F.col("k") + 1)
+    rest = rest.select("entry", spelt.alias("path"), "leader", "size", "final", F.when(F.col("k") > 0, before["at"].cast("int")).otherwise(F.col("last")).alias("last"), "traces", ahead["at"].cast("int").alias("fork"), ahead["condition"].alias("condition"))
+    every = parting.unionByName(rest)
     last, fork, end = F.col("last"), F.col("fork"), F.col("size") - 1
     start = F.when(last == 0, 0).when(fork.isNull() & (last + 1 > end), end).otherwise(last + 1)
     stop = F.greatest(start, F.when(fork.isNotNull(), fork - 1).otherwise(end))
     every = every.withColumns({"start": start.cast("int"), "stop": stop.cast("int")})
-    final = records.select("entry", F.col("trace").alias("leader"), F.col("at").alias("_at"), F.col("kind").alias("final"))
-    every = every.withColumn("_at", F.when(fork.isNull() & (F.col("stop") > F.col("start")), F.col("stop") - 1)).join(final, ["entry", "leader", "_at"], "left")
-    ended = F.coalesce(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv])[F.col("final")], F.lit("regular"))
-    own = every.select("entry", "path", F.when(fork.isNotNull(), "fork").otherwise(ended).alias("kind"), "condition", "leader", "start", "stop", "traces")
+    ended = F.coalesce(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv])[F.when(F.col("stop") > F.col("start"), F.col("final"))], F.lit("regular"))
+    own = rounds.keep(every.select("entry", "path", F.when(fork.isNotNull(), "fork").otherwise(ended).alias("kind"), "condition", "leader", "start", "stop", "traces"), "own")
     # a fork has two sides, whether a trace takes them or not
     sides = own.filter("kind = 'fork'").select("entry", F.explode(F.array(F.concat("path", F.lit("T")), F.concat("path", F.lit("F")))).alias("path"))
     none = lambda c: F.lit(None).cast(own.schema[c].dataType).alias(c)

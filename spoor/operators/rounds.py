@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written meanwhile go with each write, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Rounds:
     """Written copies of an iteration's tables; ``drop`` removes those that nothing reads any more."""
 
@@ -29,7 +46,8 @@ class Rounds:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         """``df`` written and read back: its lineage ends there, and the copy outlives any executor."""
         path = f"{self.base}/{len(self.log)}-{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with cleaned(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

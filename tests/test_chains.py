@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from spoor.operators import pruning, refine
+from spoor.operators.rounds import Rounds
 
 
 def rewrite(kinds, edges, rng):
@@ -190,3 +191,12 @@ def test_trees_of_traces_that_disagree(spark):
 def test_no_records(spark):
     none = spark.createDataFrame([], "entry int, trace int, at int, kind string, condition string, truth boolean")
     assert refine.tree(none).isEmpty()
+
+
+def test_traces_that_assert_alike_and_single_ones_take_few_rounds(spark):
+    rounds = Rounds(spark, "test")
+    rows = [(0, t, at, "Assertion", f"c{at % 3}", (at * 7 + t // 4) % 5 < 2) for t in range(12) for at in range(1, 60)]
+    nodes = refine.tree(spark.createDataFrame(rows + [(0, t, 0, "x", None, None) for t in range(12)], "entry int, trace int, at int, kind string, condition string, truth boolean"), rounds)
+    assert nodes.agg({"depth": "max"}).first()[0] == 59
+    assert sum(x["kind"] == "tree" for x in rounds.log if "kind" in x) < 8
+    assert {r["traces"] for r in nodes.filter("depth > 10 and kind <> 'empty'").collect()} == {4}
