@@ -23,6 +23,8 @@ def hungarian(costs: np.ndarray) -> np.ndarray:
     if not np.isfinite(c).all():
         raise ValueError("costs must be finite")
     rows, cols = c.shape
+    if c.size and c.min() == c.max():  # any assignment is as good: the one in order
+        return np.where(np.arange(rows) < cols, np.arange(rows), -1)
     n = max(rows, cols)
     padded = np.zeros((n, n))
     padded[:rows, :cols] = c
@@ -196,12 +198,19 @@ def compare(left: Graph, right: Graph, match: Callable[[dict, dict], bool] = nod
     for i, n in sorted(right.nodes.items()):
         if n["kind"] in ("OPERATOR", "METHODCALL"):
             keyed[n["kind"], n["label"]].append(i)
-    cost = {}
+    calls: dict[tuple, list[str]] = defaultdict(list)
     for i, n in sorted(left.nodes.items()):
-        for j in keyed.get((n["kind"], n["label"]), []):
-            a, b = len(left.around[i]), len(right.around[j])
-            cost[i, j] = 1 - a / max(a, b) if a and b else 1.0
-    spread(take(best(sorted({l for l, _ in cost}), sorted({r for _, r in cost}), cost)))
+        if (n["kind"], n["label"]) in keyed:
+            calls[n["kind"], n["label"]].append(i)
+    cost, free = {}, []
+    for key, ls in calls.items():
+        # nodes without edges cost 1; if no right node has more edges than a left one, all else costs 0 and goes in order
+        ls, rs = [i for i in ls if left.around[i]], [j for j in keyed[key] if right.around[j]]
+        if ls and rs and min(len(left.around[i]) for i in ls) >= max(len(right.around[j]) for j in rs):
+            free += zip(ls, rs)
+        else:
+            cost |= {(i, j): 1 - len(left.around[i]) / max(len(left.around[i]), len(right.around[j])) for i in ls for j in rs}
+    spread(take(sorted(free + best(sorted({l for l, _ in cost}), sorted({r for _, r in cost}), cost))))
     rest_l, rest_r = [i for i in sorted(left.nodes) if i not in lmap], [j for j in sorted(right.nodes) if j not in rmap]
     if rest_l and rest_r:
         c = {(i, j): 0.0 for i in rest_l for j in rest_r if match(left.nodes[i], right.nodes[j])}
