@@ -11,7 +11,8 @@ from itertools import count, permutations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.operators.rounds import shared_folder
+from spoor.operators import tiles
+from spoor.operators.rounds import cleaned, shared_folder
 
 NODE_KINDS = ("VALUE", "OBJECT", "OPERATOR", "ENTRYPOINT", "METHODCALL")
 EDGE_KINDS = ("SCOPE", "SUPPLIES", "PARAMETER", "AGGREGATION", "TRANSFORMATION")
@@ -117,26 +118,30 @@ def _spill(df: DataFrame, label: str) -> DataFrame:
     """A reliable copy of an iteration's result, in the folder all executors share."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def steps(spark: SparkSession, nodes: DataFrame, edges: DataFrame, rules: tuple = TAINT_RULES) -> DataFrame:
     """(graph_id, src, dst, kind, way): the single moves that taint may make, all graphs together."""
+    # only edges of a kind that some rule follows meet the nodes
     table = spark.createDataFrame(list(rules), "cls string, kind string, way string")
     cls = nodes.select("graph_id", F.col("node_id").alias("src"), node_class(F.col("kind")).alias("cls"))
-    moves = edges.select("graph_id", "src", "dst", "kind", F.lit("out").alias("way")).unionByName(
-        edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", F.lit("in").alias("way"))
+    of = lambda way: F.col("kind").isin(*sorted({k for _, k, w in rules if w == way}))
+    moves = edges.filter(of("out")).select("graph_id", "src", "dst", "kind", F.lit("out").alias("way")).unionByName(
+        edges.filter(of("in")).select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", F.lit("in").alias("way"))
     )
     return moves.join(cls, ["graph_id", "src"]).join(F.broadcast(table), ["cls", "kind", "way"]).select("graph_id", "src", "dst", "kind", "way")
 
 
-def reach(moves: DataFrame, seeds: DataFrame) -> DataFrame:
+def reach(moves: DataFrame, seeds: DataFrame, written: bool = False) -> DataFrame:
     """GR-3: (graph_id, node_id) reachable from the seeds: frontier joins until nothing is new.
 
-    Each round shuffles the frontier alone; what has been seen is an anti-join away, so cycles end.
+    What has been seen is an anti-join away, so cycles end.  ``written`` moves are read as they are.
     """
-    moves = _spill(moves.select("graph_id", "src", "dst").distinct(), "moves")  # read in every round, made once
+    if not written:
+        moves = _spill(moves.select("graph_id", "src", "dst"), "moves")  # read in every round, made once; equal moves do no harm
     seen = frontier = _spill(seeds.select("graph_id", "node_id").distinct(), "seen")
     for n in count(1):
         nxt = (
@@ -168,24 +173,42 @@ def untainted(nodes: DataFrame, edges: DataFrame, tainted: DataFrame) -> tuple[D
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR-5: (graph_id, node_id, component_id): least node of the weakly connected component; isolated nodes are their own.
 
-    Labels take the least of their neighbours', then jump to their label's label: rounds
-    grow with the logarithm of a component's size rather than with its length.
+    Each node points to the least of its neighbours and itself, pointers are followed to their ends, and links are
+    led over to those: what points together is one node from then on.  Each round leaves at most about half of the nodes and
+    far fewer links where they are dense, and only the first one reads all of them.
+    Meanwhile a node is a hash of 64 bits, of a seed under which no two nodes have the same.  Edges lead between the nodes given.
     """
-    links = _spill(
-        edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("graph_id", F.col("dst").alias("a"), F.col("src").alias("b"))).filter("a <> b").distinct(), "links"
-    )
-    labels = _spill(nodes.select("graph_id", "node_id", F.col("node_id").alias("c")), "labels")
+    ident = lambda n, c: F.xxhash64(F.lit(n), "graph_id", c)
+    for seed in count():
+        twice = nodes.select(ident(seed, "node_id").alias("v"), ident(seed + 1, "node_id").alias("h")).groupBy("v").agg(F.min("h").alias("l"), F.max("h").alias("m"))
+        if twice.filter("l <> m").isEmpty():
+            break
+    links = _spill(edges.filter("src <> dst").select(ident(seed, "src").alias("a"), ident(seed, "dst").alias("b")), "links")
+    pointers = []
     while True:
-        best = links.join(labels.select("graph_id", F.col("node_id").alias("b"), "c"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("node_id")).agg(F.min("c").alias("m"))
-        lower = labels.join(best, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
-        lower = _spill(lower, "lower")
-        jump = lower.select("graph_id", F.col("node_id").alias("c"), F.col("c").alias("cc"))
-        new = _spill(lower.join(jump, ["graph_id", "c"]).select("graph_id", "node_id", "was", F.least("c", "cc").alias("c")), "labels")
-        changed = not new.filter("c <> was").limit(1).isEmpty()
-        labels = new.drop("was")
-        if not changed:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = _spill(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "pointers")
+        if to.isEmpty():
             break
-    return labels.withColumnRenamed("c", "component_id")
+        while True:
+            ends = to.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+            new = _spill(to.join(ends, "c").select("v", F.col("cc").alias("c"), (F.col("cc") != F.col("c")).alias("moved")), "pointers")
+            to = new.select("v", "c")
+            if new.filter("moved").isEmpty():
+                break
+        pointers.append(to)
+        # one end is led over and made distinct before the other
+        half = links.join(to.withColumnRenamed("v", "a"), "a").select(F.col("c").alias("a"), "b").distinct()
+        led = half.join(to.select(F.col("v").alias("b"), F.col("c").alias("d")), "b").filter("a <> d")
+        links = _spill(led.select(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")).distinct(), "links")
+    # a later round knows the ends of earlier ones alone, so pointers are followed from the last round back to the first
+    root = pointers.pop() if pointers else to
+    while pointers:
+        root = pointers.pop().join(root.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c"))
+    named = nodes.select("graph_id", "node_id", ident(seed, "node_id").alias("v")).join(root, "v", "left").select("graph_id", "node_id", F.coalesce("c", "v").alias("c"))
+    named = _spill(named, "named")
+    least = named.groupBy("c").agg(F.min("node_id").alias("component_id"))
+    return named.join(least, "c").select("graph_id", "node_id", "component_id")
 
 
 def boundary(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -203,11 +226,18 @@ def graph_union(*parts: DataFrame, key: str = "node_id") -> DataFrame:
     return out.dropDuplicates(["graph_id", key])
 
 
-def initial_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+def initial_candidates(left: DataFrame, right: DataFrame, digits: int | None = None) -> DataFrame:
     """JN-2, Q-1, Q-2: pairs of nodes with the same key and their cost 1 - deg(l) / max(deg); 1 if either has no edge.
 
-    Both sides are (node_id, key, degree).
+    Both sides are (node_id, key, degree).  Costs are rounded to ``digits``, if given.
     """
-    pairs = left.select(F.col("node_id").alias("l"), "key", F.col("degree").alias("ld")).join(right.select(F.col("node_id").alias("r"), "key", F.col("degree").alias("rd")), "key")
     cost = F.when((F.col("ld") == 0) | (F.col("rd") == 0), F.lit(1.0)).otherwise(1 - F.col("ld") / F.greatest("ld", "rd"))
-    return pairs.select("l", "r", "key", cost.alias("cost"))
+    if digits is not None:
+        cost = F.round(cost, digits)
+    l = left.select(F.col("node_id").alias("l"), "key", F.col("degree").alias("ld"))
+    r = right.select(F.col("node_id").alias("r"), "key", F.col("degree").alias("rd"))
+    # a cost is that of two degrees, of which there are few: each is told once, and the pairs themselves are joins alone
+    degrees = l.select("key", "ld").distinct().join(r.select("key", "rd").distinct(), "key").select("key", "ld", "rd", cost.alias("cost"))
+    costs = degrees.groupBy("key", "rd").agg(F.collect_list(F.struct("ld", "cost")).alias("costs"))
+    priced = r.join(costs, ["key", "rd"]).select("key", "r", F.inline("costs"))
+    return tiles.join(l, priced, ["key", "ld"]).select("l", "r", "key", "cost")

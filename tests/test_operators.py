@@ -1,3 +1,4 @@
+import random
 from itertools import permutations
 
 import numpy as np
@@ -133,3 +134,28 @@ def test_condense_traces(spark):
     rows = [(0, 1, ["a", "b", "c"]), (0, 2, ["a", "b", "c"]), (0, 3, ["x", "y", "z"]), (1, 4, ["a"])]
     out = similarity.condense_traces(spark.createDataFrame(rows, "entry long, trace long, codes array<string>"), "entry", "trace", "codes")
     assert sorted(tuple(r) for r in out.collect()) == [(0, 1, 2), (0, 3, 1), (1, 4, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_paths_and_stars(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    names = [f"{i:04d}" for i in range(300)]
+    rng.shuffle(names)
+    links = [(names[i], names[i + 1]) for i in range(120)] + [(names[150], names[i]) for i in range(151, 250)] + [(names[260], names[260])]
+    parent = {x: x for x in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    made = []
+    spill = graph._spill
+    monkeypatch.setattr(graph, "_spill", lambda df, label: made.append(label) or spill(df, label))
+    nodes = spark.createDataFrame([("g", x) for x in names], "graph_id string, node_id string")
+    found = graph.weak_components(nodes, spark.createDataFrame([("g", *x) for x in links], "graph_id string, src string, dst string"))
+    assert {r["node_id"]: r["component_id"] for r in found.collect()} == {x: root(x) for x in names}
+    assert made.count("links") < 10  # the links shrink from round to round
