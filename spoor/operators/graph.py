@@ -6,9 +6,11 @@ nodes(graph_id, node_id, kind, label) and edges(graph_id, src, dst, kind).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import partial
 from itertools import count, permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.operators import tiles
@@ -170,6 +172,15 @@ def untainted(nodes: DataFrame, edges: DataFrame, tainted: DataFrame) -> tuple[D
     return left, inner
 
 
+def identity(nodes: DataFrame) -> Callable[[str], Column]:
+    """What makes a number of the node that a column names: a hash of 64 bits, of a seed under which no two of the nodes have the same."""
+    ident = lambda n, c: F.xxhash64(F.lit(n), "graph_id", c)
+    for seed in count():
+        twice = nodes.select(ident(seed, "node_id").alias("v"), ident(seed + 1, "node_id").alias("h")).groupBy("v").agg(F.min("h").alias("l"), F.max("h").alias("m"))
+        if twice.filter("l <> m").isEmpty():
+            return partial(ident, seed)
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR-5: (graph_id, node_id, component_id): least node of the weakly connected component; isolated nodes are their own.
 
@@ -178,12 +189,8 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     far fewer links where they are dense, and only the first one reads all of them.
     Meanwhile a node is a hash of 64 bits, of a seed under which no two nodes have the same.  Edges lead between the nodes given.
     """
-    ident = lambda n, c: F.xxhash64(F.lit(n), "graph_id", c)
-    for seed in count():
-        twice = nodes.select(ident(seed, "node_id").alias("v"), ident(seed + 1, "node_id").alias("h")).groupBy("v").agg(F.min("h").alias("l"), F.max("h").alias("m"))
-        if twice.filter("l <> m").isEmpty():
-            break
-    links = _spill(edges.filter("src <> dst").select(ident(seed, "src").alias("a"), ident(seed, "dst").alias("b")), "links")
+    ident = identity(nodes)
+    links = _spill(edges.filter("src <> dst").select(ident("src").alias("a"), ident("dst").alias("b")), "links")
     pointers = []
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -205,7 +212,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     root = pointers.pop() if pointers else to
     while pointers:
         root = pointers.pop().join(root.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c"))
-    named = nodes.select("graph_id", "node_id", ident(seed, "node_id").alias("v")).join(root, "v", "left").select("graph_id", "node_id", F.coalesce("c", "v").alias("c"))
+    named = nodes.select("graph_id", "node_id", ident("node_id").alias("v")).join(root, "v", "left").select("graph_id", "node_id", F.coalesce("c", "v").alias("c"))
     named = _spill(named, "named")
     least = named.groupBy("c").agg(F.min("node_id").alias("component_id"))
     return named.join(least, "c").select("graph_id", "node_id", "component_id")

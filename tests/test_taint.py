@@ -80,3 +80,23 @@ def test_no_seeds_and_no_nodes(spark):
     for nodes_, edges_ in ((n, e), (n.filter("false"), e.filter("false"))):
         tainted, walked, _ = taint.by_seed(nodes_, graph.steps(spark, nodes_, edges_), n.filter("false"))
         assert tainted.isEmpty() and walked.isEmpty()
+
+
+def test_moves_of_each_seed_are_counted_as_they_are_walked(spark):
+    nodes, edges = made(7)
+    n, e = spark.createDataFrame(nodes, "graph_id int, node_id string, kind string"), spark.createDataFrame(edges, "graph_id int, src string, dst string, kind string")
+    moves, seeds = graph.steps(spark, n, e), n.filter("kind in ('VALUE', 'OBJECT')")
+    counts, rounds = taint.walk_counts(n, moves, seeds)
+    _, walked, _ = taint.by_seed(n, moves, seeds)
+    want = {tuple(r) for r in walked.groupBy("graph_id", "seed", "kind").count().collect()}
+    assert want and {tuple(r) for r in counts.collect()} == want and counts.count() == len(want)
+
+
+def test_a_graph_without_cycles_takes_no_rounds_of_labels(spark):
+    """Layers of hubs: names would go to and fro between them in every round."""
+    n = spark.range(60).select(F.lit("g").alias("graph_id"), F.concat(F.lit("x"), "id").alias("node_id"), F.lit("VALUE").alias("kind"))
+    edges = [("g", f"x{a}", f"x{b}", "TRANSFORMATION") for a in range(48) for b in range(12 * (a // 12) + 12, 12 * (a // 12) + 24) if (a + b) % 5]
+    e = spark.createDataFrame(edges, "graph_id string, src string, dst string, kind string")
+    tainted, _, rounds = taint.by_seed(n, graph.steps(spark, n, e), n)
+    assert not [x for x in rounds.log if x.get("passes")] and sum(x["trimmed"] for x in rounds.log if x["kind"] == "components") == len(edges)
+    assert tainted.filter("seed = 'x0'").count() == 1 + sum(b % 5 != 0 for b in range(12, 24)) + 36
