@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def hungarian(costs: np.ndarray) -> np.ndarray:
@@ -67,6 +71,73 @@ def greedy(costs: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Cells of the matrices that are solved together.
+CELLS_AT_ONCE = 2_000_000
+
+
+def hungarian_each(costs: np.ndarray) -> np.ndarray:
+    """``hungarian`` of each of many matrices of one shape, step by step for all of them at once; a matrix has the assignment it has by itself."""
+    c = np.asarray(costs, float)
+    if not np.isfinite(c).all():
+        raise ValueError("costs must be finite")
+    many, rows, cols = c.shape
+    if many == 1:
+        return hungarian(c[0])[None]
+    out = np.where(np.arange(rows) < cols, np.arange(rows), -1)[None].repeat(many, 0)
+    flat = c.reshape(many, -1)
+    uneven = np.flatnonzero(flat.min(1) != flat.max(1)) if flat.size else np.zeros(0, int)
+    if not len(uneven):
+        return out
+    n, b = max(rows, cols), len(uneven)
+    padded = np.zeros((b, n, n))
+    padded[:, :rows, :cols] = c[uneven]
+    u, v, match = np.zeros((b, n + 1)), np.zeros((b, n + 1)), np.zeros((b, n + 1), int)
+    for i in range(1, n + 1):
+        match[:, 0] = i
+        j = np.zeros(b, int)
+        least, back, used = np.full((b, n + 1), np.inf), np.zeros((b, n + 1), int), np.zeros((b, n + 1), bool)
+        on = np.arange(b)  # those whose path has not come to a free column
+        while len(on):
+            used[on, j[on]] = True
+            row = match[on, j[on]]
+            free = ~used[on, 1:]
+            reduced = padded[on, row - 1] - u[on, row][:, None] - v[on, 1:]
+            l = least[on, 1:]
+            better = free & (reduced < l)
+            l = np.where(better, reduced, l)
+            back[on, 1:] = np.where(better, j[on][:, None], back[on, 1:])
+            k = np.where(free, l, np.inf).argmin(1)
+            delta = l[np.arange(len(on)), k]
+            least[on, 1:] = np.where(free, l - delta[:, None], l)
+            taken = used[on]
+            g, at = np.nonzero(taken)
+            u[on[g], match[on[g], at]] += delta[g]
+            v[on] -= np.where(taken, delta[:, None], 0.0)
+            j[on] = k + 1
+            on = on[match[on, j[on]] != 0]
+        on = np.flatnonzero(j)
+        while len(on):
+            match[on, j[on]] = match[on, back[on, j[on]]]
+            j[on] = back[on, j[on]]
+            on = on[j[on] != 0]
+    solved = np.full((b, n), -1)
+    g, at = np.nonzero(match[:, 1:])
+    solved[g, match[:, 1:][g, at] - 1] = at
+    solved = solved[:, :rows]
+    out[uneven] = np.where(solved < cols, solved, -1)
+    return out
+
+
+def greedy_each(costs: np.ndarray) -> np.ndarray:
+    """``greedy`` of each of many matrices of one shape."""
+    c = np.array(costs, float)
+    out, every = np.full(c.shape[:2], -1), np.arange(len(c))
+    for i in range(min(c.shape[1:])):
+        out[:, i] = c[:, i].argmin(1)
+        c[every, :, out[:, i]] = np.inf
+    return out
+
+
 def matches(costs: np.ndarray, threshold: float = 0.0) -> list[tuple[int, int, float]]:
     """SIM-3: (row, column, similarity) of assigned pairs at or above the threshold."""
     if not np.size(costs):
@@ -82,22 +153,53 @@ def assign(costs: DataFrame, group: str, row: str, col: str, cost: str, method:
     """
     from pyspark.sql import functions as F
 
-    solve = {"optimal": hungarian, "greedy": greedy}[method]
+    solve = {"optimal": hungarian_each, "greedy": greedy_each}[method]
     packed = costs.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), F.col(col).alias("c"), F.col(cost).cast("double").alias("v")))).alias("cells"))
     t = {f.name: f.dataType.simpleString() for f in costs.schema}
+    schema = f"{group} {t[group]}, {row} {t[row]}, {col} {t[col]}, similarity double"
+    target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for key, cells in zip(pdf[group], pdf["cells"]):
-                rows, cols = sorted({x["r"] for x in cells}), sorted({x["c"] for x in cells})
-                if len(cells) != len(rows) * len(cols):
-                    raise ValueError(f"the costs of {key} are not a full matrix")
-                matrix = np.array([x["v"] for x in cells]).reshape(len(rows), len(cols))
-                out += [(key, rows[i], cols[j], 1 - matrix[i, j]) for i, j in enumerate(solve(matrix)) if j >= 0 and 1 - matrix[i, j] >= threshold]
-            yield pd.DataFrame(out, columns=[group, row, col, "similarity"])
-
-    return packed.mapInPandas(run, f"{group} {t[group]}, {row} {t[row]}, {col} {t[col]}, similarity double")
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            cells = lists.flatten()
+            r, c, v = (cells.field(i) for i in range(3))
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            # cells come by row, so a group's columns are as many as its first row has cells
+            rows_differ = np.ones(len(r), bool)
+            code = r.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            rows_differ[1:] = code[1:] != code[:-1]
+            rows_differ[starts] = True
+            height = np.add.reduceat(rows_differ.astype(int), starts) if len(starts) else starts
+            width = sizes // np.maximum(height, 1)
+            ccode = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            costs_ = v.to_numpy(zero_copy_only=False)
+            parts = []
+            for n, m in sorted(set(zip(height.tolist(), width.tolist()))):
+                at = np.flatnonzero((height == n) & (width == m))
+                full = bool((sizes[at] == n * m).all())
+                if full:
+                    cell = starts[at][:, None] + np.arange(n * m)
+                    columns_ = ccode[cell].reshape(-1, n, m)
+                    full = (columns_ == columns_[:, :1]).all() and rows_differ[cell[:, ::m]].all()
+                if not full:
+                    raise ValueError(f"the costs of {keys[int(at[0])].as_py()} or of another group of {n} rows are not a full matrix")
+                for some in np.array_split(np.arange(len(at)), max(1, -(-len(at) * n * m // CELLS_AT_ONCE))):
+                    matrix = costs_[cell[some]].reshape(-1, n, m)
+                    met = solve(matrix)
+                    g, i = np.nonzero(met >= 0)
+                    j = met[g, i]
+                    sim = 1 - matrix[g, i, j]
+                    kept = sim >= threshold
+                    g, i, j, sim = g[kept], i[kept], j[kept], sim[kept]
+                    parts.append((at[some][g], cell[some][g, i * m], cell[some][g, j], sim))
+            if parts:
+                g, ri, ci, sim = (np.concatenate(x) for x in zip(*parts))
+                columns = [keys.take(pa.array(g)), r.take(pa.array(ri)), c.take(pa.array(ci)), pa.array(sim)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, target)], schema=target)
+
+    return packed.mapInArrow(run, schema)
 
 
 class Graph:

@@ -1,5 +1,6 @@
 """Pairs of few keys with many rows: tiles, pairs told once, and work dealt over tasks."""
 
+import numpy as np
 import pytest
 
 from spoor.operators import scores, similarity, tiles
@@ -44,3 +45,21 @@ def test_stars_of_equal_degrees_need_no_matrix(monkeypatch):
 
 def test_class_files_are_made_in_many_tasks(spark, sf):
     assert deep._classes(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_many_assignments_at_once_are_those_of_each(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (1, 4), (4, 1), (3, 3), (3, 5), (5, 3)):
+        for costs in (rng.random((40, *shape)), rng.integers(0, 3, (40, *shape)) / 4):
+            assert (similarity.hungarian_each(costs) == [similarity.hungarian(c) for c in costs]).all()
+            assert (similarity.greedy_each(costs) == [similarity.greedy(c) for c in costs]).all()
+    rows = [(g, f"r{i}", j, float(x)) for g in range(30) for (i, j), x in np.ndenumerate(rng.random((1 + g % 3, 1 + g % 4)))]
+    found = similarity.assign(spark.createDataFrame(rows, "g int, i string, j bigint, cost double"), "g", "i", "j", "cost", threshold=0.2)
+    want = []
+    for g in range(30):
+        matrix = np.array([x for k, *_, x in rows if k == g]).reshape(1 + g % 3, 1 + g % 4)
+        want += [(g, f"r{i}", j, s) for i, j, s in similarity.matches(matrix, 0.2)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    for bad in ([(1, "a", 1, 0.5), (1, "a", 2, 0.5), (1, "b", 1, 0.5)], [(1, "a", 1, 0.5), (1, "a", 2, 0.1), (1, "b", 1, 0.5), (1, "b", 3, 0.2)]):
+        with pytest.raises(Exception, match="not a full matrix"):
+            similarity.assign(spark.createDataFrame(bad, "g int, i string, j bigint, cost double"), "g", "i", "j", "cost").collect()
