@@ -10,9 +10,25 @@ from spoor.operators.features import arff_rows, indexed_names, zero_filled_avera
 ARTEFACTS = ("execgraph", "taint", "scs", "heap", "assertions")
 
 
-def traces(records: DataFrame, path: str) -> None:
-    """SNK-1: one directory for each project and entry point; slashes of a signature become dots."""
-    records.withColumn("entry_point", F.translate("entry_point", "/", ".")).repartition("project_id", "entry_point").sortWithinPartitions("trace_id", "seq").write.mode("overwrite").partitionBy("project_id", "entry_point").parquet(path)
+#: Records of a file of traces, about.
+FILE = 200_000
+
+
+def traces(records: DataFrame, path: str, size: int = FILE) -> None:
+    """SNK-1: one directory for each project and entry point; slashes of a signature become dots.
+
+    A directory of many records has several files of about ``size``, each written by a task of its own; a trace is in one of them, in order.
+    """
+    key = ["project_id", "entry_point"]
+    named = records.withColumn("entry_point", F.translate("entry_point", "/", "."))
+    files = named.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.ceil(F.count("*") / size).cast("int").alias("_files")).filter("_files > 1")
+    many = files.agg(F.sum("_files")).first()[0] or 0
+    same = F.col("project_id").eqNullSafe(F.col("_project_id")) & F.col("entry_point").eqNullSafe(F.col("_entry_point"))
+    file = F.pmod(F.xxhash64("trace_id"), F.coalesce("_files", F.lit(1))).cast("int")
+    # only directories of more than one file are told, so they are fewer than records over ``size``
+    dealt = named.join(F.broadcast(files), same, "left").withColumn("_file", file).drop("_files", "_project_id", "_entry_point")
+    tasks = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * many)
+    dealt.repartition(tasks, *key, "_file").sortWithinPartitions(*key, "trace_id", "seq").drop("_file").write.mode("overwrite").partitionBy(*key).parquet(path)
 
 
 def artefacts(tables: dict[str, DataFrame], weights: DataFrame, path: str) -> None:

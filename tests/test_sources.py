@@ -84,3 +84,21 @@ def test_declarations_keep_the_last(spark):
     assert {tuple(r) for r in types.collect()} == {("T", "class", "b"), ("U", "class", "a")}
     assert [tuple(r) for r in methods.collect()] == [("T.m()V", "T", "m", "b")]
     assert [tuple(r) for r in fields.collect()] == [("T.f", "T", "J", "b")]
+
+
+def test_traces_of_one_entry_point_go_to_files_of_some_size(spark, tmp_path):
+    rows = [(p, e, f"t{t}", s) for p, e, n in (("a", "L/x;", 12), ("a", "L/y;", 1), (None, "L/x;", 6)) for t in range(n) for s in range(10)]
+    df = spark.createDataFrame(rows, "project_id string, entry_point string, trace_id string, seq bigint")
+    sinks.traces(df, str(tmp_path / "out"), size=20)
+    back = readers.traces(spark, str(tmp_path / "out"), "seq bigint").selectExpr("project_id", "entry_point", "trace_id", "seq", "_metadata.file_path file", "_metadata.row_index at")
+    assert sorted(map(str, (tuple(r)[:4] for r in back.collect()))) == sorted(str((p, e.replace("/", "."), t, s)) for p, e, t, s in rows)
+    files = back.groupBy("project_id", "entry_point").agg({"file": "approx_count_distinct"})
+    of = {tuple(r)[:2]: r[2] for r in files.collect()}
+    assert of["a", "L.x;"] > 1 and of["a", "L.y;"] == 1 and of[None, "L.x;"] > 1
+    traces = back.groupBy("project_id", "entry_point", "trace_id").agg({"file": "approx_count_distinct"})
+    assert {r[3] for r in traces.collect()} == {1}
+    last = {}
+    for r in back.orderBy("file", "at").collect():
+        key = r.project_id, r.entry_point, r.trace_id
+        assert last.get(key, -1) < r.seq
+        last[key] = r.seq
