@@ -25,6 +25,8 @@ from spoor.operators.rounds import Rounds
 
 #: Candidates of one pair that one task cuts into blocks, and possible pairs of a block that one task solves.
 AT_ONCE, CELLS = 100_000, 1_000_000
+#: Nodes and edges of all pairs of one left graph that a bucket's task holds.
+HELD = 1_000_000
 #: Gains are whole numbers of this fraction in an auction, which is exact for them.
 UNITS = 1_000_000
 PAIR = ["lhs", "rhs"]
@@ -61,11 +63,12 @@ def _solve(rows: list[str], columns: list[str], cost: dict[tuple[str, str], floa
     return [(rows[i], columns[j], s) for i, j, s in similarity.matches(matrix, threshold) if s > 0]
 
 
-def _in_tasks(candidates: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Assignments of groups that one task holds each, one after another, cut into blocks there."""
+def _in_tasks(candidates: DataFrame, keys: list[str], threshold: float, placed: bool = False) -> DataFrame:
+    """Assignments of groups that one task holds each, one after another, cut into blocks there; ``placed`` groups are each in one task already."""
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    dealt = candidates.select(*keys, "l", "r", "cost").repartition(*keys).sortWithinPartitions(*keys)
-    schema = f"lhs {kinds['lhs']}, rhs {kinds['rhs']}, l string, r string, sim double"
+    rows = candidates.select(*keys, "l", "r", "cost")
+    dealt = (rows if placed else rows.repartition(*keys)).sortWithinPartitions(*keys)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*PAIR, "l", "r")) + ", sim double"
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +99,19 @@ def _in_tasks(candidates: DataFrame, keys: list[str], threshold: float) -> DataF
     return dealt.mapInArrow(run, schema)
 
 
-def assign(candidates: DataFrame, threshold: float, rounds: Rounds, at_once: int = AT_ONCE, cells: int = CELLS, units: int = UNITS) -> DataFrame:
-    """(lhs, rhs, l, r, sim): least-cost assignments of candidates (lhs, rhs, l, r, cost); what is no candidate costs 1 and is not matched."""
-    candidates = rounds.keep(candidates.filter("cost < 1").select(*PAIR, "l", "r", "cost"), "candidates")
+def assign(candidates: DataFrame, threshold: float, rounds: Rounds, at_once: int = AT_ONCE, cells: int = CELLS, units: int = UNITS, by: str | None = None) -> DataFrame:
+    """(lhs, rhs, l, r, sim): least-cost assignments of candidates (lhs, rhs, l, r, cost); what is no candidate costs 1 and is not matched.
+
+    With ``by`` candidates and assignments are kept in buckets by that column.
+    """
+    candidates = rounds.keep(candidates.filter("cost < 1").select(*PAIR, "l", "r", "cost"), "candidates", by)
     many = candidates.groupBy(*PAIR).count().filter(F.col("count") > at_once).select(*PAIR)
     many = rounds.keep(many, "many")
     if many.isEmpty():
-        return rounds.keep(_in_tasks(candidates, PAIR, threshold), "matched")
+        # a candidate's bucket is one task's, and so are its assignments
+        out = rounds.keep(_in_tasks(candidates, PAIR, threshold, by is not None), "matched", by, placed=True)
+        rounds.drop(candidates, many)
+        return out
     out = _in_tasks(candidates.join(many, PAIR, "left_anti"), PAIR, threshold)
     large = candidates.join(many, PAIR, "left_semi").withColumn("graph_id", F.struct(*PAIR))
     ends = large.select("graph_id", F.explode(F.array(F.concat(F.lit("l"), "l"), F.concat(F.lit("r"), "r"))).alias("node_id")).distinct()
@@ -116,7 +125,7 @@ def assign(candidates: DataFrame, threshold: float, rounds: Rounds, at_once: int
     if not wide.isEmpty():
         won = auction(named.join(wide, key, "left_semi"), rounds, units)
         out = out.unionByName(won.filter(F.col("sim") >= threshold).select(*PAIR, "l", "r", "sim"))
-    return rounds.keep(out, "matched")
+    return rounds.keep(out, "matched", by)
 
 
 def auction(candidates: DataFrame, rounds: Rounds, units: int = UNITS, shrink: int = 5) -> DataFrame:
@@ -167,34 +176,70 @@ def auction(candidates: DataFrame, rounds: Rounds, units: int = UNITS, shrink: i
         rounds.drop(prices)
         prices = new
     met = prices.select(*key, F.col("owner").alias("i"), "j").filter("i LIKE 'l%' AND j LIKE 'r%'")
-    named = met.select(*key, F.expr("substring(i, 2)").alias("l"), F.expr("substring(j, 2)").alias("r"))
+    kinds = {c: candidates.schema[c].dataType for c in ("l", "r")}
+    named = met.select(*key, F.expr("substring(i, 2)").cast(kinds["l"]).alias("l"), F.expr("substring(j, 2)").cast(kinds["r"]).alias("r"))
     out = rounds.keep(named.join(candidates, [*key, "l", "r"]).select(*key, "l", "r", (1 - F.col("cost")).alias("sim")).filter("sim > 0"), "won")
     rounds.drop(arcs, prices)
     return out
 
 
-def compare_tables(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, residual: float = 0.7, at_once: int = AT_ONCE, cells: int = CELLS) -> tuple[DataFrame, DataFrame, Rounds]:
+def compare_tables(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, residual: float = 0.7, at_once: int = AT_ONCE, cells: int = CELLS, held: int = HELD) -> tuple[DataFrame, DataFrame, Rounds]:
     """SIM-4, SIM-4a for (lhs, rhs) pairs of graph ids: (scores, mapping, rounds).
 
-    scores is (lhs, rhs, union_sim, lr_sim, rl_sim, l_disjoint, r_disjoint), mapping (lhs, rhs, l, r).
+    scores is (lhs, rhs, union_sim, lr_sim, rl_sim, l_disjoint, r_disjoint, mapped), mapping (lhs, rhs, l, r).
     nodes is (graph_id, node_id, kind, label[, type]).  The steps are those of ``similarity.compare``, which
     it equals where assignments are solved in tasks; an auction may choose another assignment of the same cost.
+
+    Where all pairs of a left graph have up to ``held`` nodes and edges, their tables are kept in buckets of left graphs and nodes are
+    numbers in the order of their names: rounds shuffle nothing but the candidates of what is left over.  Others are dealt by node, and
+    shuffled in each round.
     """
     rounds = Rounds(pairs.sparkSession, "compare")
-    pairs = rounds.keep(pairs.select(*PAIR).distinct(), "pairs")
+    pairs = rounds.keep(pairs.select(*PAIR).distinct(), "pairs", "lhs")
     typed = nodes if "type" in nodes.columns else nodes.withColumn("type", F.lit(None).cast("string"))
     typed = typed.select("graph_id", F.col("node_id").cast("string").alias("node_id"), "kind", F.coalesce(F.col("label").cast("string"), F.lit("None")).alias("label"), F.col("type").cast("string").alias("type"))
-    around = rounds.keep(_around(edges.select("graph_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "kind")), "around")
-    degree = around.groupBy("graph_id", "node_id").agg(F.count("*").alias("degree"))
-    own = rounds.keep(typed.join(degree, ["graph_id", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "nodes")
-    left, right = (rounds.keep(pairs.join(_side(own, s, "node_id", "kind", "label", "type", "degree"), s).withColumnRenamed(f"{s[0]}_node_id", s[0]), s) for s in PAIR)
+    edges = edges.select("graph_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "kind")
+    size = lambda df: df.groupBy("graph_id").agg(F.count("*").alias("n"))
+    sizes = rounds.keep(size(typed).unionByName(size(edges)).groupBy("graph_id").agg(F.sum("n").alias("n")), "sizes", "graph_id")
+    sized = pairs
+    for s in PAIR:
+        sized = sized.join(sizes.select(F.col("graph_id").alias(s), F.col("n").alias(f"n{s[0]}")), s, "left")
+    sized = sized.fillna(0, ["nl", "nr"])
+    large = rounds.keep(sized.groupBy("lhs").agg(F.sum(F.col("nl") + F.col("nr")).alias("n")).filter(F.col("n") > held).select("lhs"), "large")
+    if large.isEmpty():
+        scores, mapping = _compared(pairs, typed, edges, rounds, residual, at_once, cells, "lhs")
+    else:
+        wide = rounds.keep(pairs.join(large, "lhs", "left_semi"), "pairs")
+        lean = rounds.keep(pairs.join(large, "lhs", "left_anti"), "pairs", "lhs")
+        parts = []
+        for some, by in ((lean, "lhs"), (wide, None)):
+            met = rounds.keep(some.select(F.explode(F.array(*PAIR)).alias("graph_id")).distinct(), "graphs")
+            parts.append(_compared(some, typed.join(met, "graph_id", "left_semi"), edges.join(met, "graph_id", "left_semi"), rounds, residual, at_once, cells, by))
+        scores, mapping = (a.unionByName(b) for a, b in zip(*parts))
+    rounds.drop(large, sizes)
+    return scores, mapping, rounds
+
 
-    mapping = rounds.keep(pairs.select(*PAIR, F.lit("").alias("l"), F.lit("").alias("r")).filter("false"), "mapping")
+def _compared(pairs: DataFrame, typed: DataFrame, edges: DataFrame, rounds: Rounds, residual: float, at_once: int, cells: int, by: str | None) -> tuple[DataFrame, DataFrame]:
+    """(scores, mapping) of kept pairs, in buckets of left graphs unless ``by`` is None."""
+    graphs = by and "graph_id"
+    around = _around(edges)
+    degree = around.groupBy("graph_id", "node_id").agg(F.count("*").alias("degree"))
+    # a node's number in the order of names stands for it where a task may hold its graph
+    number = F.dense_rank().over(W.partitionBy("graph_id").orderBy("node_id")) if by else F.col("node_id")
+    named = rounds.keep(typed.join(degree, ["graph_id", "node_id"], "left").select("graph_id", "node_id", number.alias("v"), "kind", "label", "type", F.coalesce("degree", F.lit(0)).cast("int").alias("degree")), "nodes", graphs)
+    of = lambda end: named.select("graph_id", F.col("node_id").alias(end), F.col("v").alias(f"{end}_v"))
+    links = rounds.keep(edges.join(of("src"), ["graph_id", "src"]).join(of("dst"), ["graph_id", "dst"]).select("graph_id", F.col("src_v").alias("src"), F.col("dst_v").alias("dst"), "kind"), "links", graphs)
+    left, right = (rounds.keep(pairs.join(_side(named, s, "v", "kind", "label", "type", "degree"), s).withColumnRenamed(f"{s[0]}_v", s[0]), s, by) for s in PAIR)
+    # left edges lie beside their pairs as they are, right ones are told to their left graphs
+    told = rounds.keep(pairs.join(links.withColumnRenamed("graph_id", "rhs"), "rhs").select(*PAIR, "src", "dst", "kind"), "told", by)
+
+    mapping = rounds.keep(left.select(*PAIR, "l", F.col("l").alias("r")).filter("false"), "mapping", by)
     step = 0
 
     def take(found: DataFrame) -> None:
         nonlocal mapping
-        new = rounds.keep(mapping.unionByName(found.select(*PAIR, "l", "r")), "mapping")
+        new = rounds.keep(mapping.unionByName(found.select(*PAIR, "l", "r")), "mapping", by)
         rounds.drop(mapping)
         mapping = new
 
@@ -203,37 +248,42 @@ def compare_tables(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, residua
 
     def spread(last: DataFrame) -> None:
         nonlocal step
-        near = lambda s: around.select(F.col("graph_id").alias(s), F.col("node_id").alias(s[0]), F.col("other").alias(f"{s[0]}o"), F.col("kind").alias(f"{s[0]}k"), "out")
+        l_near = _around(links).select(F.col("graph_id").alias("lhs"), F.col("node_id").alias("l"), F.col("other").alias("lo"), F.col("kind").alias("lk"), "out")
+        r_near = _around(told.withColumn("graph_id", F.struct(*PAIR))).select("graph_id.*", F.col("node_id").alias("r"), F.col("other").alias("ro"), F.col("kind").alias("rk"), "out")
         while not last.isEmpty():
             step += 1
-            at = last.select(*PAIR, "l", "r").join(near("lhs"), ["lhs", "l"]).join(near("rhs"), ["rhs", "r", "out"]).filter(like_edges(F.col("lk"), F.col("rk")))
+            at = last.select(*PAIR, "l", "r").join(l_near, ["lhs", "l"]).join(r_near, [*PAIR, "r", "out"]).filter(like_edges(F.col("lk"), F.col("rk")))
             at = at.select(*PAIR, F.col("lo").alias("l"), F.col("ro").alias("r")).distinct()
             free = at.join(unmatched(left, "l"), [*PAIR, "l"]).join(unmatched(right, "r"), [*PAIR, "r"]).filter(like())
-            last = assign(free.withColumn("cost", F.lit(0.0)), 0.0, rounds, at_once, cells)
+            before, last = last, assign(free.withColumn("cost", F.lit(0.0)), 0.0, rounds, at_once, cells, by=by)
             rounds.note(kind="spread", round=step)
+            rounds.drop(before)
             take(last)
+        rounds.drop(last)
 
     calls = F.col("l_kind").isin("OPERATOR", "METHODCALL")
     keyed = lambda df, x: df.withColumns({"kind": F.col(f"{x}_kind"), "label": F.col(f"{x}_label")})
     same = keyed(left.filter(calls), "l").join(keyed(right, "r"), [*PAIR, "kind", "label"])
     some = (F.col("l_degree") > 0) & (F.col("r_degree") > 0)
     cost = F.when(some, 1 - F.col("l_degree") / F.greatest("l_degree", "r_degree")).otherwise(1.0)
-    first = assign(same.withColumn("cost", cost), 0.0, rounds, at_once, cells)
+    first = assign(same.withColumn("cost", cost), 0.0, rounds, at_once, cells, by=by)
     take(first)
     spread(first)
-    last = assign(leftover(unmatched(left, "l"), unmatched(right, "r")).withColumn("cost", F.lit(0.0)), residual, rounds, at_once, cells)
+    last = assign(leftover(unmatched(left, "l"), unmatched(right, "r")).withColumn("cost", F.lit(0.0)), residual, rounds, at_once, cells, by=by)
     take(last)
     spread(last)
 
-    n = own.groupBy("graph_id").agg(F.count("*").alias("n"))
+    n = named.groupBy("graph_id").agg(F.count("*").alias("n"))
     m = mapping.groupBy(*PAIR).agg(F.count("*").alias("m"))
     size = lambda s: n.select(F.col("graph_id").alias(s), F.col("n").alias(f"n{s[0]}"))
-    sized = pairs.join(size("lhs"), "lhs", "left").join(size("rhs"), "rhs", "left").join(m, PAIR, "left").fillna(0, ["nl", "nr", "m"])
+    sized = pairs.join(m, PAIR, "left").join(size("lhs"), "lhs", "left").join(size("rhs"), "rhs", "left").fillna(0, ["nl", "nr", "m"])
     share = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)  # noqa: E731  two empty graphs have nothing in common
     nl, nr, mm = F.col("nl"), F.col("nr"), F.col("m")
-    scores = rounds.keep(sized.select(*PAIR, share(2 * mm, nl + nr).alias("union_sim"), share(mm, nl).alias("lr_sim"), share(mm, nr).alias("rl_sim"), share(nl - mm, nl).alias("l_disjoint"), share(nr - mm, nr).alias("r_disjoint")), "scores")
-    rounds.close(scores, mapping)
-    return scores, mapping, rounds
+    scores = rounds.keep(sized.select(*PAIR, share(2 * mm, nl + nr).alias("union_sim"), share(mm, nl).alias("lr_sim"), share(mm, nr).alias("rl_sim"), share(nl - mm, nl).alias("l_disjoint"), share(nr - mm, nr).alias("r_disjoint"), mm.alias("mapped")), "scores")
+    rounds.drop(links, left, right, told)
+    name = lambda s: named.select(F.col("graph_id").alias(s), F.col("v").alias(s[0]), F.col("node_id").alias(f"{s[0]}_name"))
+    names = mapping.join(name("lhs"), ["lhs", "l"]).join(name("rhs"), ["rhs", "r"]).select(*PAIR, F.col("l_name").alias("l"), F.col("r_name").alias("r"))
+    return scores, (names if by else mapping)
 
 
 def leftover(left: DataFrame, right: DataFrame) -> DataFrame:
