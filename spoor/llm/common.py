@@ -6,7 +6,7 @@ import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,30 +30,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark removes the shuffle files of a query when it ends, rather than when the driver next collects its garbage.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that Spark hands to Python at once.
+AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Paths that open scratches will remove, the innermost last.
 _OPEN: list[list[str]] = []
 
 
 @contextmanager
-def cleaned(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of what is written meanwhile go with each write."""
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def cleaned(spark: SparkSession) -> AbstractContextManager[None]:
+    """The shuffle files of what is written meanwhile go with each write."""
+    return _set(spark, CLEAN, "true")
+
+
+def one_by_one(spark: SparkSession) -> AbstractContextManager[None]:
+    """What runs meanwhile hands rows to Python one at a time, for rows of many megabytes."""
+    return _set(spark, AT_ONCE, "1")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage with a copy that outlives any executor; each call has a folder of its own.
+    ``rows_a_file``, unless 0, bounds the rows of a file: writer and reader may hold all rows of a file that has few.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with cleaned(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
     if _OPEN:
         _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

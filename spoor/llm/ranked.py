@@ -4,7 +4,8 @@ Index.  Every task turns the documents it reads into shards of a bounded number
 In a shard a term's documents ascend, and dynamic programming cuts its list into blocks: of all
 ways to cut it into blocks of up to MAX_BLOCK postings it takes one that minimises the sum of
 bound errors (the block's largest impact less each posting's) and BLOCK_COST a block.  A shard
-is one row of arrays, so a search needs nothing but that row.
+is one row of arrays, so a search needs nothing but that row.  A task holds one shard at a time, whatever it
+reads: a file has one, and they reach Python one by one.
 
 Search.  WAND's test, whether the bounds of the terms at a place reach the threshold, changes only
 at block ends.  So for one item and shard the bounds of all blocks are added up over the ranges they
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import give_back, load, map_batches, running, scratch, slices, staged
+from spoor.llm.common import give_back, load, map_batches, one_by_one, running, scratch, slices, staged
 from spoor.llm.decontam import _TABLE
 from spoor.llm.words import blocks, bounds, hashes
 
 TOP = 20
 #: Postings of a shard; one document more may be above it.
 SHARD = 1 << 20
+#: Shards of a file: its writer and its reader hold all of them, as rows so few are one row group and one batch.
+SHARDS_A_FILE = 1
 #: Largest block, and what a block costs in units of the impact of bound errors.
 MAX_BLOCK, BLOCK_COST = 64, 2_000_000
 #: Lists that are cut at once.
@@ -192,7 +195,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posti
         if ids:
             yield close()
 
-    return staged(own.mapInArrow(index, schema), "index"), total
+    return staged(own.mapInArrow(index, schema), "index", SHARDS_A_FILE), total
 
 
 class Shard:
@@ -319,7 +322,8 @@ def search(shards: DataFrame, total: int, items: DataFrame, top: int = TOP) -> D
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["place", "df"])
 
-    found = shards.select("terms", "firsts").mapInArrow(frequency, "place bigint, df bigint").groupBy("place").agg(F.sum("df").alias("df")).collect()
+    with one_by_one(shards.sparkSession):
+        found = shards.select("terms", "firsts").mapInArrow(frequency, "place bigint, df bigint").groupBy("place").agg(F.sum("df").alias("df")).collect()
     weight = np.zeros(len(known), np.int64)
     for place, df in found:
         weight[place] = int(1000 * log((2 * total + 2) / (2 * df + 1)))
@@ -354,7 +358,8 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc
     queries = running(asked(items, item_col, text_col).withColumns({"all": F.lit(0).cast("bigint"), "bytes": F.size("terms").cast("bigint") * 16}), "all", ["item"], "bytes", "at", "asked")
     last = queries.agg(F.max("at")).first()[0]
     groups = range(0 if last is None else last // bytes_at_once + 1)
-    found = [staged(search(shards, total, group, top), "found") for g in groups if (group := queries.filter((F.col("at") / bytes_at_once).cast("bigint") == g)).limit(1).count()]
+    with one_by_one(docs.sparkSession):
+        found = [staged(search(shards, total, group, top), "found") for g in groups if (group := queries.filter((F.col("at") / bytes_at_once).cast("bigint") == g)).limit(1).count()]
     if not found:
         kind = shards.schema["ids"].dataType.elementType.simpleString()
         found = [docs.sparkSession.createDataFrame([], f"item bigint, doc_id {kind}, score bigint")]

@@ -100,3 +100,22 @@ def test_blocks_are_skipped():
     every[rare] += 9000 * shard.impact[n:]
     best = np.lexsort((np.arange(n), -every))[:20]
     assert set(best.tolist()) <= set(docs.tolist()) and all(every[d] == s for d, s in zip(docs, found))
+
+
+def test_a_task_holds_one_shard_at_a_time(spark, monkeypatch):
+    rng = random.Random(4)
+    docs, items = [(i, prose(rng, 4)) for i in range(6000)], [(i, prose(rng, 8)) for i in range(5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame(items, "item_id long, text string")
+    shards, _ = ranked.build(d, postings=300)
+    assert len(shards.inputFiles()) == shards.count() == 6  # as 1024 rows are indexed at once
+    read = ranked._shards
+
+    def checked(batches):
+        for batch in batches:
+            assert batch.num_rows == 1
+            yield from read([batch])
+
+    monkeypatch.setattr(ranked, "_shards", checked)
+    monkeypatch.setattr(ranked.build, "__defaults__", ("doc_id", "text", 300))
+    assert rows(ranked.ranked(d, q, top=7)) == plain(docs, items, 7)
