@@ -181,37 +181,48 @@ def identity(nodes: DataFrame) -> Callable[[str], Column]:
             return partial(ident, seed)
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GR-5: (graph_id, node_id, component_id): least node of the weakly connected component; isolated nodes are their own.
+def roots(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _spill, drop: Callable[..., None] = lambda *_: None) -> DataFrame:
+    """(v, c): the node c that stands for all that hangs together with v by written links (a, b), which ``drop`` is not told of; only nodes of links have a row.
 
     Each node points to the least of its neighbours and itself, pointers are followed to their ends, and links are
     led over to those: what points together is one node from then on.  Each round leaves at most about half of the nodes and
     far fewer links where they are dense, and only the first one reads all of them.
-    Meanwhile a node is a hash of 64 bits, of a seed under which no two nodes have the same.  Edges lead between the nodes given.
     """
-    ident = identity(nodes)
-    links = _spill(edges.filter("src <> dst").select(ident("src").alias("a"), ident("dst").alias("b")), "links")
-    pointers = []
+    pointers, given = [], links
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = _spill(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "pointers")
+        to = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "pointers")
         if to.isEmpty():
             break
         while True:
             ends = to.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-            new = _spill(to.join(ends, "c").select("v", F.col("cc").alias("c"), (F.col("cc") != F.col("c")).alias("moved")), "pointers")
-            to = new.select("v", "c")
-            if new.filter("moved").isEmpty():
+            new = keep(to.join(ends, "c").select("v", F.col("cc").alias("c"), (F.col("cc") != F.col("c")).alias("moved")), "pointers")
+            drop(to)
+            to = new
+            if to.filter("moved").isEmpty():
                 break
         pointers.append(to)
         # one end is led over and made distinct before the other
-        half = links.join(to.withColumnRenamed("v", "a"), "a").select(F.col("c").alias("a"), "b").distinct()
+        half = links.join(to.select(F.col("v").alias("a"), "c"), "a").select(F.col("c").alias("a"), "b").distinct()
         led = half.join(to.select(F.col("v").alias("b"), F.col("c").alias("d")), "b").filter("a <> d")
-        links = _spill(led.select(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")).distinct(), "links")
+        fewer = keep(led.select(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")).distinct(), "links")
+        if links is not given:
+            drop(links)
+        links = fewer
     # a later round knows the ends of earlier ones alone, so pointers are followed from the last round back to the first
-    root = pointers.pop() if pointers else to
+    root = (pointers.pop() if pointers else to).select("v", "c")
     while pointers:
         root = pointers.pop().join(root.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c"))
+    return root
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GR-5: (graph_id, node_id, component_id): least node of the weakly connected component; isolated nodes are their own.
+
+    Meanwhile a node is a hash of 64 bits, of a seed under which no two nodes have the same.  Edges lead between the nodes given.
+    """
+    ident = identity(nodes)
+    root = roots(_spill(edges.filter("src <> dst").select(ident("src").alias("a"), ident("dst").alias("b")), "links"))
     named = nodes.select("graph_id", "node_id", ident("node_id").alias("v")).join(root, "v", "left").select("graph_id", "node_id", F.coalesce("c", "v").alias("c"))
     named = _spill(named, "named")
     least = named.groupBy("c").agg(F.min("node_id").alias("component_id"))

@@ -1,7 +1,7 @@
 """Taint for each input by itself (GR-3, GR-4), all graphs together.
 
 What a seed reaches depends on its strongly connected component alone.  So components are found
-first: what nothing leads to or what leads nowhere is trimmed, the rest falls apart by rounds of forward and backward labels.
+first: nodes that lead to one another directly are one, what nothing leads to or what leads nowhere is trimmed, the rest falls apart by rounds of forward and backward labels.
 Then each seed is one bit of a block, and blocks are handed down the condensed graph until none gains a bit.  A seed
 meets the nodes and moves it taints only in the last join.  Meanwhile a node is a hash of 64 bits (``graph.identity``).
 """
@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoor.operators.graph import identity
+from spoor.operators.graph import identity, roots
 from spoor.operators.rounds import Rounds
 
 #: Seeds of a block: the bits of a long that is never negative.
@@ -42,8 +42,31 @@ def _trimmed(links: DataFrame, rounds: Rounds) -> DataFrame:
     return links
 
 
-def _cycles(links: DataFrame, rounds: Rounds) -> list[DataFrame]:
-    """Tables (v, c): components c of nodes v; a node in none of them is a component of its own.
+def _cycles(links: DataFrame, rounds: Rounds) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (v, c): components c of nodes v; a node in none of them is a component of its own.  And the links (a, b) between components.
+
+    Links that go both ways hang together as they would without a way, so their ends are one node before others are looked at.
+    """
+    way = F.when(F.col("a") < F.col("b"), 1).otherwise(2)
+    pairs = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bit_or(way).alias("ways"))
+    pairs = rounds.keep(pairs, "pairs")
+    mutual = rounds.keep(roots(pairs.filter("ways = 3").select("a", "b"), rounds.keep, rounds.drop), "mutual")
+    # the others go one way each
+    one = pairs.filter("ways <> 3").select(F.expr("IF(ways = 1, a, b)").alias("a"), F.expr("IF(ways = 1, b, a)").alias("b"))
+    led = rounds.keep(_named(_named(one, [mutual], "a"), [mutual], "b").filter("a <> b").select("a", "b").distinct(), "links")
+    rounds.drop(pairs)
+    found = _rounds_of_labels(led, rounds)
+    if not found:
+        return [mutual], led
+    condensed = rounds.keep(_named(_named(led, found, "a"), found, "b").filter("a <> b").select("a", "b").distinct(), "links")
+    top = rounds.keep(_named(mutual, found, "c"), "mutual")
+    rest = [rounds.keep(t.join(mutual, "v", "left_anti"), "found") for t in found]
+    rounds.drop(led, mutual, *found)
+    return [top, *rest], condensed
+
+
+def _rounds_of_labels(links: DataFrame, rounds: Rounds) -> list[DataFrame]:
+    """Tables (v, c) as ``_cycles`` gives them, by rounds over all links, which stay.
 
     In a round each node takes the least name among the nodes that reach it and the least among
     those that it reaches, itself included.  A node for which both are the same is in the component
@@ -52,7 +75,7 @@ def _cycles(links: DataFrame, rounds: Rounds) -> list[DataFrame]:
     """
     none = F.lit(None).cast("bigint")
     found: list[DataFrame] = []
-    links = _trimmed(links, rounds)
+    given, links = links, _trimmed(links, rounds)
     step = 0
     while not links.isEmpty():
         step += 1
@@ -78,11 +101,12 @@ def _cycles(links: DataFrame, rounds: Rounds) -> list[DataFrame]:
         s, d = (rest.select(F.col("v").alias(x), F.col("f").alias(f"{x}_f"), F.col("b").alias(f"{x}_b")) for x in ("a", "b"))
         fewer = rounds.keep(links.join(s, "a").join(d, "b").filter("a_f = b_f AND a_b = b_b").select("a", "b"), "links")
         rounds.note(kind="components", round=step, passes=passes)
-        rounds.drop(labels, links)
+        rounds.drop(labels, *(() if links is given else (links,)))
         links = _trimmed(fewer, rounds)
         if links is not fewer:
             rounds.drop(fewer)
-    rounds.drop(links)
+    if links is not given:
+        rounds.drop(links)
     return found
 
 
@@ -101,7 +125,8 @@ def _links(moves: DataFrame, ident: Callable[[str], Column]) -> DataFrame:
 def strong_components(nodes: DataFrame, moves: DataFrame, rounds: Rounds) -> DataFrame:
     """(graph_id, node_id, component) of every node; a component's name is its least node."""
     ident = identity(nodes)
-    found = _cycles(_links(moves, ident), rounds)
+    found, links = _cycles(_links(moves, ident), rounds)
+    rounds.drop(links)
     own = _named(nodes.select("graph_id", "node_id", ident("node_id").alias("c")).distinct(), found, "c")
     own = rounds.keep(own, "named")
     rounds.drop(*found)
@@ -119,7 +144,10 @@ def seed_blocks(seeds: DataFrame, rounds: Rounds) -> DataFrame:
 
 
 class Taint(NamedTuple):
-    """What is known when all bits are handed down: nodes have ``ident``, components ``found`` and seeds ``blocks``; ``bits`` is (c, block, bits)."""
+    """What is known when all bits are handed down: nodes have ``ident``, components ``found`` and seeds ``blocks``; ``bits`` is (c, block, bits).
+
+    Where ends were not asked for ``made`` is (c, kind, n), how many moves start in a component.
+    """
 
     ident: Callable[[str], Column]
     found: list[DataFrame]
@@ -127,6 +155,7 @@ class Taint(NamedTuple):
     blocks: DataFrame
     bits: DataFrame
     rounds: Rounds
+    made: DataFrame | None = None
 
 
 def held(first: DataFrame, links: DataFrame, rounds: Rounds) -> DataFrame:
@@ -147,24 +176,30 @@ def held(first: DataFrame, links: DataFrame, rounds: Rounds) -> DataFrame:
         seen = new
 
 
-def spread(nodes: DataFrame, moves: DataFrame, seeds: DataFrame, ends: bool = True) -> Taint:
-    """Taint of every seed; without ``ends`` only of nodes that some move starts at."""
-    rounds = Rounds(nodes.sparkSession, "taint")
+def spread(nodes: DataFrame, moves: DataFrame, seeds: DataFrame, ends: bool = True, ident: Callable[[str], Column] | None = None, rounds: Rounds | None = None) -> Taint:
+    """Taint of every seed; without ``ends`` only of nodes that some move starts at.
+
+    ``ident`` makes the node in a column a number of its own among all graphs; one is found unless it is given.
+    """
+    rounds = rounds or Rounds(nodes.sparkSession, "taint")
     moves = rounds.keep(moves.select("graph_id", "src", "dst", "kind").distinct(), "moves")
-    ident = identity(nodes)
+    ident = ident or identity(nodes)
     blocks = seed_blocks(seeds, rounds)
-    found = _cycles(_links(moves, ident), rounds)
-    links = _links(moves, ident)
+    found, links = _cycles(_links(moves, ident), rounds)
+    made = None
     if not ends:
-        links = links.join(moves.select(ident("src").alias("b")).distinct(), "b", "left_semi")  # loops are moves too
-    if found or not ends:
-        links = rounds.keep(_named(_named(links, found, "a"), found, "b").filter("a <> b").select("a", "b").distinct(), "condensed")
+        # by node before by component
+        by_node = moves.groupBy("graph_id", "src", "kind").agg(F.count("*").alias("n")).select(ident("src").alias("c"), "kind", "n")
+        made = rounds.keep(_named(by_node, found, "c").groupBy("c", "kind").agg(F.sum("n").alias("n")), "made")
+        rest = rounds.keep(links.join(made.select(F.col("c").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "condensed")
+        rounds.drop(links)
+        links = rest
     known = nodes.select("graph_id", F.col("node_id").alias("seed"))
     at = blocks.join(known, ["graph_id", "seed"], "left_semi").select(ident("seed").alias("c"), "block", "bit")
     first = _named(at, found, "c").groupBy("c", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     bits = held(first, links, rounds)
     rounds.drop(links)
-    return Taint(ident, found, moves, blocks, bits, rounds)
+    return Taint(ident, found, moves, blocks, bits, rounds, made)
 
 
 def _seeds_of(bits: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -187,14 +222,13 @@ def by_seed(nodes: DataFrame, moves: DataFrame, seeds: DataFrame) -> tuple[DataF
     return tainted.select("graph_id", "seed", "node_id"), walked.select("graph_id", "seed", "src", "dst", "kind"), t.rounds
 
 
-def walk_counts(nodes: DataFrame, moves: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Rounds]:
+def walk_counts(nodes: DataFrame, moves: DataFrame, seeds: DataFrame, ident: Callable[[str], Column] | None = None, rounds: Rounds | None = None) -> tuple[DataFrame, Rounds]:
     """(counts, rounds): counts is (graph_id, seed, kind, moves), the number of rows of ``walked`` for each kind.
 
     Moves are counted before they meet seeds: those of a component first, then of all components that the same seeds of a block taint.
     """
-    t = spread(nodes, moves, seeds, ends=False)
-    made = _named(t.moves.select(t.ident("src").alias("c"), "kind"), t.found, "c").groupBy("c", "kind").agg(F.count("*").alias("n"))
-    alike = made.join(t.bits, "c").groupBy("block", "bits", "kind").agg(F.sum("n").alias("n"))
+    t = spread(nodes, moves, seeds, False, ident, rounds)
+    alike = t.made.join(t.bits, "c").groupBy("block", "bits", "kind").agg(F.sum("n").alias("n"))
     return _seeds_of(alike, t.blocks).groupBy("graph_id", "seed", "kind").agg(F.sum("n").alias("moves")), t.rounds
 
 

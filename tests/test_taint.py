@@ -100,3 +100,20 @@ def test_a_graph_without_cycles_takes_no_rounds_of_labels(spark):
     tainted, _, rounds = taint.by_seed(n, graph.steps(spark, n, e), n)
     assert not [x for x in rounds.log if x.get("passes")] and sum(x["trimmed"] for x in rounds.log if x["kind"] == "components") == len(edges)
     assert tainted.filter("seed = 'x0'").count() == 1 + sum(b % 5 != 0 for b in range(12, 24)) + 36
+
+
+def test_nodes_that_lead_to_one_another_take_no_rounds_of_labels(spark):
+    def components(links):
+        rounds = Rounds(spark, "test")
+        moves = spark.createDataFrame([("g", *x) for x in links], "graph_id string, src string, dst string")
+        nodes = moves.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id"))
+        found = {r.node_id: r.component for r in taint.strong_components(nodes, moves, rounds).collect()}
+        passes = [x for x in rounds.log if "passes" in x]
+        rounds.close()
+        return found, passes
+
+    both = [(f"o{i}", f"l{i}{j}") for i in range(4) for j in range(3)]
+    found, passes = components([*both, *((b, a) for a, b in both), *((b, f"p{b[-1]}") for _, b in both), ("p0", "s"), ("p1", "s")])
+    assert not passes and found == {**{x: f"l{x[1]}0" for x in {x for two in both for x in two}}, "p0": "p0", "p1": "p1", "p2": "p2", "s": "s"}
+    found, _ = components([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "a"), ("e", "c"), ("c", "e"), ("x", "a"), ("x", "x"), ("y", "z"), ("z", "y"), ("e", "y")])
+    assert found == {**dict.fromkeys("abcde", "a"), "x": "x", "y": "y", "z": "y"}
