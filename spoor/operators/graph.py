@@ -236,6 +236,31 @@ def boundary(components: DataFrame, edges: DataFrame) -> DataFrame:
     return components.select("graph_id", "component_id", "node_id").unionByName(by_src).unionByName(by_dst).distinct()
 
 
+def numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written copies in which nodes are numbers that differ between graphs too: (graph_id, node_id, name, kind, label) and (graph_id, src, dst, kind)."""
+    ident = identity(nodes)
+    n = _spill(nodes.select("graph_id", ident("node_id").alias("node_id"), F.col("node_id").alias("name"), "kind", "label"), "nodes")
+    return n, _spill(edges.select("graph_id", ident("src").alias("src"), ident("dst").alias("dst"), "kind"), "edges")
+
+
+def boundary_sizes(nodes: DataFrame, edges: DataFrame, tainted: DataFrame) -> DataFrame:
+    """GR-5: (component_id, n): how many rows ``boundary`` has for each component of what taint leaves, of ``numbered`` tables.
+
+    All nodes that edges lead to from a component are its own or removed, so only edges with one end left can add nodes.
+    """
+    left = _spill(nodes.join(tainted.select("node_id"), "node_id", "left_anti").select("graph_id", F.col("node_id").alias("v"), "name").distinct(), "left")
+    end = lambda x: left.select(F.col("v").alias(x), F.lit(True).alias(f"{x}_left"))
+    ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    ends = _spill(ends.filter("a_left OR b_left").select("a", "b", F.expr("coalesce(a_left AND b_left, false)").alias("inner")), "ends")
+    root = roots(_spill(ends.filter("inner").select("a", "b"), "links"))
+    named = _spill(left.join(root, "v", "left").select("graph_id", "v", "name", F.coalesce("c", "v").alias("c")), "named")
+    own = named.groupBy("c").agg(F.min("name").alias("component_id"), F.count("*").alias("n"))
+    # which end is left is told by what it meets
+    out = ends.filter("NOT inner").select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("x")).select("x.*").distinct()
+    more = out.join(named.select("v", "c"), "v").select("c", "w").distinct().groupBy("c").agg(F.count("*").alias("m"))
+    return own.join(more, "c", "left").groupBy("component_id").agg(F.sum(F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+
+
 def graph_union(*parts: DataFrame, key: str = "node_id") -> DataFrame:
     """SET-2: union of element tables, one row for each id."""
     out = parts[0]

@@ -36,12 +36,16 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2: region-nation SUPPLIES, nation-customer and nation-supplier SCOPE, customer-order SUPPLIES, order-part PARAMETER, part-supplier TRANSFORMATION."""
+def graph_edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """B2: region-nation SUPPLIES, nation-customer and nation-supplier SCOPE, customer-order SUPPLIES, order-part PARAMETER, part-supplier TRANSFORMATION.
+
+    Unless ``once`` an edge may be told several times.
+    """
 
     def pick(t: str, a: str, pa: str, b: str, pb: str, kind: str) -> DataFrame:
         # each table gives edges of a kind and letters of its own, so equal ones are told by their keys
-        return load(spark, sf_dir, t).select(a, b).distinct().select(
+        keys = load(spark, sf_dir, t).select(a, b)
+        return (keys.distinct() if once else keys).select(
             F.lit("g").alias("graph_id"), F.concat(F.lit(pa), F.col(a).cast("string")).alias("src"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("dst"), F.lit(kind).alias("kind")
         )
 

@@ -308,8 +308,10 @@ seen AS (SELECT id FROM nodes WHERE kind = 'OBJECT' AND label IN ('NATION_0', 'N
 _CAREFUL = tuple(r for r in graph.TAINT_RULES if r[1] != "PARAMETER")
 
 
-def _tainted(spark, d, rules: tuple = graph.TAINT_RULES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    n, e = b.graph_nodes(spark, d), b.graph_edges(spark, d)
+def _tainted(spark, d, rules: tuple = graph.TAINT_RULES, numbers: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    n, e = b.graph_nodes(spark, d), b.graph_edges(spark, d, once=not numbers)
+    if numbers:
+        n, e = graph.numbered(n, e)
     moves = graph._spill(graph.steps(spark, n, e, rules).select("graph_id", "src", "dst", "kind"), "moves")
     seeds = n.filter("kind = 'OBJECT' and label in ('NATION_0', 'NATION_1')")
     return n, e, moves, graph.reach(moves, seeds, written=True)
@@ -328,23 +330,22 @@ def taint_transitions(spark, d):
     return graph.transitions(moves, seen)
 
 
-def _concerns(spark, d) -> tuple[DataFrame, DataFrame]:
+def _concerns(spark, d) -> DataFrame:
     n, e, _, seen = _tainted(spark, d, _CAREFUL)
-    rest, inner = graph.untainted(n, e, seen)
-    return graph.weak_components(rest, inner), e
+    return graph.weak_components(*graph.untainted(n, e, seen))
 
 
 @query(None)
 def secondary_concern_components(spark, d):
     """GR-5, SET-3 on B2: components of what taint leaves (checked against brute force in the tests)."""
-    return _concerns(spark, d)[0]
+    return _concerns(spark, d)
 
 
 @query(None)
 def concern_boundary_restore(spark, d):
     """GR-5 on B2: how many nodes each component has with its re-attached neighbours."""
-    components, e = _concerns(spark, d)
-    return graph.boundary(components, e).groupBy("component_id").agg(F.count("*").alias("n"))
+    n, e, _, seen = _tainted(spark, d, _CAREFUL, numbers=True)
+    return graph.boundary_sizes(n, e, seen)
 
 
 @query("""

@@ -117,3 +117,17 @@ def test_nodes_that_lead_to_one_another_take_no_rounds_of_labels(spark):
     assert not passes and found == {**{x: f"l{x[1]}0" for x in {x for two in both for x in two}}, "p0": "p0", "p1": "p1", "p2": "p2", "s": "s"}
     found, _ = components([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "a"), ("e", "c"), ("c", "e"), ("x", "a"), ("x", "x"), ("y", "z"), ("z", "y"), ("e", "y")])
     assert found == {**dict.fromkeys("abcde", "a"), "x": "x", "y": "y", "z": "y"}
+
+
+def test_sizes_of_components_with_their_neighbours(spark):
+    nodes, edges = made(4, n=30, m=26)
+    edges += [(0, "n1", "none", "SCOPE"), (1, "n2", "n2", "SCOPE"), *edges[:9]]
+    n = spark.createDataFrame([(*r, "x") for r in nodes + nodes[:5]], "graph_id int, node_id string, kind string, label string")
+    e = spark.createDataFrame(edges, "graph_id int, src string, dst string, kind string")
+    tainted = n.filter("kind IN ('VALUE', 'OBJECT')").select("graph_id", "node_id").distinct()
+    rest, inner = graph.untainted(n, e, tainted)
+    want = graph.boundary(graph.weak_components(rest, inner), e).groupBy("component_id").count()
+    numbers, links = graph.numbered(n, e)
+    removed = numbers.filter("kind IN ('VALUE', 'OBJECT')").select("graph_id", "node_id")
+    found = graph.boundary_sizes(numbers, links, removed)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 9
